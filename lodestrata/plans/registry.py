@@ -1,18 +1,578 @@
-"""Every query over the driver tables, and SQL that gives the same rows."""
+"""Every query over the driver tables, and SQL that gives the same rows.
+
+The driver tables hold no source code, imports or commits, so code-shaped inputs are derived from their columns; the SQL
+side takes the expected rows straight from those columns wherever it can.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import parse, paths, text
+from ..operators import definitions, graph, history, profile, snapshot
+from ..streaming import debounce
+
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a function of (spark, sf_dir) under its name, with SQL that gives the same rows."""
+
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = " ".join(sql.split())
+        return f
+
+    return put
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- snapshots of documents
+
+OLD = "select 'doc_' || cast(doc_id as string) as path, case when doc_id % 7 = 0 then text || ' ' else text end as content from documents where doc_id % 11 <> 0"
+NEW = "select 'doc_' || cast(doc_id as string) as path, text as content from documents where doc_id % 13 <> 0"
+
+
+def _hashed(spark: SparkSession, sf_dir: str, new: bool) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = docs.where("doc_id % 13 <> 0") if new else docs.where("doc_id % 11 <> 0").selectExpr("doc_id", "case when doc_id % 7 = 0 then text || ' ' else text end as text")
+    return docs.selectExpr("'doc_' || cast(doc_id as string) as path", "text").select("path", snapshot.content_hash(F.col("text")).alias("hash"))
+
+
+_DIFF = f"""with a as ({NEW}), b as ({OLD}), d as (
+ select coalesce(a.path, b.path) as path, sha256(a.content) as new_hash, sha256(b.content) as old_hash from a full join b on a.path = b.path), t as (
+ select path, case when old_hash is null then 'added' when new_hash is null then 'deleted' when old_hash <> new_hash then 'modified' else 'unchanged' end as change_type, old_hash, new_hash from d)"""
+
+
+@query("select doc_id, sha256(text) as content_hash from documents")
+def content_hash(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", snapshot.content_hash(F.col("text")).alias("content_hash"))
+
+
+@query(f"{_DIFF} select * from t")
+def snapshot_diff(spark, sf_dir):
+    return snapshot.diff(_hashed(spark, sf_dir, True), _hashed(spark, sf_dir, False))
+
+
+@query("""select count_if(doc_id % 11 = 0 and doc_id % 13 <> 0) as added, count_if(doc_id % 11 <> 0 and doc_id % 13 <> 0 and doc_id % 7 = 0) as modified,
+ count_if(doc_id % 11 <> 0 and doc_id % 13 = 0) as deleted, count_if(doc_id % 11 <> 0 and doc_id % 13 <> 0 and doc_id % 7 <> 0) as unchanged,
+ count_if(doc_id % 11 <> 0 or doc_id % 13 <> 0) as total_files, true as has_changes from documents""")
+def scan_summary(spark, sf_dir):
+    return snapshot.summary(snapshot_diff(spark, sf_dir))
+
+
+@query("select 'doc_' || cast(doc_id as string) as path from documents where doc_id % 13 = 0 and doc_id % 11 <> 0")
+def deleted_files(spark, sf_dir):
+    return snapshot.deleted(_hashed(spark, sf_dir, True), _hashed(spark, sf_dir, False))
+
+
+@query(f"with b as ({OLD}) select path, sha256(content) as hash from b where path not in (select path from ({NEW}) where content is not null) union all select path, sha256(content) from ({NEW})")
+def snapshot_upsert(spark, sf_dir):
+    return snapshot.upsert(_hashed(spark, sf_dir, False), _hashed(spark, sf_dir, True))
+
+
+@query("select 'doc_' || cast(doc_id as string) as path, sha256(case when doc_id % 7 = 0 then text || ' ' else text end) as hash from documents where doc_id % 11 <> 0 and doc_id % 13 = 0")
+def snapshot_remove(spark, sf_dir):
+    return snapshot.remove(_hashed(spark, sf_dir, False), _hashed(spark, sf_dir, True))
+
+
+# --- files with paths made from documents
+
+_NAME = """case doc_id % 12 when 0 then 'test_' || cast(doc_id as string) || '.py' when 1 then 'm' || cast(doc_id as string) || '.py' when 2 then 'x' || cast(doc_id as string) || '.js'
+ when 3 then 'x' || cast(doc_id as string) || '.tsx' when 4 then 'README.md' when 5 then 'notes' || cast(doc_id as string) || '.txt' when 6 then 'setup.py' when 7 then 'requirements.txt'
+ when 8 then 'main.py' when 9 then 'LICENSE' when 10 then 'a' || cast(doc_id as string) || '.go' else 'pyproject.toml' end"""
+_FOLDER = """(case when doc_id % 17 = 0 then 'build/' when doc_id % 19 = 0 then '.git/' when doc_id % 23 = 0 then 'k.egg-info/' else '' end) || source || '/' || lang || '/d' || cast(doc_id as string) || '/'"""
+PATH = f"case when doc_id % 29 = 0 then 'm' || cast(doc_id as string) || '.py' else {_FOLDER} || {_NAME} end"
+IMPORTS = "split(case when doc_id % 50 = 3 then 'django.db,os' when doc_id % 50 = 4 then 'Flask' when doc_id % 50 = 5 then 'numpy,pandas.io' when doc_id % 50 = 6 then 'react' else 'sys' end, ',')"
+_KIND = "case when doc_id % 29 = 0 then 1 else doc_id % 12 end"
+_LANGUAGE = f"case {_KIND} when 0 then 'python' when 1 then 'python' when 2 then 'javascript' when 3 then 'typescript' when 6 then 'python' when 8 then 'python' when 10 then 'go' end"
+FILES = f"select doc_id, {PATH} as path, {_KIND} as k, {_LANGUAGE} as language, {IMPORTS} as imports from documents"
+_TO = "doc_id - doc_id % 20"
+
+
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = table(spark, sf_dir, "documents").select("doc_id", "source", "lang").selectExpr("doc_id", f"{PATH} as path", f"{IMPORTS} as imports")
+    return own.withColumn("language", paths.language(F.col("path")))
+
+
+def file_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fifth file imports the first of its twenty."""
+    own = files(spark, sf_dir).select("doc_id", "path")
+    return own.where("doc_id % 5 = 1").selectExpr("path as src", f"{_TO} as to_id").join(own.selectExpr("doc_id as to_id", "path as dst"), "to_id").select("src", "dst")
+
+
+_EDGES = f"e as (select a.path as src, b.path as dst from f a join f b on a.doc_id % 5 = 1 and b.doc_id = a.doc_id - a.doc_id % 20), i as (select dst as path, count(distinct src) as dependents from e group by 1)"
+
+
+@query(f"with f as ({FILES}) select doc_id, path, language from f")
+def language_map(spark, sf_dir):
+    return files(spark, sf_dir).select("doc_id", "path", "language")
+
+
+@query(f"with f as ({FILES}) select path from f where k <> 5 and not (doc_id % 29 <> 0 and (doc_id % 17 = 0 or doc_id % 19 = 0 or doc_id % 23 = 0))")
+def source_filter(spark, sf_dir):
+    return files(spark, sf_dir).where(paths.is_source(F.col("path")) & ~paths.is_ignored(F.col("path"))).select("path")
+
+
+@query(f"with f as ({FILES}) select path from f where doc_id % 29 <> 0 and (doc_id % 17 = 0 or doc_id % 19 = 0 or doc_id % 23 = 0)")
+def ignored_paths(spark, sf_dir):
+    return files(spark, sf_dir).where(paths.is_ignored(F.col("path"))).select("path")
+
+
+@query(f"""with f as (select doc_id, {PATH} as path, case when doc_id % 29 = 0 then 'm' || cast(doc_id as string) || '.py' else {_NAME} end as name,
+ case when doc_id % 29 = 0 then '' else rtrim({_FOLDER}, '/') end as parent, {_KIND} as k from documents)
+ select path, name, parent, case k when 4 then '.md' when 5 then '.txt' when 7 then '.txt' when 9 then '' when 10 then '.go' when 11 then '.toml' when 2 then '.js' when 3 then '.tsx' else '.py' end as suffix,
+ case when parent = '' then '_root' else string_split(parent, '/')[1] end as top from f""")
+def path_functions(spark, sf_dir):
+    p = F.col("path")
+    return files(spark, sf_dir).select("path", paths.name(p).alias("name"), paths.parent(p).alias("parent"), paths.suffix(p).alias("suffix"), paths.top_folder(p).alias("top"))
+
+
+@query(f"""with f as ({FILES}) select path from f where (k in (1, 6, 8) and doc_id % 29 <> 0 or k = 2) and not path like '.git/%' and not path like 'build/%'""")
+def watch_filter(spark, sf_dir):
+    events = files(spark, sf_dir).where("not startswith(path, 'build/')").select("path", F.lit(False).alias("is_directory"))
+    return debounce.wanted(events, ["**/*.py", "*.js"], ["**/test_*.py"]).select("path")
+
+
+@query(f"with f as ({FILES}) select language from f where language is not null group by 1 order by count(*) desc, min(string_split(path, '/')) limit 1")
+def primary_language(spark, sf_dir):
+    return profile.primary_language(files(spark, sf_dir))
+
+
+@query(f"""with f as ({FILES}), {_EDGES}, o as (select distinct src as path from e)
+ select f.path, case when k in (4, 9) then 'docs' when k in (6, 7, 11) then 'config' when k = 0 then 'tests' when i.dependents >= 3 then 'core'
+ when i.path is null and o.path is not null then 'entry_points' else 'other' end as role from f left join i on f.path = i.path left join o on f.path = o.path""")
+def role_categories(spark, sf_dir):
+    return profile.roles(files(spark, sf_dir), file_edges(spark, sf_dir))
+
+
+@query(f"with f as ({FILES}) select case when count_if(k = 11) > 0 then 'pip/poetry' when count_if(k in (6, 7)) > 0 then 'pip' end as package_manager from f")
+def package_manager(spark, sf_dir):
+    return profile.package_manager(files(spark, sf_dir))
+
+
+@query(f"with f as ({FILES}) select path as license_file from f where k = 9 order by string_split(path, '/') limit 1")
+def license_file(spark, sf_dir):
+    return profile.license_file(files(spark, sf_dir))
+
+
+@query(f"with f as ({FILES}) select path from f where k = 8")
+def entry_points(spark, sf_dir):
+    return profile.entry_points(files(spark, sf_dir))
+
+
+@query(f"with f as ({FILES}) select count_if(k = 0) > 0 as has_tests from f")
+def has_tests(spark, sf_dir):
+    return profile.has_tests(files(spark, sf_dir))
+
+
+@query("""select distinct case doc_id % 50 when 3 then 'Django' when 4 then 'Flask' when 5 then 'NumPy' end as framework from documents where doc_id % 50 in (3, 4, 5)
+ union select 'Pandas' from documents where doc_id % 50 = 5""")
+def framework_detect(spark, sf_dir):
+    return profile.frameworks(files(spark, sf_dir), "python")
+
+
+@query(f"""with f as ({FILES}), t as (select path, case when path like '%/%' then string_split(path, '/')[1] else '_root' end as top from f),
+ r as (select top, path, row_number() over (partition by top order by path) as place, count(*) over (partition by top) as total from t)
+ select top, path, place, total from r where place <= 3""")
+def directory_top3(spark, sf_dir):
+    return profile.first_of_each(files(spark, sf_dir).select("path"), 3).select("top", "path", F.col("place").cast("bigint").alias("place"), "total")
+
+
+# --- history made from orders
+
+MESSAGE = "(case o_orderkey % 6 when 0 then 'Add ' when 1 then 'fix ' when 2 then 'Implement ' when 3 then 'Update docs ' when 4 then 'new ' else 'Refactored ' end) || o_orderpriority || ' handling'"
+HASH = "substr(md5(cast(o_orderkey as string)), 1, 8)"
+_PART = "'pkg' || cast(p_size as string) || '/m' || cast(p_partkey as string) || '.py'"
+_PARTS = f"select {_PART} as path, case when p_partkey % 3 = 0 then 'python' when p_partkey % 3 = 1 then 'go' end as language, case p_partkey % 9 when 0 then 'breaking' when 1 then 'additive' when 2 then 'internal' when 3 then 'docs-only' end as semantic_category from part"
+_HISTORY = f"""with cf as (select l_orderkey as ord, {_PART} as path, cast(l_quantity as bigint) as insertions, cast(l_linenumber as bigint) as deletions from lineitem join part on l_partkey = p_partkey),
+ s as (select ord, sum(insertions) as insertions, sum(deletions) as deletions, count(*) as n_files from cf group by 1),
+ c as (select o_orderkey as ord, {HASH} as hash, c_name as author, o_orderdate as date, {MESSAGE} as message, cast(coalesce(s.insertions, 0) as bigint) as insertions,
+ cast(coalesce(s.deletions, 0) as bigint) as deletions, cast(coalesce(n_files, 0) as bigint) as n_files from orders join customer on o_custkey = c_custkey left join s on s.ord = o_orderkey)"""
+
+
+def commit_files(spark, sf_dir):
+    part = table(spark, sf_dir, "part").selectExpr("p_partkey", f"{_PART} as path")
+    own = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey as ord", "l_partkey", "cast(l_quantity as bigint) as insertions", "cast(l_linenumber as bigint) as deletions", "l_suppkey")
+    return own.join(part, own.l_partkey == part.p_partkey).select("ord", "path", "insertions", "deletions", "l_suppkey", "p_partkey")
+
+
+def commits(spark, sf_dir):
+    sums = commit_files(spark, sf_dir).groupBy("ord").agg(F.sum("insertions").alias("insertions"), F.sum("deletions").alias("deletions"), F.count("*").alias("n_files"))
+    orders, people = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    own = orders.join(people, orders.o_custkey == people.c_custkey).selectExpr("o_orderkey as ord", f"{HASH} as hash", "c_name as author", "o_orderdate as date", f"{MESSAGE} as message")
+    return own.join(sums, "ord", "left").fillna(0, ["insertions", "deletions", "n_files"])
+
+
+def part_files(spark, sf_dir):
+    return table(spark, sf_dir, "part").selectExpr(*(x.strip() for x in (
+        f"{_PART} as path", "case when p_partkey % 3 = 0 then 'python' when p_partkey % 3 = 1 then 'go' end as language",
+        "case p_partkey % 9 when 0 then 'breaking' when 1 then 'additive' when 2 then 'internal' when 3 then 'docs-only' end as semantic_category")))
+
+
+_AUTHOR = "7"
+_STATS = f"""own as (select * from c where contains(lower(author), '{_AUTHOR}')), f as ({_PARTS}), touched as (select distinct path from cf where ord in (select ord from own)),
+ st as (select (select count(*) from own) as total_commits, (select cast(sum(insertions) as bigint) from own) as total_insertions, (select cast(sum(deletions) as bigint) from own) as total_deletions,
+ (select count(*) from touched) as files_touched, (select string_agg(distinct language, ',' order by language) from touched join f using (path)) as languages_used,
+ (select count_if(semantic_category = 'breaking') from f) as breaking_changes, (select count_if(semantic_category = 'additive') from f) as additive_changes,
+ (select count_if(semantic_category = 'internal') from f) as internal_changes, (select count_if(semantic_category = 'docs-only') from f) as docs_changes)"""
+
+
+def _stats(spark, sf_dir):
+    return history.stats(commits(spark, sf_dir), commit_files(spark, sf_dir), part_files(spark, sf_dir), _AUTHOR)
+
+
+@query(f"{_HISTORY}, {_STATS} select * from st")
+def contribution_stats(spark, sf_dir):
+    return _stats(spark, sf_dir).withColumn("languages_used", F.array_join("languages_used", ","))
+
+
+@query(f"{_HISTORY} select ord, hash, author, message, insertions from c order by date desc, ord limit 50")
+def recent_commits(spark, sf_dir):
+    return history.newest(commits(spark, sf_dir), 50).select("ord", "hash", "author", "message", "insertions")
+
+
+@query(f"{_HISTORY} select ord, author from c where lower(author) like '%{_AUTHOR}%'")
+def author_filter(spark, sf_dir):
+    return history.by_author(commits(spark, sf_dir), _AUTHOR).select("ord", "author")
+
+
+@query(f"{_HISTORY} select ord, message from c where ord % 6 in (0, 2, 4) or (n_files >= 5 and insertions >= 50)")
+def feature_commits(spark, sf_dir):
+    return commits(spark, sf_dir).where(history.is_feature(F.col("message"), F.col("n_files"), F.col("insertions"))).select("ord", "message")
+
+
+@query("select role, count(*) as n, count_if(length(text) >= 20 and regexp_matches(text, '^\\p{Lu}')) as good from conversations group by 1")
+def message_quality(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").groupBy("role").agg(F.count("*").alias("n"), F.count_if(history.is_good_message(F.col("text"))).alias("good"))
+
+
+@query(f"{_HISTORY} select round(coalesce(avg(insertions), 0), 6) as mean from c")
+def avg_insertions(spark, sf_dir):
+    return commits(spark, sf_dir).agg(F.round(F.coalesce(F.avg("insertions"), F.lit(0.0)), 6).alias("mean"))
+
+
+_BULLETS = f"""{_HISTORY}, {_STATS}, n as (select count(*) as n_commits, count_if(length(message) >= 20 and regexp_matches(message, '^\\p{{Lu}}')) as good, avg(insertions) as mean from c),
+ t as (select count(*) as n_files, count_if(contains(lower(path), 'test')) as n_tests from f), l as (select string_split(languages_used, ',') as langs from st),
+ feats as (select *, row_number() over (order by ord) + 2 as g from c where ord % 6 in (0, 2, 4) or (n_files >= 5 and insertions >= 50)), b as (
+ select 0 as gen_ord, 'Developed demo, a ' || array_to_string(langs[1:3], ', ') || case when len(langs) > 3 then ' and ' || (len(langs) - 3) || ' more' else '' end || ' project with ' || files_touched || ' source files and ' || format('{{:,}}', total_insertions) || ' lines of code' as text,
+ 8.0 as impact_score, 'technical' as category, n_commits || ' commits;' || files_touched || ' files' as evidence from st, n, l
+ union all select 1, 'Architected and implemented ' || case when additive_changes > 0 then additive_changes || ' new features' else '' end || case when additive_changes > 0 and breaking_changes > 0 then ', ' else '' end || case when breaking_changes > 0 then breaking_changes || ' API redesigns' else '' end || ', demonstrating strong software design and API development skills',
+ 7.5, 'technical', additive_changes || ' additive changes;' || breaking_changes || ' breaking changes' from st where breaking_changes > 0 or additive_changes > 5
+ union all select 2, 'Improved code quality through ' || internal_changes || ' internal refactorings, maintaining clean architecture without breaking public APIs', 6.5, 'technical', internal_changes || ' internal changes' from st where internal_changes > 10
+ union all select g, 'Implemented ' || upper(message[1]) || message[2:] || ', touching ' || n_files || ' files with ' || insertions || ' additions', 7.0, 'technical', hash from feats where g <= 5
+ union all select 10, 'Contributed ' || total_commits || ' commits totaling ' || format('{{:,}}', total_insertions) || ' additions and ' || format('{{:,}}', total_deletions) || ' deletions across ' || files_touched || ' files', 6.0, 'impact', total_commits || ' commits' from st where total_commits >= 10
+ union all select 11, 'Built comprehensive codebase with ' || n_files || ' modules demonstrating full-stack development capabilities', 7.0, 'impact', n_files || ' files total' from t where n_files >= 20
+ union all select 12, 'Established robust testing practices with ' || n_tests || ' test files ensuring code quality and reliability', 6.5, 'impact', n_tests || ' test files' from t where n_tests >= 5
+ union all select 13, 'Maintained comprehensive documentation with ' || docs_changes || ' documentation updates improving code maintainability', 5.5, 'impact', docs_changes || ' doc changes' from st where docs_changes >= 5
+ union all select 20, 'Followed best practices with clear, descriptive commit messages and structured version control workflow', 5.0, 'collaboration', good || '/' || n_commits || ' quality commit messages' from n where good >= n_commits * 0.7
+ union all select 21, 'Practiced iterative development with ' || n_commits || ' incremental commits, enabling easy code review and collaboration', 5.5, 'collaboration', 'Average ' || cast(floor(mean) as bigint) || ' LOC per commit' from n where mean < 100 and n_commits >= 20)"""
+
+
+def _bullets(spark, sf_dir):
+    return history.bullets(_stats(spark, sf_dir), commits(spark, sf_dir), part_files(spark, sf_dir), "demo")
+
+
+@query(f"{_BULLETS} select cast(gen_ord as bigint) as gen_ord, text, cast(impact_score as double) as impact_score, category, evidence from b")
+def bullet_rank(spark, sf_dir):
+    return _bullets(spark, sf_dir).select(F.col("gen_ord").cast("bigint").alias("gen_ord"), "text", "impact_score", "category", F.array_join("evidence", ";").alias("evidence"))
+
+
+@query(f"{_BULLETS} select cast(gen_ord as bigint) as gen_ord, '• ' || case when length(text) > 100 then text[1:97] || '...' else text end as text from b order by impact_score desc, gen_ord limit 5")
+def bullet_format(spark, sf_dir):
+    return history.formatted(_bullets(spark, sf_dir), "concise", 5).select(F.col("gen_ord").cast("bigint").alias("gen_ord"), "text")
+
+
+@query(f"{_BULLETS} select category, count(*) as n from b group by 1")
+def bullet_categories(spark, sf_dir):
+    return history.categories(_bullets(spark, sf_dir))
+
+
+@query(f"{_HISTORY} select ord % 16 as repo, hash, author, date, message, insertions, deletions, n_files from c")
+def gitlog_parse(spark, sf_dir):
+    stats = commit_files(spark, sf_dir).groupBy("ord").agg(F.array_sort(F.collect_list(F.struct("deletions", "p_partkey", "l_suppkey", F.concat_ws("\t", "insertions", "deletions", "path").alias("line")))).alias("s"))
+    orders = commits(spark, sf_dir).select("ord", "hash", "author", "date", "message").join(stats, "ord", "left")
+    head = F.concat_ws("|", "hash", "author", F.unix_seconds(F.col("date").cast("timestamp")).cast("string"), "message")
+    block = F.concat_ws("\n", head, F.array_join(F.transform(F.coalesce("s", F.array()), lambda x: x["line"]), "\n"))
+    logs = orders.select((F.col("ord") % 16).alias("repo"), "ord", F.concat(block, F.lit("\n")).alias("block")).groupBy("repo").agg(F.array_sort(F.collect_list(F.struct("ord", "block"))).alias("b"))
+    logs = logs.select("repo", F.array_join(F.transform("b", lambda x: x["block"]), "\n").alias("text"))
+    found, own = history.parse_log(logs)
+    n = own.groupBy("repo", "ord").agg(F.count("*").alias("n_files"))
+    return found.join(n, ["repo", "ord"], "left").fillna(0, ["n_files"]).select("repo", "hash", "author", F.col("date").cast("timestamp_ntz").alias("date"), "message", "insertions", "deletions", "n_files")
+
+
+# --- an import graph made from line items
+
+_RAW = """select distinct prev as a, l_partkey as b from (select l_partkey, lag(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as prev from lineitem where l_quantity >= 46)
+ where prev is not null and prev <> l_partkey"""
+_GRAPH = f"""raw as ({_RAW}), p as (select p_partkey as k, {_PART} as path, 'pkg' || cast(p_size as string) || '.m' || cast(p_partkey as string) as module from part),
+ e as (select x.path as src, y.path as dst, y.module as import from raw join p x on a = x.k join p y on b = y.k)"""
+
+
+def module_nodes(spark, sf_dir):
+    raw = table(spark, sf_dir, "lineitem").where("l_quantity >= 46").selectExpr("l_partkey as b", "lag(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as a")
+    raw = raw.where("a is not null and a <> b").distinct()
+    p = table(spark, sf_dir, "part").selectExpr("p_partkey as k", f"{_PART} as path", "'pkg' || cast(p_size as string) || '.m' || cast(p_partkey as string) as module")
+    wanted = raw.join(p.select(F.col("k").alias("b"), "module"), "b").groupBy("a").agg(F.collect_set("module").alias("imports"))
+    return p.join(wanted, p.k == wanted.a, "left").select("path", F.coalesce("imports", F.array().cast("array<string>")).alias("imports"), F.lit("python").alias("language"))
+
+
+def module_edges(spark, sf_dir):
+    return graph.edges_of(graph.resolve(module_nodes(spark, sf_dir)))
+
+
+@query(f"with {_GRAPH} select src, import, dst from e")
+def import_resolve(spark, sf_dir):
+    return graph.resolve(module_nodes(spark, sf_dir))
+
+
+@query(f"with {_GRAPH} select src as path, count(*) as dependencies from e group by 1")
+def direct_deps(spark, sf_dir):
+    return graph.fan_out(module_edges(spark, sf_dir))
+
+
+@query(f"with {_GRAPH} select dst as path, count(*) as dependents from e group by 1")
+def direct_dependents(spark, sf_dir):
+    return graph.fan_in(module_edges(spark, sf_dir))
+
+
+@query(f"with {_GRAPH} select dst as path, count(*) as dependents from e group by 1 having count(*) >= 3")
+def core_modules(spark, sf_dir):
+    return graph.core(module_edges(spark, sf_dir))
+
+
+@query(f"with {_GRAPH} select dst as path, count(*) as dependents from e group by 1 having count(*) >= 3 order by 2 desc, 1 limit 10")
+def core_top10(spark, sf_dir):
+    return graph.core(module_edges(spark, sf_dir)).orderBy(F.desc("dependents"), "path").limit(10)
+
+
+@query(f"with {_GRAPH} select path from p where path not in (select dst from e)")
+def leaf_files(spark, sf_dir):
+    return graph.leaves(module_nodes(spark, sf_dir), module_edges(spark, sf_dir))
+
+
+@query(f"with {_GRAPH} select path from p where path not in (select src from e)")
+def root_files(spark, sf_dir):
+    return graph.roots(module_nodes(spark, sf_dir), module_edges(spark, sf_dir))
+
+
+@query(f"with {_GRAPH} select path from p where path not in (select src from e) and path not in (select dst from e)")
+def isolated_files(spark, sf_dir):
+    return graph.isolated(module_nodes(spark, sf_dir), module_edges(spark, sf_dir))
+
+
+@query(f"with {_GRAPH} select src as path, string_agg(dst, ',' order by dst) as dependencies from e group by 1")
+def graph_export(spark, sf_dir):
+    return graph.adjacency(module_edges(spark, sf_dir)).withColumn("dependencies", F.array_join("dependencies", ","))
+
+
+def _seed(edges: DataFrame, column: str) -> DataFrame:
+    return edges.groupBy(column).count().orderBy(F.desc("count"), column).limit(1).select(F.col(column).alias("seed"))
+
+
+@query(f"""with recursive {_GRAPH}, s as (select src as seed from e group by 1 order by count(*) desc, 1 limit 1), r(seed, path) as (select seed, seed from s union select r.seed, e.dst from r join e on e.src = r.path)
+ select seed, path from r where path <> seed""")
+def transitive_deps(spark, sf_dir):
+    edges = graph.cut(module_edges(spark, sf_dir))
+    return graph.closure(edges, _seed(edges, "src"))
+
+
+@query(f"""with recursive {_GRAPH}, s as (select dst as seed from e group by 1 order by count(*) desc, 1 limit 1), r(seed, path) as (select seed, seed from s union select r.seed, e.src from r join e on e.dst = r.path)
+ select seed, path from r where path <> seed""")
+def transitive_dependents(spark, sf_dir):
+    edges = graph.cut(module_edges(spark, sf_dir))
+    return graph.closure(edges, _seed(edges, "dst"), reverse=True)
+
+
+_DAG = "raw as (select distinct greatest(a, b) as s, least(a, b) as d from (" + _RAW + "))"
+
+
+@query(f"""with recursive {_DAG}, r(k, level) as (select p_partkey, 0 from part union select raw.s, r.level + 1 from r join raw on raw.d = r.k)
+ select 'm' || cast(k as string) as path, cast(max(level) as bigint) as level from r group by k""")
+def topo_levels(spark, sf_dir):
+    nodes = table(spark, sf_dir, "part").selectExpr("'m' || cast(p_partkey as string) as path")
+    raw = table(spark, sf_dir, "lineitem").where("l_quantity >= 46").selectExpr("l_partkey as b", "lag(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as a")
+    edges = raw.where("a is not null and a <> b").selectExpr("'m' || cast(greatest(a, b) as string) as src", "'m' || cast(least(a, b) as string) as dst")
+    return graph.levels(nodes, edges).withColumn("level", F.col("level").cast("bigint"))
+
+
+@query(f"""with recursive {_GRAPH}, r(a, b) as (select src, dst from e union select r.a, e.dst from r join e on e.src = r.b)
+ select x.a as path, min(x.b) as scc from r x join r y on x.a = y.b and x.b = y.a group by x.a having count(distinct x.b) > 1""")
+def cycles_scc(spark, sf_dir):
+    return graph.components(module_edges(spark, sf_dir))
+
+
+# --- definitions made from parts
+
+_DEFS = """select p_partkey % 400 as g, p_partkey as k, case when p_partkey % 7 = 0 then '_f' else 'f' end || cast(p_partkey as string) as name,
+ case when p_partkey % 4 = 0 then 'class' else 'function' end as type, p_partkey % 7 <> 0 as is_public, p_partkey % 11 <> 0 and (p_partkey % 400) % 17 <> 0 as in_old,
+ p_partkey % 13 <> 0 and (p_partkey % 400) % 19 <> 0 as in_new from part"""
+_CHANGED = f"""d as ({_DEFS}), j as (select *, not (type = 'class') and (k % 5 <> 4 or k % 10 = 3) as differs, type = 'function' and (k % 5 in (0, 1, 3) or k % 10 = 3) as breaks from d),
+ ch as (select 'pkg' || cast(g as string) as path, g, name, type as definition_type, case when not in_new then 'removed' when not in_old then 'added' else 'modified' end as change_type,
+ case when in_old then k % 100 end as old_line, case when in_new then k % 100 + 1 end as new_line, is_public, in_old and in_new and is_public and breaks as is_breaking_signature
+ from j where (in_old or in_new) and (in_old <> in_new or differs))"""
+_CLASSIFIED = f"""{_CHANGED}, g as (select g, 'pkg' || cast(g as string) as path, g % 17 <> 0 as old_exists, g % 19 <> 0 as new_exists, count_if(in_old) as n_old, count_if(in_old and is_public) as p_old,
+ count_if(in_new) as n_new, count_if(in_new and is_public) as p_new from d group by g), n as (select path, count_if(is_public and change_type = 'removed') as rem, count_if(is_breaking_signature) as brk,
+ count_if(is_public and change_type = 'added') as ad, count_if(is_public and change_type = 'modified') as md, count_if(not is_public) as priv from ch group by path), m as (
+ select g.*, coalesce(rem, 0) as rem, coalesce(brk, 0) as brk, coalesce(ad, 0) as ad, coalesce(md, 0) as md, coalesce(priv, 0) as priv,
+ case when old_exists and new_exists then case when g.g % 6 = 0 then 'docs' else 'mod' end when new_exists then 'new' when old_exists then 'gone' else 'none' end as k from g left join n on g.path = n.path),
+ cl as (select path, g, case k when 'docs' then 'docs-only' when 'new' then 'additive' when 'none' then 'unknown' when 'gone' then case when p_old > 0 then 'breaking' else 'internal' end
+ else case when rem + brk > 0 then 'breaking' when ad > 0 then 'additive' else 'internal' end end as category,
+ case k when 'gone' then p_old > 0 when 'mod' then rem + brk > 0 else false end as has_breaking, case k when 'new' then true when 'mod' then ad > 0 else false end as has_additions,
+ case k when 'gone' then true when 'mod' then rem > 0 else false end as has_removals,
+ case k when 'docs' then 'Documentation-only changes (comments, docstrings, whitespace)' when 'none' then 'Unable to classify'
+ when 'new' then 'New file with ' || n_new || ' definition(s)' || case when p_new > 0 then ' (' || p_new || ' public)' else '' end
+ when 'gone' then 'File deleted with ' || n_old || ' definition(s)' || case when p_old > 0 then ' (' || p_old || ' public - BREAKING)' else '' end
+ else coalesce(nullif(concat_ws('; ', case when rem > 0 then 'Removed ' || rem || ' public API(s)' end, case when brk > 0 then 'Breaking signature changes in ' || brk || ' function(s)' end,
+ case when ad > 0 then 'Added ' || ad || ' public API(s)' end, case when md > brk then 'Modified ' || (md - brk) || ' public API(s)' end, case when priv > 0 then priv || ' internal change(s)' end), ''), 'No significant changes detected') end as description from m)"""
+
+
+def definition_files(spark, sf_dir):
+    """Files whose definitions come from parts: parameters, types and returns differ between old and new by rule."""
+    k = F.col("p_partkey")
+    d = table(spark, sf_dir, "part").select("p_partkey", (k % 400).alias("g"))
+
+    def struct(new: bool):
+        old_params = F.lit("x,y: int")
+        new_params = F.when(k % 5 == 0, "x").when(k % 5 == 1, "x,y: str").when(k % 5 == 2, "x,y: int,z").when(k % 5 == 3, "y: int,x").otherwise("x,y: int")
+        old_return = F.when(k % 3 != 0, "int")
+        params = F.split(new_params if new else old_params, ",")
+        return F.struct(
+            F.concat(F.when(k % 7 == 0, "_f").otherwise("f"), k.cast("string")).alias("name"), F.when(k % 4 == 0, "class").otherwise("function").alias("type"),
+            (k % 100 + int(new)).cast("int").alias("line"), (k % 7 != 0).alias("is_public"), params.alias("parameters"),
+            (F.when(k % 10 == 3, "str").otherwise(old_return) if new else old_return).alias("return_type"),
+        )
+
+    def side(new: bool):
+        there = (k % (13 if new else 11) != 0) & (F.col("g") % (19 if new else 17) != 0)
+        return F.transform(F.array_sort(F.collect_list(F.when(there, F.struct("p_partkey", struct(new).alias("d"))))), lambda x: x["d"])
+
+    own = d.groupBy("g").agg(side(False).alias("old_definitions"), side(True).alias("new_definitions"))
+    g = F.col("g")
+    return own.select(
+        F.concat(F.lit("pkg"), g.cast("string")).alias("path"), (g % 17 != 0).alias("old_exists"), (g % 19 != 0).alias("new_exists"), F.concat(F.lit("h"), g.cast("string")).alias("old_ast_hash"),
+        F.concat(F.when(g % 6 == 0, "h").otherwise("n"), g.cast("string")).alias("new_ast_hash"), "old_definitions", "new_definitions",
+    )
+
+
+def package_edges(spark, sf_dir):
+    g = table(spark, sf_dir, "part").select((F.col("p_partkey") % 400).alias("g")).distinct()
+    name = lambda x: F.concat(F.lit("pkg"), x.cast("string"))
+    return g.select(name((F.col("g") + 1) % 400).alias("src"), name(F.col("g")).alias("dst"))
+
+
+@query(f"with {_CHANGED} select path, name, definition_type, change_type, cast(old_line as int) as old_line, cast(new_line as int) as new_line, is_public, is_breaking_signature from ch")
+def definition_diff(spark, sf_dir):
+    return definitions.changes(definition_files(spark, sf_dir))
+
+
+@query(f"with {_CLASSIFIED} select path, category, has_breaking, has_additions, has_removals, description from cl")
+def classify_changes(spark, sf_dir):
+    return definitions.classify(definition_files(spark, sf_dir))
+
+
+@query(f"with {_CHANGED} select path, name, change_type from ch where is_public and change_type in ('removed', 'modified')")
+def breaking_only(spark, sf_dir):
+    return definitions.breaking(definitions.changes(definition_files(spark, sf_dir))).select("path", "name", "change_type")
+
+
+@query(f"with {_CHANGED} select path, name from ch where change_type = 'added'")
+def additive_only(spark, sf_dir):
+    return definitions.additive(definitions.changes(definition_files(spark, sf_dir))).select("path", "name")
+
+
+@query(f"""with {_CLASSIFIED} select (select count(*) from cl) as total_files, (select count_if(category = 'breaking') from cl) as breaking_files, (select count_if(category = 'additive') from cl) as additive_files,
+ (select count_if(category = 'internal') from cl) as internal_files, (select count_if(category = 'docs-only') from cl) as docs_only_files, (select count_if(category = 'unknown') from cl) as unknown_files,
+ (select count_if(change_type = 'added') from ch) as total_additions, (select count_if(change_type = 'removed') from ch) as total_removals, (select count_if(change_type = 'modified') from ch) as total_modifications""")
+def change_summary(spark, sf_dir):
+    own = definition_files(spark, sf_dir)
+    return definitions.summarise(definitions.classify(own), definitions.changes(own))
+
+
+@query(f"""with {_CLASSIFIED} select path as changed, 'pkg' || cast((g + 1) % 400 as string) as dependent, case category when 'breaking' then 'May be broken by changes in ' || path || ': ' || description
+ when 'additive' then 'New APIs available from ' || path || ': ' || description when 'internal' then 'Internal changes in ' || path || ' (no API impact expected)'
+ else 'Documentation updated in ' || path || ' (no code impact)' end as impact from cl where category <> 'unknown'""")
+def import_impact(spark, sf_dir):
+    return definitions.import_impact(definitions.classify(definition_files(spark, sf_dir)), package_edges(spark, sf_dir))
+
+
+@query(f"""with d as ({_DEFS}), f as (select 'pkg' || cast(g as string) || '/a.py' as path, 'pkg' || cast(g as string) as module, list(name order by k) filter (where type = 'class' and is_public and in_new) as c,
+ list(name order by k) filter (where type = 'function' and is_public and in_new) as fn from d where in_new and is_public group by g)
+ select module, path, array_to_string(c[1:5], ',') as classes, array_to_string(fn[1:5], ',') as functions from f""")
+def api_top5(spark, sf_dir):
+    own = definition_files(spark, sf_dir).select(F.concat("path", F.lit("/a.py")).alias("path"), F.col("new_definitions").alias("definitions"))
+    none = graph.core(own.select(F.col("path").alias("src"), F.col("path").alias("dst")).limit(0))
+    out = profile.api_listing(profile.public_api(own), none)
+    joined = lambda c: F.when(F.size(c) > 0, F.array_join(c, ",")).alias(c)
+    return out.select("module", "path", joined("classes"), joined("functions"))
+
+
+# --- source text made from parts
+
+_PY = """'import pkg' || cast(p_size as string) || '.m' || cast(p_partkey as string) || chr(10) || 'from .x' || cast(p_size as string) || ' import y' || chr(10) || 'import os as o' || chr(10) || 'class C' || cast(p_partkey as string) || ':' || chr(10)
+ || '    def m_' || cast(p_partkey as string) || '(self, a: int, b=1):' || chr(10) || '        return "' || p_name || '"  # def no()' || chr(10) || 'def _f' || cast(p_partkey as string) || '(x) -> int:' || chr(10) || '    return x' || chr(10)"""
+_JS = """'import y from "./m' || cast(p_partkey as string) || '"' || chr(10) || 'export class K' || cast(p_partkey as string) || ' { run(a, b) { return a } _hid() { if (x) { y() } } }' || chr(10)
+ || 'function g' || cast(p_partkey as string) || '(x, y = 2) { const t = `v${x}`; return t }' || chr(10) || '// class No {}' || chr(10) || 'const z' || cast(p_partkey as string) || ' = /a"b/;' || chr(10)"""
+
+
+def _parsed(spark, sf_dir, sql: str, language: str) -> DataFrame:
+    own = table(spark, sf_dir, "part").selectExpr("p_partkey", f"{sql} as content", f"'{language}' as language")
+    return parse.parsed(own)
+
+
+def _definitions(df: DataFrame) -> DataFrame:
+    own = df.select("p_partkey", F.explode("definitions").alias("d"))
+    return own.select("p_partkey", "d.name", "d.type", "d.line", "d.is_public", F.array_join("d.parameters", ";").alias("parameters"), F.col("d.return_type").alias("return_type"))
+
+
+@query("""select p_partkey, 'C' || cast(p_partkey as string) as name, 'class' as type, cast(4 as int) as line, true as is_public, '' as parameters, null as return_type from part
+ union all select p_partkey, 'm_' || cast(p_partkey as string), 'function', 5, true, 'self;a: int;b=...', null from part
+ union all select p_partkey, '_f' || cast(p_partkey as string), 'function', 7, false, 'x', 'int' from part""")
+def parse_python_defs(spark, sf_dir):
+    return _definitions(_parsed(spark, sf_dir, _PY, "python"))
+
+
+@query("""select p_partkey, 'K' || cast(p_partkey as string) as name, 'class' as type, cast(2 as int) as line, true as is_public, '' as parameters, cast(null as string) as return_type from part
+ union all select p_partkey, 'run', 'method', 2, true, 'a;b', null from part union all select p_partkey, '_hid', 'method', 2, false, '', null from part
+ union all select p_partkey, 'g' || cast(p_partkey as string), 'function', 3, true, 'x;y=...', null from part union all select p_partkey, 't', 'variable', 3, true, '', null from part
+ union all select p_partkey, 'z' || cast(p_partkey as string), 'variable', 5, true, '', null from part""")
+def parse_js_defs(spark, sf_dir):
+    return _definitions(_parsed(spark, sf_dir, _JS, "javascript"))
+
+
+@query("""select p_partkey, 'pkg' || cast(p_size as string) || '.m' || cast(p_partkey as string) as import from part union all select p_partkey, '.x' || cast(p_size as string) from part
+ union all select p_partkey, './m' || cast(p_partkey as string) from part""")
+def imports_extract(spark, sf_dir):
+    both = _parsed(spark, sf_dir, _PY, "python").select("p_partkey", "imports").unionByName(_parsed(spark, sf_dir, _JS, "javascript").select("p_partkey", "imports"))
+    return both.select("p_partkey", F.explode("imports").alias("import"))
+
+
+_README = """'pre ' || cast(doc_id as string) || chr(10) || '## Alpha' || chr(10) || 'x' || cast(doc_id as string) || chr(10) || '## Beta' || chr(10) || lang || chr(10) || case when doc_id % 5 = 0 then '## Alpha' || chr(10) || 'again' else '' end"""
+
 
-def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+@query("""select doc_id, cast(0 as int) as ord, '_preamble' as title, 'pre ' || cast(doc_id as string) as content from documents
+ union all select doc_id, 1, 'Alpha', case when doc_id % 5 = 0 then 'again' else 'x' || cast(doc_id as string) end from documents union all select doc_id, 2, 'Beta', lang from documents""")
+def section_split(spark, sf_dir):
+    own = table(spark, sf_dir, "documents").selectExpr("doc_id", f"{_README} as t")
+    return own.select("doc_id", F.explode(text.sections(F.col("t"))).alias("s")).select("doc_id", "s.*")
 
 
-def scan_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).agg(F.count("*").alias("total_files"))
+@query("select doc_id, '## ' || lang || chr(10) || chr(10) || source || chr(10) as section, upper(lang[1]) || lang[2:] as title, case when length(text) > 100 then text[1:97] || '...' else text end as short from documents")
+def section_render(spark, sf_dir):
+    own = table(spark, sf_dir, "documents")
+    return own.select("doc_id", text.rendered(F.col("lang"), F.col("source")).alias("section"), text.capitalised(F.col("lang")).alias("title"), text.clipped(F.col("text")).alias("short"))
 
 
-QUERIES = {"scan_summary": scan_summary}
-ORACLE_SQL = {"scan_summary": "select count(*) as total_files from documents"}
+@query("""with e as (select user_id, ts, event_type, case when ts - lag(ts) over (partition by user_id order by ts) < interval 10 minutes then 0 else 1 end as f from events),
+ b as (select *, sum(f) over (partition by user_id order by ts rows unbounded preceding) as n from e)
+ select user_id, min(ts) as batch_start, max(ts) as batch_end, count(*) as n_events, count(distinct event_type) as n_items from b group by user_id, n""")
+def debounce_batches(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    out = debounce.batches(events, 600, "user_id", "event_type")
+    return out.select("user_id", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("batch_start", "batch_end")), "n_events", "n_items")
