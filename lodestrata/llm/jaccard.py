@@ -29,7 +29,9 @@ from pyspark.sql import functions as F
 from .common import forget, pick, written
 
 SHINGLE, THRESHOLD, TREES, DEPTH, TARGET = 5, 0.8, 24, 8, 0.9999
-BLOCK_ROWS, BLOCK_SHINGLES = 1500, 1_500_000
+BLOCK_ROWS, BLOCK_SHINGLES = 600, 600_000
+#: Rows of candidates, of some 60 bytes each, that may be sent to every executor; more of them are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 _WORDS: dict = {}
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
@@ -286,6 +288,9 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, max_
         F.col("root").alias("comp"), "g", F.pmod(F.xxhash64("node"), F.col("g")).cast("int").alias("block"), "node", F.col("doc_id").alias("d"), "sha", "w"
     )
     texts = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("s", F.unhex(F.sha1(F.col("text").cast("binary"))))
+    wanted = written(wanted)
+    if wanted.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
     candidates = texts.join(wanted, texts.doc_id.eqNullSafe(wanted.d) & (texts.s == wanted.sha))
     links = written(checked(candidates, trees, depth, threshold))
     groups = components(links.where("node <> near"), "node", "near")
