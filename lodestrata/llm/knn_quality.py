@@ -68,7 +68,7 @@ def vote(cosines: np.ndarray, labels: np.ndarray, prior: float, k: int = NEIGHBO
 
 def gather(docs: DataFrame, labels: DataFrame, learn: Column, per_label: int) -> tuple[list, dict]:
     """(label, buckets, counts) of the sampled rows, and how many labelled rows each label has."""
-    marked = pick(labels, "doc_id", "quality").where(F.col("quality").isin(0, 1) & learn).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    marked = pick(labels, "doc_id", "quality").where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & learn).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     totals = {r["quality"]: r["n"] for r in marked.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     rows = None
     for q in sorted(totals):
