@@ -23,27 +23,49 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Characters in a leaf, and entries and bytes a worker keeps for short runs.
-LEAF, CACHE_ENTRIES, CACHE_KEY_BYTES = 256, 250_000, 40
+LEAF, CACHE_ENTRIES, CACHE_KEY_BYTES = 256, 400_000, 40
+#: ASCII and Latin-1 letters before ASCII symbols: two pieces.
+_BEFORE_SYMBOLS = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-/:-@\[-`{-~]+)")
 _ENCODERS: dict = {}
 
 
 class _Runs(dict):
-    """Run of UTF-8 bytes -> ids as little-endian unsigned 32-bit; fills itself."""
+    """Run of UTF-8 bytes -> ids as little-endian unsigned 32-bit; those that it does not keep it looks up anew."""
 
     def __init__(self, encoder: TreeEncoder, entries: int):
         super().__init__()
-        self.encoder, self.entries = encoder, entries
+        self.encoder, self.entries, self.passing = encoder, entries, {}
 
     def __missing__(self, run: bytes) -> bytes:
-        # a stop or comma after an ASCII letter is always a piece of its own at the end of a run
-        if len(run) > 1 and run[-1] in b".," and (run[-2:-1].isalpha()) and b"<|" not in run:
-            ids = self[run[:-1]] + self.encoder.ends[run[-1]]
-        else:
-            ids = self.encoder.encode_run(run.decode("utf-8", "replace"))
-        if len(run) <= CACHE_KEY_BYTES and len(self) < self.entries:
-            self[run] = ids
+        ids = self.passing.get(run)
+        if ids is None:
+            self.learn({run})
+            ids = dict.get(self, run) or self.passing[run]
         return ids
 
+    def learn(self, runs: set[bytes]) -> None:
+        """Encode runs that are not known, all short ones in one call; what there is no room for stays until the next call."""
+        new: dict[bytes, bytes] = {}
+        cut, single = {}, set()
+        for run in runs:
+            if len(run) <= self.encoder.leaf and (m := _BEFORE_SYMBOLS.fullmatch(run)):
+                cut[run] = m.groups()
+                single.update(x for x in m.groups() if x not in self)
+            else:
+                single.add(run)
+        short = [x for x in single if len(x) <= self.encoder.leaf]
+        for x, e in zip(short, self.encoder.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in short], add_special_tokens=False)):
+            new[x] = self.encoder.packed(e.ids)
+        for x in single:
+            if x not in new:
+                new[x] = self.encoder.encode_run(x.decode("utf-8", "replace"))
+        for run, (letters, symbols) in cut.items():
+            new[run] = (new.get(letters) or self[letters]) + (new.get(symbols) or self[symbols])
+        room = self.entries - len(self)
+        kept = dict([kv for kv in new.items() if len(kv[0]) <= CACHE_KEY_BYTES][:room]) if room > 0 else {}
+        self.update(kept)
+        self.passing = {k: v for k, v in new.items() if k not in kept} if len(kept) < len(new) else {}
+
 
 class TreeEncoder:
     def __init__(self, path: str, leaf: int = LEAF, cache_entries: int = CACHE_ENTRIES):
@@ -64,7 +86,6 @@ class TreeEncoder:
         self.names = [self.tokenizer.id_to_token(i) or "" for i in range(n)]
         self.plain = [x.removesuffix(self.suffix) if self.suffix else x for x in self.names]
         self.leaf = max(2, leaf)
-        self.ends = {ord(c): self.packed(self._library(c)) for c in ".,"}
         self.runs = _Runs(self, cache_entries)
 
     @staticmethod
@@ -75,15 +96,39 @@ class TreeEncoder:
     def _library(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def encode(self, text: str | bytes | None) -> bytes:
-        """Ids of a whole text as little-endian unsigned 32-bit numbers."""
-        if not text:
-            return b""
-        raw = text if isinstance(text, bytes) else text.encode("utf-8", "replace")
+    @staticmethod
+    def split(text: str | bytes | None) -> list[bytes]:
+        """Runs without ASCII white space."""
+        raw = text if isinstance(text, bytes) else (text or "").encode("utf-8", "replace")
         # ASCII capitals may be lowered before composing, unless a combining mark or a special token could be changed
         if b"\xcc" not in raw and b"\xcd" not in raw and b"<|" not in raw:
             raw = raw.lower()
-        return b"".join(map(self.runs.__getitem__, raw.split()))
+        return raw.split()
+
+    def encode_many(self, texts: list) -> list[bytes]:
+        """Ids of whole texts as little-endian unsigned 32-bit numbers."""
+        out, known = [], self.runs
+        for some in self._groups(texts):
+            runs = [self.split(t) for t in some]
+            if new := {x for x in set().union(*runs) if x not in known}:
+                known.learn(new)
+            out += [b"".join(map(known.__getitem__, r)) for r in runs]
+        return out
+
+    @staticmethod
+    def _groups(texts: list, most: int = 1 << 20):
+        """texts in groups of about a million characters."""
+        at, size = 0, 0
+        for i, t in enumerate(texts):
+            size += len(t or "")
+            if size >= most:
+                yield texts[at : i + 1]
+                at, size = i + 1, 0
+        if at < len(texts):
+            yield texts[at:]
+
+    def encode(self, text: str | bytes | None) -> bytes:
+        return self.encode_many([text])[0]
 
     def ids(self, text: str | None) -> list[int]:
         return array("I", self.encode(text)).tolist()
@@ -146,7 +191,7 @@ def encode_column(text: Column, path: str, leaf: int = LEAF) -> Column:
     """array<int> of ids of every whole text."""
     def run(texts: pa.Array) -> pa.Array:
         e = encoder(path, leaf)
-        return pa.array([e.ids(x) for x in texts.to_pylist()], pa.list_(pa.int32()))
+        return pa.array([array("I", x).tolist() for x in e.encode_many(texts.to_pylist())], pa.list_(pa.int32()))
 
     return F.arrow_udf(run, "array<int>")(text)
 
@@ -169,8 +214,8 @@ def digests_column(text: Column, path: str, leaf: int = LEAF) -> Column:
     def run(texts: pa.Array) -> pa.Array:
         e, out = encoder(path, leaf), []
         digits = [str(i) for i in range(len(e.names))]
-        for x in texts:
-            ids = array("I", e.encode(x.as_py()))
+        for packed in e.encode_many(texts.to_pylist()):
+            ids = array("I", packed)
             out.append((
                 len(ids),
                 hashlib.sha256(" ".join([digits[i] for i in ids]).encode()).hexdigest(),

@@ -96,8 +96,8 @@ def tokenised(docs: DataFrame, path: str, capacity: int = CAPACITY, closing_id:
         e, part, full, ranks = encoder(path), TaskContext.get().partitionId(), 0, {}
         for batch in batches:
             rows = []
-            for text in batch.column(1):
-                ids = e.encode(text.as_py()) + closing
+            for packed in e.encode_many(batch.column(1).to_pylist()):
+                ids = packed + closing
                 n = len(ids) // 4
                 rest = n % capacity
                 rank = ranks.get(rest, 0)
