@@ -15,6 +15,7 @@ as the library does.  Ids outside the vocabulary are skipped on decoding.
 from __future__ import annotations
 
 import json
+import os
 import re
 from array import array
 
@@ -25,10 +26,15 @@ from pyspark.sql import functions as F
 #: Characters in a leaf, and entries and bytes a worker keeps for short runs.
 LEAF, CACHE_ENTRIES, CACHE_KEY_BYTES = 256, 400_000, 40
 #: ASCII and Latin-1 letters before ASCII symbols: two pieces.
-_BEFORE_SYMBOLS = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-/:-@\[-`{-~]+)")
+_BEFORE_SYMBOLS = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-/:-@\[-`]+)")
 _ENCODERS: dict = {}
 
 
+def _threads(several: bool) -> None:
+    """Whether the library's batch calls use several threads from now on."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "true" if several else "false"
+
+
 class _Runs(dict):
     """Run of UTF-8 bytes -> ids as little-endian unsigned 32-bit; those that it does not keep it looks up anew."""
 
@@ -48,12 +54,16 @@ class _Runs(dict):
         new: dict[bytes, bytes] = {}
         cut, single = {}, set()
         for run in runs:
-            if len(run) <= self.encoder.leaf and (m := _BEFORE_SYMBOLS.fullmatch(run)):
-                cut[run] = m.groups()
-                single.update(x for x in m.groups() if x not in self)
+            if run[-1] < 97 and len(run) <= self.encoder.leaf and (m := _BEFORE_SYMBOLS.fullmatch(run)):
+                cut[run] = letters, symbols = m.groups()
+                if letters not in self:
+                    single.add(letters)
+                if symbols not in self:
+                    single.add(symbols)
             else:
                 single.add(run)
         short = [x for x in single if len(x) <= self.encoder.leaf]
+        _threads(False)  # a task has one core; only leaves of long text are worth more
         for x, e in zip(short, self.encoder.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in short], add_special_tokens=False)):
             new[x] = self.encoder.packed(e.ids)
         for x in single:
@@ -110,9 +120,11 @@ class TreeEncoder:
         out, known = [], self.runs
         for some in self._groups(texts):
             runs = [self.split(t) for t in some]
-            if new := {x for x in set().union(*runs) if x not in known}:
+            found = [list(map(known.get, r)) for r in runs]
+            if new := {x for r, f in zip(runs, found) if None in f for x, ids in zip(r, f) if ids is None}:
                 known.learn(new)
-            out += [b"".join(map(known.__getitem__, r)) for r in runs]
+                found = [[known[x] if ids is None else ids for x, ids in zip(r, f)] if None in f else f for r, f in zip(runs, found)]
+            out += map(b"".join, found)
         return out
 
     @staticmethod
@@ -160,6 +172,7 @@ class TreeEncoder:
         n = 1 << (-(-len(piece) // self.leaf) - 1).bit_length()
         cuts = [len(piece) * i // n for i in range(n + 1)]
         leaves = [piece[a:b] for a, b in zip(cuts, cuts[1:])]
+        _threads(True)
         level = [e.ids for e in self.inner.encode_batch(leaves[:-1], add_special_tokens=False)]
         level.append([t.id for t in self.tokenizer.model.tokenize(leaves[-1])])
         while len(level) > 1:
