@@ -17,7 +17,7 @@ from .plans.scan import Scan, scan
 from .sources import state, tree
 from .sources.config import Config, ConfigError
 
-FOLDER, STATE, CONFIG = ".autodoc", "state.json", "config.yaml"
+FOLDER, STATE, CONFIG = ".lodestrata", "state.json", "config.yaml"
 
 
 def session() -> SparkSession:

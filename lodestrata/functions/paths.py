@@ -13,8 +13,8 @@ LANGUAGES = {
 }
 # Suffixes that the parsers know.
 PARSER_LANGUAGES = {".py": "python", ".js": "javascript", ".jsx": "jsx", ".ts": "typescript", ".tsx": "tsx", ".mjs": "javascript", ".cjs": "javascript"}
-# Names of folders that are never scanned.
-IGNORED = [".git", ".autodoc", ".venv", "venv", "env", ".env", "node_modules", "__pycache__", ".pytest_cache", ".mypy_cache", ".tox", "dist", "build", ".eggs"]
+# Fixed values, but for the folder of our own state: names of folders that are never scanned.
+IGNORED = [".git", ".lodestrata", ".venv", "venv", "env", ".env", "node_modules", "__pycache__", ".pytest_cache", ".mypy_cache", ".tox", "dist", "build", ".eggs"]
 IGNORED_END = ".egg-info"
 # Files that are scanned whatever their suffix.
 ALWAYS = [

@@ -18,7 +18,7 @@ DEFAULT_GAP, DEFAULT_INTERVAL = 2.0, 1.0
 
 def wanted(events: DataFrame, include: list[str], exclude: list[str]) -> DataFrame:
     """Events of files that a watch is about."""
-    own = F.array(F.lit(".git"), F.lit(".autodoc"))
+    own = F.array(F.lit(".git"), F.lit(".lodestrata"))
     inside = F.arrays_overlap(paths.parts(F.col("path")), own)
     return events.where(~F.col("is_directory") & ~inside & ~paths.matches(F.col("path"), exclude) & paths.matches(F.col("path"), include))
 
