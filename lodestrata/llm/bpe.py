@@ -18,16 +18,20 @@ import json
 import os
 import re
 from array import array
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .common import kept
+
 #: Characters in a leaf, and entries and bytes a worker keeps for short runs.
 LEAF, CACHE_ENTRIES, CACHE_KEY_BYTES = 256, 400_000, 40
+#: Texts that are encoded together.
+GROUP = 128
 #: ASCII and Latin-1 letters before ASCII symbols: two pieces.
 _BEFORE_SYMBOLS = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-/:-@\[-`]+)")
-_ENCODERS: dict = {}
 
 
 def _threads(several: bool) -> None:
@@ -115,32 +119,23 @@ class TreeEncoder:
             raw = raw.lower()
         return raw.split()
 
-    def encode_many(self, texts: list) -> list[bytes]:
-        """Ids of whole texts as little-endian unsigned 32-bit numbers."""
-        out, known = [], self.runs
-        for some in self._groups(texts):
-            runs = [self.split(t) for t in some]
+    def encode_many(self, texts) -> Iterator[bytes]:
+        """Ids of whole texts (a list or an Arrow array) as little-endian unsigned 32-bit numbers, one text after another.
+
+        Texts are taken in groups of GROUP; only one group is held at a time.
+        """
+        known = self.runs
+        for at in range(0, len(texts), GROUP):
+            some = texts[at : at + GROUP]
+            runs = [self.split(t) for t in (some.to_pylist() if isinstance(some, pa.Array) else some)]
             found = [list(map(known.get, r)) for r in runs]
             if new := {x for r, f in zip(runs, found) if None in f for x, ids in zip(r, f) if ids is None}:
                 known.learn(new)
                 found = [[known[x] if ids is None else ids for x, ids in zip(r, f)] if None in f else f for r, f in zip(runs, found)]
-            out += map(b"".join, found)
-        return out
-
-    @staticmethod
-    def _groups(texts: list, most: int = 1 << 20):
-        """texts in groups of about a million characters."""
-        at, size = 0, 0
-        for i, t in enumerate(texts):
-            size += len(t or "")
-            if size >= most:
-                yield texts[at : i + 1]
-                at, size = i + 1, 0
-        if at < len(texts):
-            yield texts[at:]
+            yield from map(b"".join, found)
 
     def encode(self, text: str | bytes | None) -> bytes:
-        return self.encode_many([text])[0]
+        return next(self.encode_many([text]))
 
     def ids(self, text: str | None) -> list[int]:
         return array("I", self.encode(text)).tolist()
@@ -194,17 +189,17 @@ class TreeEncoder:
 
 def encoder(path: str, leaf: int = LEAF, cache_entries: int = CACHE_ENTRIES) -> TreeEncoder:
     """One encoder for each Python worker."""
-    key = path, leaf, cache_entries
-    if key not in _ENCODERS:
-        _ENCODERS[key] = TreeEncoder(*key)
-    return _ENCODERS[key]
+    own, key = kept("bpe"), (path, leaf, cache_entries)
+    if key not in own:
+        own[key] = TreeEncoder(*key)
+    return own[key]
 
 
 def encode_column(text: Column, path: str, leaf: int = LEAF) -> Column:
     """array<int> of ids of every whole text."""
     def run(texts: pa.Array) -> pa.Array:
         e = encoder(path, leaf)
-        return pa.array([array("I", x).tolist() for x in e.encode_many(texts.to_pylist())], pa.list_(pa.int32()))
+        return pa.array([array("I", x).tolist() for x in e.encode_many(texts)], pa.list_(pa.int32()))
 
     return F.arrow_udf(run, "array<int>")(text)
 
@@ -226,12 +221,11 @@ def digests_column(text: Column, path: str, leaf: int = LEAF) -> Column:
 
     def run(texts: pa.Array) -> pa.Array:
         e, out = encoder(path, leaf), []
-        digits = [str(i) for i in range(len(e.names))]
-        for packed in e.encode_many(texts.to_pylist()):
+        for packed in e.encode_many(texts):
             ids = array("I", packed)
             out.append((
                 len(ids),
-                hashlib.sha256(" ".join([digits[i] for i in ids]).encode()).hexdigest(),
+                hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(),
                 hashlib.sha256(e.decode(ids).encode()).hexdigest(),
             ))
         n, a, b = zip(*out) if out else ((), (), ())

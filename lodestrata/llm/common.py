@@ -57,6 +57,18 @@ def forget(df: DataFrame) -> None:
         at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: What this Python worker keeps from task to task: name -> table.
+KEPT: dict[str, dict] = {}
+
+
+def kept(name: str) -> dict:
+    """A table that this worker keeps under a name; those under other names are let go, so that the tables of several
+    operators that run one after another never add up."""
+    for other in [k for k in KEPT if k != name]:
+        KEPT.pop(other).clear()
+    return KEPT.setdefault(name, {})
+
+
 def key_crc(column: str | Column) -> Column:
     """crc32 of a key as decimal text, the remainder of which splits rows into folds; null for a null key."""
     return F.crc32(F.col(column).cast("string").cast("binary")) if isinstance(column, str) else F.crc32(column.cast("string").cast("binary"))

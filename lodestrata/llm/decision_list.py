@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, written
+from .common import kept, pick, written
 
 MAX_LABELLED, WINDOW, MIN_WORDS, LONG_WORDS = 20_000, 8, 20, 200_000
 SYMBOLS, BLANKS = b"#*$%&|<>", b" \t\n\x0b\x0c\r"
@@ -81,6 +81,7 @@ def statistics_column(text: Column) -> Column:
     fields = [pa.field(x, pa.int64()) for x in STATS]
 
     def run(texts: pa.Array) -> pa.Array:
+        kept("quality")
         cols = list(zip(*(statistics(x.as_py()) for x in texts))) or [()] * len(fields)
         return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in cols], fields=fields)
 

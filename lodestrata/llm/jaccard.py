@@ -26,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import forget, pick, written
+from .common import forget, kept, pick, written
 
 SHINGLE, THRESHOLD, TREES, DEPTH, TARGET = 5, 0.8, 24, 8, 0.9999
 BLOCK_ROWS, BLOCK_SHINGLES = 600, 600_000
 #: Rows of candidates, of some 60 bytes each, that may be sent to every executor; more of them are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
-_WORDS: dict = {}
+WORDS = 200_000
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
@@ -50,13 +50,14 @@ def prefix_depth(threshold: float = THRESHOLD, trees: int = TREES, depth: int =
     return k
 
 
-def _word_hash(word: bytes) -> int:
-    h = _WORDS.get(word)
-    if h is None:
+class _Hashes(dict):
+    """Word -> 64-bit hash, kept for the first WORDS short words."""
+
+    def __missing__(self, word: bytes) -> int:
         h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        if len(_WORDS) < 400_000 and len(word) < 64:
-            _WORDS[word] = h
-    return h
+        if len(self) < WORDS and len(word) < 64:
+            self[word] = h
+        return h
 
 
 def shingles(text: str | bytes | None) -> np.ndarray:
@@ -64,7 +65,8 @@ def shingles(text: str | bytes | None) -> np.ndarray:
     words = (text if isinstance(text, bytes) else (text or "").encode("utf-8", "replace")).split()
     if not words:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_word_hash, words), np.uint64, len(words))
+    own = kept("jaccard").setdefault("words", _Hashes())
+    h = np.fromiter(map(own.__getitem__, words), np.uint64, len(words))
     n = min(SHINGLE, len(h))
     out = np.full(len(h) - n + 1, n, np.uint64)
     for i in range(n):

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import key_crc, pick
+from .common import kept, key_crc, pick
 from .counts import hashed_counts, inverse_frequency, rows_with, weighted
 
 BUCKETS, ORDERS, SAMPLE, EPOCHS = 4096, range(1, 4), 4000, 3
@@ -138,6 +138,7 @@ def predict_column(text: Column, model) -> Column:
     fields = [pa.field("lang_pred", pa.string()), pa.field("score", pa.float64())]
 
     def run(texts: pa.Array) -> pa.Array:
+        kept("languages")
         names, idf, w, t = model.value
         langs, scores = [], []
         for x in texts:

@@ -96,7 +96,7 @@ def tokenised(docs: DataFrame, path: str, capacity: int = CAPACITY, closing_id:
         e, part, full, ranks = encoder(path), TaskContext.get().partitionId(), 0, {}
         for batch in batches:
             rows = []
-            for packed in e.encode_many(batch.column(1).to_pylist()):
+            for packed in e.encode_many(batch.column(1)):
                 ids = packed + closing
                 n = len(ids) // 4
                 rest = n % capacity
