@@ -5,8 +5,8 @@ counted over all of them.  Weights are trained on a bounded sample with the foll
 for every coordinate and an elastic net (L1 gives exact zeros, L2 shrinks the rest); one temperature, fitted on sampled rows
 that were not trained on, calibrates the scores.
 
-Bound: about SAMPLE rows in all, the same share of it for each language, drawn by hashed keys; each has at most BUCKETS
-numbers.  Only rows for which `learn` holds and lang is not null give anything to the model.
+Bound: about SAMPLE rows in all, the same share of it for each language, drawn by hashed keys and texts; each has at most
+BUCKETS numbers.  Only rows with a key, a text and a lang for which `learn` holds give anything to the model.
 
 Cases: null texts and those without a letter are `und` with score 0; without training rows everything is; with a single
 language that language is predicted with score 1.
@@ -96,8 +96,8 @@ def gather(train_docs: DataFrame, sample: int) -> tuple[list[str], list]:
     share = max(1, sample // len(names))
     rates = train_docs.sparkSession.createDataFrame([(r["lang"], min(1.0, share / r["n"]), names.index(r["lang"])) for r in totals], "lang string, rate double, label int")
     # at most `sample` languages
-    drawn = train_docs.join(F.broadcast(rates), "lang").where((F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003.0) < F.col("rate"))
-    chosen = drawn.select("label", "text", (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(5)) == 0).alias("held"))
+    drawn = train_docs.join(F.broadcast(rates), "lang").where((F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_003)) / 1_000_003.0) < F.col("rate"))
+    chosen = drawn.select("label", "text", (F.pmod(F.xxhash64("doc_id", "text", F.lit(1)), F.lit(5)) == 0).alias("held"))
 
     def run(batches):
         for batch in batches:
@@ -117,7 +117,7 @@ def gather(train_docs: DataFrame, sample: int) -> tuple[list[str], list]:
 
 def model_of(docs: DataFrame, learn: Column | None = None, sample: int = SAMPLE):
     """(languages, idf, weights, temperature) from the rows of docs (doc_id, text, lang) for which learn holds."""
-    own = pick(docs, "doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.lit(True) if learn is None else learn))
+    own = pick(docs, "doc_id", "text", "lang").where("doc_id is not null and lang is not null and text is not null").where((F.lit(True) if learn is None else learn))
     names, rows = gather(own, sample)
     if not rows:
         return [], None, None, 1.0
