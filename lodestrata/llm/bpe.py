@@ -20,6 +20,7 @@ import re
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -30,8 +31,9 @@ from .common import kept
 LEAF, CACHE_ENTRIES, CACHE_KEY_BYTES = 256, 400_000, 40
 #: Texts that are encoded together.
 GROUP = 128
-#: ASCII and Latin-1 letters before ASCII symbols: two pieces.
-_BEFORE_SYMBOLS = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-/:-@\[-`]+)")
+#: ASCII and Latin-1 letters: one piece; before ASCII symbols: two pieces.
+_LETTERS = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+_BEFORE_SYMBOLS = re.compile(rb"(" + _LETTERS.pattern + rb")([!-/:-@\[-`]+)")
 
 
 def _threads(several: bool) -> None:
@@ -40,45 +42,37 @@ def _threads(several: bool) -> None:
 
 
 class _Runs(dict):
-    """Run of UTF-8 bytes -> ids as little-endian unsigned 32-bit; those that it does not keep it looks up anew."""
+    """Run of UTF-8 bytes -> ids as little-endian unsigned 32-bit, kept for the first `entries` short runs."""
 
     def __init__(self, encoder: TreeEncoder, entries: int):
         super().__init__()
-        self.encoder, self.entries, self.passing = encoder, entries, {}
-
-    def __missing__(self, run: bytes) -> bytes:
-        ids = self.passing.get(run)
-        if ids is None:
-            self.learn({run})
-            ids = dict.get(self, run) or self.passing[run]
-        return ids
-
-    def learn(self, runs: set[bytes]) -> None:
-        """Encode runs that are not known, all short ones in one call; what there is no room for stays until the next call."""
-        new: dict[bytes, bytes] = {}
-        cut, single = {}, set()
+        self.encoder, self.entries = encoder, entries
+
+    def learn(self, runs: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of runs that are not known; all short pieces are encoded in one call."""
+        _threads(False)  # a task has one core; only leaves of long text are worth more
+        leaf = self.encoder.leaf
+        cut, pieces, others = {}, set(), []
         for run in runs:
-            if run[-1] < 97 and len(run) <= self.encoder.leaf and (m := _BEFORE_SYMBOLS.fullmatch(run)):
-                cut[run] = letters, symbols = m.groups()
-                if letters not in self:
-                    single.add(letters)
-                if symbols not in self:
-                    single.add(symbols)
+            if len(run) > leaf:
+                others.append(run)
+            elif _LETTERS.fullmatch(run):
+                pieces.add(run)
+            elif m := _BEFORE_SYMBOLS.fullmatch(run):
+                cut[run] = m.groups()
+                pieces.update(x for x in m.groups() if x not in self)
             else:
-                single.add(run)
-        short = [x for x in single if len(x) <= self.encoder.leaf]
-        _threads(False)  # a task has one core; only leaves of long text are worth more
-        for x, e in zip(short, self.encoder.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in short], add_special_tokens=False)):
-            new[x] = self.encoder.packed(e.ids)
-        for x in single:
-            if x not in new:
-                new[x] = self.encoder.encode_run(x.decode("utf-8", "replace"))
+                others.append(run)
+        new = self.encoder.encode_pieces(list(pieces))
+        short = [x for x in others if len(x) <= leaf]
+        batch = self.encoder.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in short], add_special_tokens=False)
+        new |= {x: self.encoder.packed(e.ids) for x, e in zip(short, batch)}
+        new |= {x: self.encoder.encode_run(x.decode("utf-8", "replace")) for x in others if len(x) > leaf}
         for run, (letters, symbols) in cut.items():
             new[run] = (new.get(letters) or self[letters]) + (new.get(symbols) or self[symbols])
-        room = self.entries - len(self)
-        kept = dict([kv for kv in new.items() if len(kv[0]) <= CACHE_KEY_BYTES][:room]) if room > 0 else {}
-        self.update(kept)
-        self.passing = {k: v for k, v in new.items() if k not in kept} if len(kept) < len(new) else {}
+        if (room := self.entries - len(self)) > 0:
+            self.update([kv for kv in new.items() if len(kv[0]) <= CACHE_KEY_BYTES][:room])
+        return new
 
 
 class TreeEncoder:
@@ -99,6 +93,7 @@ class TreeEncoder:
         n = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.names = [self.tokenizer.id_to_token(i) or "" for i in range(n)]
         self.plain = [x.removesuffix(self.suffix) if self.suffix else x for x in self.names]
+        self.is_end = np.array([bool(self.suffix) and x.endswith(self.suffix) for x in self.names])
         self.leaf = max(2, leaf)
         self.runs = _Runs(self, cache_entries)
 
@@ -108,7 +103,7 @@ class TreeEncoder:
         return out.tobytes()
 
     def _library(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     @staticmethod
     def split(text: str | bytes | None) -> list[bytes]:
@@ -128,11 +123,23 @@ class TreeEncoder:
         for at in range(0, len(texts), GROUP):
             some = texts[at : at + GROUP]
             runs = [self.split(t) for t in (some.to_pylist() if isinstance(some, pa.Array) else some)]
-            found = [list(map(known.get, r)) for r in runs]
-            if new := {x for r, f in zip(runs, found) if None in f for x, ids in zip(r, f) if ids is None}:
-                known.learn(new)
-                found = [[known[x] if ids is None else ids for x, ids in zip(r, f)] if None in f else f for r, f in zip(runs, found)]
-            yield from map(b"".join, found)
+            distinct = set().union(*runs)
+            own = dict(zip(distinct, map(known.get, distinct)))
+            if new := [x for x, ids in own.items() if ids is None]:
+                own |= known.learn(new)
+            for r in runs:
+                yield b"".join(map(own.__getitem__, r))
+
+    def encode_pieces(self, pieces: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of short pieces that the library does not split, each of which ends with an end-of-word token."""
+        if not pieces:
+            return {}
+        ids = np.array(self._library(b" ".join(pieces).decode("utf-8", "replace")), np.uint32)
+        ends = (4 * (np.flatnonzero(self.is_end[ids]) + 1)).tolist()
+        if len(ends) != len(pieces):  # a vocabulary that does not mark the ends of words
+            return {x: self.packed(self._library(x.decode("utf-8", "replace"))) for x in pieces}
+        raw = ids.astype("<u4").tobytes()
+        return {x: raw[a:b] for x, a, b in zip(pieces, [0, *ends], ends)}
 
     def encode(self, text: str | bytes | None) -> bytes:
         return next(self.encode_many([text]))
