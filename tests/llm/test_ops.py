@@ -86,6 +86,16 @@ def test_bpe_is_the_librarys(library, docs):
         assert e.decode(want) == library.decode(want, skip_special_tokens=False)
 
 
+def test_bpe_unknown_runs(library):
+    """Runs of every kind side by side, with a table that is soon full."""
+    rng = random.Random(7)
+    parts = ["a", "Be", "é", "Ñ", "ß", "$", "#!", "'s", "'", "1", " ", "\n", "\u0301", "\u0327", "<|endoftext|>", "×", "÷", "\u00a0", "ſ", "\u212a", "İ", "字", "@", "[", "`", "</w>", "\x1c", "x" * 300]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(4000)]
+    e = bpe.TreeEncoder(queries.vocabulary_path(), cache_entries=50)
+    assert [array("I", x).tolist() for x in e.encode_many(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(e.runs) == 50
+
+
 def test_bpe_white_space(library):
     e = bpe.TreeEncoder(queries.vocabulary_path())
     for c in range(0x3100):
