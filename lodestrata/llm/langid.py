@@ -27,13 +27,21 @@ from .counts import hashed_counts, inverse_frequency, rows_with, weighted
 BUCKETS, ORDERS, SAMPLE, EPOCHS = 4096, range(1, 4), 4000, 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.01
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER, _NOT_LETTERS = re.compile(r"[^\W\d_]"), re.compile(r"[\W\d_]+")
+#: Rows from which a language's own bound is read, the share of them under the bound's quantile, and the errors of the
+#: mean that a short text is allowed.
+LEAST_ROWS, TAIL, ERRORS = 20, 0.01, 3.0
 
 
 def count_grams(text: str | None) -> np.ndarray:
     return hashed_counts(np.frombuffer((text or "").lower().encode("utf-32-le", "replace"), np.uint32), ORDERS, BUCKETS)
 
 
+def count_letter_grams(text: str | None) -> np.ndarray:
+    """count_grams of the words alone: marks and digits tell nothing about a language."""
+    return count_grams(_NOT_LETTERS.sub(" ", text or ""))
+
+
 def has_letter(text: str | None) -> bool:
     return bool(text) and any(m[0].isalpha() for m in _LETTER.finditer(text))
 
@@ -87,7 +95,7 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray, bool]], classes: int, ep
     return w, temperature(scores, np.array([r[0] for r in held], int))
 
 
-def gather(train_docs: DataFrame, sample: int) -> tuple[list[str], list]:
+def gather(train_docs: DataFrame, sample: int, count=count_grams) -> tuple[list[str], list]:
     """Languages, and (language, buckets, counts, calibrates) of the sampled rows."""
     totals = train_docs.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(sample).collect()
     names = sorted(r["lang"] for r in totals)
@@ -103,7 +111,7 @@ def gather(train_docs: DataFrame, sample: int) -> tuple[list[str], list]:
         for batch in batches:
             out = []
             for label, text, held in zip(*(batch.column(i) for i in range(3))):
-                c = count_grams(text.as_py())
+                c = count(text.as_py())
                 at = np.flatnonzero(c)
                 out.append((label.as_py(), at.astype(np.uint16).tobytes(), c[at].astype(np.uint32).tobytes(), held.as_py()))
             if out:
@@ -115,9 +123,14 @@ def gather(train_docs: DataFrame, sample: int) -> tuple[list[str], list]:
     return names, sorted(rows, key=lambda r: (r[0], r[1].tobytes(), r[2].tobytes()))
 
 
+def labelled(docs: DataFrame) -> DataFrame:
+    """doc_id, text, lang of the rows that have all three."""
+    return pick(docs, "doc_id", "text", "lang").where("doc_id is not null and lang is not null and text is not null")
+
+
 def model_of(docs: DataFrame, learn: Column | None = None, sample: int = SAMPLE):
     """(languages, idf, weights, temperature) from the rows of docs (doc_id, text, lang) for which learn holds."""
-    own = pick(docs, "doc_id", "text", "lang").where("doc_id is not null and lang is not null and text is not null").where((F.lit(True) if learn is None else learn))
+    own = labelled(docs).where((F.lit(True) if learn is None else learn))
     names, rows = gather(own, sample)
     if not rows:
         return [], None, None, 1.0
@@ -133,24 +146,107 @@ def _values(at: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return x / max(np.sqrt((x * x).sum()), 1e-12)
 
 
+def likelihoods(totals: np.ndarray) -> np.ndarray:
+    """Log likelihood of each bucket when every language is as frequent as the others, from its counts (languages x buckets)."""
+    n = totals.sum(axis=1, keepdims=True)
+    return np.log(((totals + 0.5) / (n + 0.5 * totals.shape[1])).mean(axis=0))
+
+
+def bounds_of(scores: np.ndarray, labels: np.ndarray, classes: int) -> np.ndarray:
+    """The least score of each language's texts: as far under a low quantile of its rows as that is under their median.
+
+    A language of few rows takes its least row, and the width of all rows together if that is wider; nothing is rejected
+    (-inf) when there are few rows in all.
+    """
+    if len(scores) < LEAST_ROWS:
+        return np.full(classes, -np.inf)
+    whole = np.median(scores) - np.quantile(scores, TAIL)
+    out = np.full(classes, -np.inf)
+    for i in range(classes):
+        own = scores[labels == i]
+        if len(own):
+            low = np.quantile(own, TAIL) if len(own) >= LEAST_ROWS else own.min()
+            out[i] = low - max(np.median(own) - low, 0.0 if len(own) >= LEAST_ROWS else whole)
+    return out
+
+
+def familiar_of(docs: DataFrame, sample: int = SAMPLE):
+    """(log likelihoods of the buckets, their variance, least score of each language) from the labelled rows of docs, None
+    without any.  Each sampled row is scored by what the others hold, so all of them are held back once."""
+    names, rows = gather(labelled(docs), sample, count_letter_grams)
+    rows = [r for r in rows if len(r[1])]
+    if not rows:
+        return None
+    totals = np.zeros((len(names), BUCKETS))
+    for label, at, c, _ in rows:
+        totals[label, at] += c
+    scores = np.empty(len(rows))
+    for i, (label, at, c, _) in enumerate(rows):
+        totals[label, at] -= c
+        # only the row's own buckets are asked for
+        n = totals.sum(axis=1, keepdims=True)
+        scores[i] = np.log(((totals[:, at] + 0.5) / (n + 0.5 * BUCKETS)).mean(axis=0)) @ c / c.sum()
+        totals[label, at] += c
+    table = likelihoods(totals)
+    share = totals.sum(axis=0) / totals.sum()
+    variance = float(share @ table**2 - (share @ table) ** 2)
+    n = np.array([r[2].sum() for r in rows])
+    return table.astype(np.float32), variance, bounds_of(scores + allowance(n, variance), np.array([r[0] for r in rows]), len(names))
+
+
+def allowance(n, variance: float):
+    """What the mean over n grams may be under its expectation by chance: a letter gives a gram of each order."""
+    return ERRORS * np.sqrt(len(ORDERS) * variance / np.maximum(n, 1))
+
+
+def language_of(text: str | None, model) -> tuple[int, float]:
+    """Position of the likeliest language and its score; -1 without a model or a letter."""
+    names, idf, w, t = model
+    if not names or not has_letter(text):
+        return -1, 0.0
+    p = softmax((weighted(count_grams(text), idf) @ w).astype(np.float64) / t)
+    i = int(p.argmax())
+    return i, float(min(1.0, p[i]))
+
+
+def known_column(text: Column, model, familiar) -> Column:
+    """Whether each whole text reads like the labelled rows of its likeliest language; true if there are none.
+
+    The score is the mean log likelihood of its letter grams under all languages together, so a text in several of them is
+    not the less familiar; how many languages there are moves the scores and the bounds alike.
+    """
+
+    def run(texts: pa.Array) -> pa.Array:
+        kept("languages")
+        if not model.value[0] or familiar.value is None:
+            return pa.array([True] * len(texts), pa.bool_())
+        table, variance, bounds = familiar.value
+        out = []
+        for x in texts:
+            x = x.as_py()
+            i, _ = language_of(x, model.value)
+            if i < 0:
+                out.append(False)
+                continue
+            c = count_letter_grams(x)
+            n = int(c.sum())
+            out.append(bool(c @ table / n + allowance(n, variance) >= bounds[i]))
+        return pa.array(out, pa.bool_())
+
+    return F.arrow_udf(run, "boolean")(text)
+
+
 def predict_column(text: Column, model) -> Column:
     """struct<lang_pred, score> of each whole text."""
     fields = [pa.field("lang_pred", pa.string()), pa.field("score", pa.float64())]
 
     def run(texts: pa.Array) -> pa.Array:
         kept("languages")
-        names, idf, w, t = model.value
         langs, scores = [], []
         for x in texts:
-            x = x.as_py()
-            if not names or not has_letter(x):
-                langs.append(UNKNOWN)
-                scores.append(0.0)
-                continue
-            p = softmax((weighted(count_grams(x), idf) @ w).astype(np.float64) / t)
-            i = int(p.argmax())
-            langs.append(names[i])
-            scores.append(float(min(1.0, p[i])))
+            i, score = language_of(x.as_py(), model.value)
+            langs.append(UNKNOWN if i < 0 else model.value[0][i])
+            scores.append(score)
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], fields=fields)
 
     return F.arrow_udf(run, "struct<lang_pred: string, score: double>")(text)

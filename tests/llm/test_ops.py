@@ -437,6 +437,39 @@ def test_training_is_sparse_and_calibrated():
     assert np.mean([(x @ w[at]).argmax() == y for y, at, x, _ in rows]) > 0.95
 
 
+@pytest.mark.parametrize("langs", [("en", "de"), ("en", "de", "es", "fr"), ()])
+def test_language_stage(spark, langs):
+    """Foreign and garbled texts go, clean and mixed ones stay, for two languages as for four; all stay without a label."""
+    import corpus_pipeline
+
+    docs = [r for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) > 300").orderBy("doc_id").collect() if not langs or r["lang"] in langs]
+    rng = random.Random(7)
+    garbled = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(n)) for n in (20, 60, 400)]
+    shuffled = ["".join(rng.sample(t, len(t))) for t in (docs[0]["text"], docs[5]["text"])]
+    foreign = [
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
+        "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства.",
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+    ]
+    texts = {k: [r["text"] for r in docs if r["lang"] == k] for k in langs}
+    mixed = ["\n".join(texts[k][i][:250] for k in langs) for i in range(4)] if langs else []
+    rows = [(r["doc_id"], r["text"], r["lang"] if langs else None, "s", 0) for r in docs]
+    planted = {1_000_000 + i: t for i, t in enumerate(garbled + shuffled + foreign)}
+    fine = {2_000_000 + i: t for i, t in enumerate(mixed)}
+    rows += [(i, t, None, "s", 0) for i, t in (planted | fine).items()]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(3)
+    got = {r["doc_id"] for r in corpus_pipeline.language_id(spark, df, SF).collect()}
+    assert set(fine) <= got and got & set(planted) == (set() if langs else set(planted))
+    assert len({r["doc_id"] for r in docs} - got) <= 0.01 * len(docs)
+
+
+def test_language_bounds():
+    scores, labels = np.r_[np.linspace(-6, -5, 101), -9.0], np.r_[np.zeros(101, int), 1]
+    a, b = langid.bounds_of(scores, labels, 2)
+    assert a == pytest.approx(-6.48) and b < -9
+    assert np.isneginf(langid.bounds_of(scores[:5], labels[:5], 2)).all()
+
+
 # --- 10
 
 
