@@ -271,9 +271,9 @@ def _empty(spark: SparkSession, kinds: str) -> DataFrame:
     return spark.createDataFrame([], kinds)
 
 
-def join(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, max_depth: int = DEPTH, target: float = TARGET) -> DataFrame:
-    """doc_id, class_id, copy_of, n_links: one row for each document; copy_of: the least doc_id with the same shingles."""
-    docs = pick(docs, "doc_id", "text")
+def grouped(docs: DataFrame, threshold: float, trees: int, max_depth: int, target: float) -> tuple[DataFrame, DataFrame]:
+    """The signed rows of docs (doc_id, text), and of each class of equal shingles (digest) its group (root), first_doc, w
+    and links."""
     depth = prefix_depth(threshold, trees, max_depth, target)
     rows = written(signed(docs, trees, depth))
     classes = written(rows.groupBy("digest").agg(F.min("uid").alias("node"), F.min("doc_id").alias("first_doc"), F.count("*").alias("w")))
@@ -298,7 +298,12 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, max_
     groups = components(links.where("node <> near"), "node", "near")
     counts = links.groupBy("node").agg(F.sum("links").alias("links"))
     named = classes.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node")).join(counts, "node", "left")
-    named = written(named)
+    return rows, written(named)
+
+
+def join(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, max_depth: int = DEPTH, target: float = TARGET) -> DataFrame:
+    """doc_id, class_id, copy_of, n_links: one row for each document; copy_of: the least doc_id with the same shingles."""
+    rows, named = grouped(pick(docs, "doc_id", "text"), threshold, trees, max_depth, target)
     # only groups of several classes need the least doc_id of all
     ids = named.groupBy("root").agg(F.min("first_doc").alias("class_id"))
     by_class = named.join(ids, "root").select("digest", "class_id", F.col("first_doc").alias("copy_of"), (F.col("w") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
@@ -306,15 +311,16 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, max_
 
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, all columns, of which one for each group of near duplicates stays: that with the least doc_id.
-
-    Rows that repeat a doc_id with the same text stay once; rows without a doc_id stay once for each text if their whole
-    group has none.
+    """The rows of docs, all columns, of which one for each group of near duplicates stays: that with the least doc_id, of
+    equal ones the least digest of its text; rows without a doc_id come last.
     """
-    kept = join(docs, threshold).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi")
-    repeated = docs.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").isEmpty()
-    if repeated:
-        return rows
-    names = rows.columns
-    return rows.withColumn("_sha", F.sha1(F.col("text").cast("binary"))).dropDuplicates(["doc_id", "_sha"]).select(*names)
+    rows, named = grouped(pick(docs, "doc_id", "text"), threshold, TREES, DEPTH, TARGET)
+    own = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("_kept"), F.col("sha").alias("_kept_sha"))
+    kept = rows.join(named.select("digest", "root"), "digest").groupBy("root").agg(F.min(own).alias("m")).select("m._kept", "m._kept_sha")
+    names = docs.columns
+    of_text = docs.withColumn("_sha", F.unhex(F.sha1(F.coalesce("text", F.lit("")).cast("binary"))))
+    left = of_text.join(kept, of_text["doc_id"].eqNullSafe(F.col("_kept")) & (F.col("_sha") == F.col("_kept_sha")), "left_semi")
+    # only rows that repeat both are left to be told apart
+    if docs.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").isEmpty():
+        return left.select(*names)
+    return left.dropDuplicates(["doc_id", "_sha"]).select(*names)

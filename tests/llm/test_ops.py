@@ -251,6 +251,18 @@ def test_jaccard_cases(spark, odd, none):
     assert jaccard.join(none).count() == 0 and jaccard.one_of_each(none).count() == 0
 
 
+def test_one_of_each_repeated_and_null_ids(spark):
+    """One row stays of every group, also if ids repeat within a group or across groups, or are null."""
+    say = lambda k, n=120: " ".join(f"{k}{i * i % 97}" for i in range(n))
+    near = lambda t: t + " more"
+    a, b, c, d, e = (say(k) for k in "abcde")
+    rows = [(5, a), (6, near(a)), (5, near(b)), (2, b), (None, near(c)), (3, c), (None, d), (None, near(d)), (9, e), (9, near(e)), (9, e)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = jaccard.one_of_each(df).collect()
+    assert sorted(r["text"][0] for r in got) == list("abcde") and len(got) == 5
+    assert {r["text"][0]: r["doc_id"] for r in got} == {"a": 5, "b": 2, "c": 3, "d": None, "e": 9}
+
+
 # --- 5
 
 
