@@ -2,8 +2,9 @@
 
 A text is lowered, its copyright lines are dropped, spellings that the licence community treats as equal are unified, and
 everything but letters and digits becomes one blank; the SHA-256 of what is left is looked up among the digests of known
-licence texts.  The known side is a fixed list in this file, so its broadcast does not grow with the data.  Only built-in
-functions are used.
+licence texts.  The known side is a fixed list, in this file and in licences/, and at most MOST_KNOWN texts that a caller
+adds, so its broadcast does not grow with the data.  Only built-in functions are used.  Whole texts meet: a notice inside a
+longer text is not found.
 
 Cases: a null text has a null digest and no licence; a text that is empty when normalised has the digest of the empty
 text and no licence; repeated rows give repeated results.
@@ -11,6 +12,8 @@ text and no licence; repeated rows give repeated results.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,6 +68,10 @@ KNOWN = [
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("GPL-3.0-only", "This work is licensed under the GNU General Public License, version 3."),
 ]
+#: Whole texts of longer licences, named by license_id, and what ends the terms of those that append how to apply them.
+FOLDER, TERMS_END = Path(__file__).resolve().parent / "licences", "END OF TERMS AND CONDITIONS"
+#: So many texts may be added to the fixed ones.
+MOST_KNOWN = 10_000
 # Spellings that count as equal, in the order of replacement.
 SPELLINGS = [
     ("©", "(c)"), ("https://", "http://"), ("licence", "license"), ("acknowledgement", "acknowledgment"), ("analogue", "analog"),
@@ -90,19 +97,35 @@ def canonical(text: Column) -> Column:
     return F.trim(F.regexp_replace(out, NOT_WORD, " "))
 
 
-def known(spark: SparkSession) -> DataFrame:
-    """digest, license_id of the fixed list."""
-    return spark.createDataFrame(KNOWN, "license_id string, text string").select(F.sha2(canonical(F.col("text")), 256).alias("digest"), "license_id").dropDuplicates(["digest"])
+def whole_texts() -> list[tuple[str, str]]:
+    """license_id, text of the longer licences: whole, and up to the end of their terms with and without that line."""
+    out = []
+    for path in sorted(FOLDER.glob("*.txt")):
+        text = path.read_text(encoding="utf-8")
+        terms, end, _ = text.partition(TERMS_END)
+        out += [(path.stem, t) for t in ((text, terms + end, terms) if end else (text,))]
+    return out
+
+
+def known(spark: SparkSession, more: DataFrame | None = None) -> DataFrame:
+    """digest, license_id of the fixed list, and of the texts in more (license_id, text) that it does not hold."""
+    digests = lambda df, own: df.select(F.sha2(canonical(F.col("text")), 256).alias("digest"), "license_id", F.lit(own).alias("own"))
+    out = digests(spark.createDataFrame(KNOWN + whole_texts(), "license_id string, text string"), 0)
+    if more is not None:
+        if more.limit(MOST_KNOWN + 1).count() > MOST_KNOWN:
+            raise ValueError(f"more than {MOST_KNOWN} texts of licences")
+        out = out.unionByName(digests(pick(more, "license_id", "text").where("text is not null"), 1))
+    return out.groupBy("digest").agg(F.min(F.struct("own", "license_id")).alias("m")).select("digest", F.col("m.license_id").alias("license_id"))
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, digest, license_id (null: none is known): one row for each document."""
+def scan(docs: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """doc_id, digest, license_id (null: none is known): one row for each document; more: known texts beside the fixed."""
     own = pick(docs, "doc_id", "text").select("doc_id", F.sha2(canonical(F.col("text")), 256).alias("digest"))
-    return own.join(F.broadcast(known(docs.sparkSession)), "digest", "left").select("doc_id", "digest", "license_id")
+    return own.join(F.broadcast(known(docs.sparkSession, more)), "digest", "left").select("doc_id", "digest", "license_id")
 
 
 def oracle() -> str:
-    """The same in DuckDB's SQL, over the table documents."""
+    """The same in DuckDB's SQL, over the table documents, none of which is one of the longer licences."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     form = "lower({})"
     form = f"regexp_replace({form}, {quote(COPYRIGHT_LINE)}, '', 'g')"

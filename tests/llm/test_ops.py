@@ -494,6 +494,31 @@ def test_licences(spark, odd, none):
     assert license_scan.scan(odd).count() == odd.count() and license_scan.scan(none).count() == 0
 
 
+def test_whole_licences(spark):
+    """Longer licences are found by their whole text, reflowed, and without what is appended to their terms; a notice inside
+    a longer text is not; added texts are found, up to a bound."""
+    folder = license_scan.Path(license_scan.__file__).parent / "licences"
+    texts = {p.stem: p.read_text() for p in folder.glob("*.txt")}
+    wanted = {"Apache-2.0", "GPL-2.0-only", "GPL-3.0-only", "LGPL-2.1-only", "LGPL-3.0-only", "MPL-2.0", "BSL-1.0", "CC0-1.0", "Unlicense"}
+    assert set(texts) == wanted
+    rows, want = [], {}
+    for name, t in texts.items():
+        cut = t.split("END OF TERMS AND CONDITIONS")[0]
+        for x in (t, t.upper(), t.replace("\n", "\n\n  "), cut):
+            want[len(rows)] = name
+            rows.append((len(rows), x))
+    for x in ("words before. Licensed under the Apache License, Version 2.0.", "An own licence, free for all.", texts["MPL-2.0"][:5000]):
+        want[len(rows)] = None
+        rows.append((len(rows), x))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r["doc_id"]: r["license_id"] for r in license_scan.scan(docs).collect()} == want
+    more = spark.createDataFrame([("Own", "AN OWN LICENSE\nfree for all"), ("Other", texts["MPL-2.0"]), ("None", None)], "license_id string, text string")
+    own = next(i for i, x in rows if x.startswith("An own"))
+    assert {r["doc_id"]: r["license_id"] for r in license_scan.scan(docs, more).collect()} == want | {own: "Own"}
+    with pytest.raises(ValueError):
+        license_scan.scan(docs, spark.range(license_scan.MOST_KNOWN + 1).selectExpr("'x' as license_id", "cast(id as string) as text"))
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_same_as_sql(spark, name):
     c = duckdb.connect()
