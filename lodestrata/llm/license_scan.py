@@ -1,6 +1,6 @@
 """License scans by canonical digest.
 
-A text is lowered, its copyright lines are dropped, spellings that the licence community treats as equal are unified, and
+A text is lowered, its copyright statements are dropped, spellings that the licence community treats as equal are unified, and
 everything but letters and digits becomes one blank; the SHA-256 of what is left is looked up among the digests of known
 licence texts.  The known side is a fixed list, in this file and in licences/, and at most MOST_KNOWN texts that a caller
 adds, so its broadcast does not grow with the data.  Only built-in functions are used.  Whole texts meet: a notice inside a
@@ -81,15 +81,26 @@ SPELLINGS = [
     ("organisation", "organization"), ("practise", "practice"), ("programme", "program"), ("realise", "realize"), ("recognise", "recognize"),
     ("signalling", "signaling"), ("utilisation", "utilization"), ("whilst", "while"), ("wilful", "willful"), ("per cent", "percent"), ("copyright owner", "copyright holder"),
 ]
-#: A line that only states a copyright, and one that only reserves rights.
+#: A line that starts with a copyright statement (only the SQL drops it whole), and below one that only reserves rights.
 COPYRIGHT_LINE = r"(?m)^[^\n\p{L}\p{N}(©]*(?:copyright[ \t]*(?:\(c\)|©|[0-9]{4}|<|\[)|\(c\)[ \t]*(?:copyright|[0-9]{4})|©)[^\n]*$"
+#: How the words of a licence open that follow a copyright statement on its line.
+OPENINGS = (
+    r"permission is hereby granted|permission to use, copy|permission is granted|redistribution and use in source|this software is provided 'as-is'|"
+    r"licensed under the apache license|this program is free software|this library is free software|everyone is permitted to copy|this source code form is subject"
+)
+STATEMENT = r"(?:copyright[ \t]*(?:\(c\)|©|[0-9]{4}|<|\[)|\(c\)[ \t]*(?:copyright|[0-9]{4})|©)"
+#: A statement with the words of a licence after it on the same line, at the start of the line or after the licence's name.
+INLINE_STATEMENT = rf"{STATEMENT}[^\n]{{0,300}}?(?=(?:{OPENINGS}))"
+#: A line that starts with a statement: all of it if it is short, else up to its first sentence end, else only its start.
+STATEMENT_LINE = rf"(?m)^[^\n\p{{L}}\p{{N}}(©]*{STATEMENT}(?:[^\n]{{0,300}}$|[^\n]*?[.!?](?=[ \t])|)"
 RIGHTS_LINE = r"(?m)^[ \t]*all rights reserved\.?[ \t\r]*$"
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
 
 def canonical(text: Column) -> Column:
     """The text in the form whose digest is looked up."""
-    out = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, "")
+    out = F.regexp_replace(F.lower(text), INLINE_STATEMENT, "")
+    out = F.regexp_replace(out, STATEMENT_LINE, "")
     out = F.regexp_replace(out, RIGHTS_LINE, "")
     for old, new in SPELLINGS:
         if old != new:
@@ -98,12 +109,14 @@ def canonical(text: Column) -> Column:
 
 
 def whole_texts() -> list[tuple[str, str]]:
-    """license_id, text of the longer licences: whole, and up to the end of their terms with and without that line."""
+    """license_id, text of the longer licences: whole, and up to the end of their terms with and without that line; each
+    also on one line, where a statement with an address below it goes whole."""
     out = []
     for path in sorted(FOLDER.glob("*.txt")):
         text = path.read_text(encoding="utf-8")
         terms, end, _ = text.partition(TERMS_END)
-        out += [(path.stem, t) for t in ((text, terms + end, terms) if end else (text,))]
+        forms = (text, terms + end, terms) if end else (text,)
+        out += [(path.stem, x) for t in forms for x in (t, " ".join(t.split()))]
     return out
 
 
@@ -125,7 +138,8 @@ def scan(docs: DataFrame, more: DataFrame | None = None) -> DataFrame:
 
 
 def oracle() -> str:
-    """The same in DuckDB's SQL, over the table documents, none of which is one of the longer licences."""
+    """The same in DuckDB's SQL, over the table documents, none of which is one of the longer licences or states a
+    copyright with more on its line."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     form = "lower({})"
     form = f"regexp_replace({form}, {quote(COPYRIGHT_LINE)}, '', 'g')"

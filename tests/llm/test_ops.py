@@ -494,6 +494,24 @@ def test_licences(spark, odd, none):
     assert license_scan.scan(odd).count() == odd.count() and license_scan.scan(none).count() == 0
 
 
+def test_one_line_licences(spark):
+    """A statement goes without what follows it on its line."""
+    flat = lambda t: " ".join(t.split())
+    long = lambda w: "Copyright 2020 Acme Inc. " + " ".join(f"{w}{i}" for i in range(200))
+    texts = [
+        "Copyright (c) 2020 X " + flat(license_scan.MIT), "MIT License Copyright (c) 2020 X, Y and others. All rights reserved. " + flat(license_scan.MIT), "© 2021 A. " + flat(license_scan.ISC),
+        "(c) 2019 B " + flat(license_scan.BSD_HEAD + license_scan.BSD_TAIL), "Copyright 2018 C\n" + license_scan.ZLIB, long("a"), long("b"), long("a").replace("Acme", "Other"), "© 2020 X\n", "© 2021 Y, Z",
+        "© " + "word " * 200,
+    ]
+    got = [r for r in sorted(license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect(), key=lambda r: r["doc_id"])]
+    assert [r["license_id"] for r in got] == ["MIT", "MIT", "ISC", "BSD-2-Clause", "Zlib"] + [None] * 6
+    nothing, d = hashlib.sha256(b"").hexdigest(), [r["digest"] for r in got]
+    assert d[5] == d[7] and len({d[5], d[6], d[10], nothing}) == 4 and d[8] == d[9] == nothing
+    every = license_scan.KNOWN + license_scan.whole_texts()
+    again = license_scan.scan(spark.createDataFrame([(i, flat(t)) for i, (_, t) in enumerate(every)], "doc_id bigint, text string")).collect()
+    assert all(r["license_id"] == every[r["doc_id"]][0] for r in again)
+
+
 def test_whole_licences(spark):
     """Longer licences are found by their whole text, reflowed, and without what is appended to their terms; a notice inside
     a longer text is not; added texts are found, up to a bound."""
