@@ -2,8 +2,9 @@
 
 Words are runs without ASCII white space; a text's shingles are its distinct windows of five words (a shorter text is one
 shingle).  Texts with the same shingles form a class and are joined as one.  Each class has TREES signatures of DEPTH
-minimum hashes, the paths of DEPTH-level prefix tries.  Starting from whole paths, prefixes are shortened level by level
-until pairs at the threshold would meet in some trie with the target recall.  Classes that meet under a prefix are
+minimum hashes, the paths of DEPTH-level prefix tries, of which only one prefix length is built: the longest with which
+pairs at the threshold meet in some trie with the target recall, by formula.  This is banding: the chance to meet depends
+on similarity, length and number of tries only, so nothing is measured in the data.  Classes that meet under a prefix are
 connected, first as stars around the least member of a trie node, then as components of all tries, by label propagation in
 tables.  A component is split into blocks of bounded size and its block pairs are dealt to tasks; a task sorts each trie's
 prefixes, takes the pairs that share a node in any trie, and computes their exact similarity from the shingle sets.  No
