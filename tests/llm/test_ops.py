@@ -194,7 +194,7 @@ def brute_links(texts, threshold=0.8):
     for i in range(len(texts)):
         for j in range(i):
             a, b = sets[i], sets[j]
-            if a == b or a and b and len(a & b) >= threshold * len(a | b):
+            if a == b or a and b and min(len(a), len(b)) >= threshold * max(len(a), len(b)) and len(a & b) >= threshold * len(a | b):
                 links[i] += 1
                 links[j] += 1
                 root[max(find(i), find(j))] = min(find(i), find(j))
@@ -223,7 +223,7 @@ def near_copies():
 @pytest.mark.parametrize("block", [600, 7])
 def test_jaccard_join(spark, monkeypatch, block):
     monkeypatch.setattr(jaccard, "BLOCK_ROWS", block)
-    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 1_000_000 if block > 10 else 0)
+    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", jaccard.BROADCAST_ROWS if block > 10 else 0)
     texts = near_copies()
     links, roots = brute_links(texts)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(5)
@@ -239,6 +239,76 @@ def test_jaccard_parts():
     sets = [np.unique(rng.integers(0, 400, rng.integers(1, 200)).astype(np.uint64)) for _ in range(60)]
     pairs = np.array([(i, j) for i in range(60) for j in range(i)])
     assert jaccard.intersections(sets, pairs).tolist() == [len(np.intersect1d(sets[i], sets[j])) for i, j in pairs]
+    # a path's key is its first levels, its tail the others in their order
+    own = np.unique(rng.integers(0, 2**63, 300).astype(np.uint64))
+    forest = jaccard.Forest()
+    (keys, tails), (shorter, short_tails) = forest.paths(own), jaccard.Forest(target=0.999).paths(own)
+    assert forest.shortest == 5 and jaccard.Forest(target=0.999).shortest == 6 and (tails & 2**32 - 1 == short_tails).all() and (keys != shorter).all()
+    assert (tails >> forest.shift(5) == 0).all() and forest.shift(8) == 0
+
+
+def test_prefixes_are_shortened_by_the_data(spark):
+    """Whole paths are enough for very near copies; links at the threshold need shorter ones; a recall not yet reached goes on."""
+    rnd = random.Random(9)
+    word = lambda: f"w{rnd.randrange(10**6)}"
+
+    def copies(n, edits):
+        out = []
+        for _ in range(n):
+            base = [word() for _ in range(400)]
+            other = list(base)
+            for i in range(edits):
+                other[20 + i * 20] = word()
+            out += [" ".join(base), " ".join(other)]
+        return spark.createDataFrame(list(enumerate(out)), "doc_id bigint, text string").repartition(3)
+
+    forest = jaccard.Forest()
+    near, far = (jaccard.Search(copies(150, edits), forest) for edits in (1, 8))
+    assert near.level == 8 and far.level < 8
+    for search, edits in ((near, 1), (far, 8)):
+        assert search.groups().groupBy("root").count().where("count = 2").count() >= 149, edits
+    assert jaccard.Search(copies(3, 1), forest).level == forest.shortest
+
+
+@pytest.mark.parametrize("edits", [1, 3])
+def test_near_copies_make_rows_in_proportion(spark, monkeypatch, edits):
+    """Twice the near copies make twice the rows: those compared, dealt and joined."""
+    monkeypatch.setattr(jaccard, "BLOCK_ROWS", 40)
+    rnd, made = random.Random(3), []
+    base = [f"b{i}" for i in range(300)]
+
+    def texts(n):
+        out = []
+        for _ in range(n):
+            own = list(base)
+            for i in rnd.sample(range(300), edits):
+                own[i] = f"x{rnd.randrange(10**9)}"
+            out.append(" ".join(own))
+        return spark.createDataFrame(list(enumerate(out)), "doc_id bigint, text string").repartition(3)
+
+    write, deal = jaccard.written, jaccard.in_groups
+    monkeypatch.setattr(jaccard, "written", lambda df: made.append((out := write(df)).count()) or out)
+    monkeypatch.setattr(jaccard, "in_groups", lambda df, *a: made.append(df.count()) or deal(df, *a))
+    totals = []
+    for n in (400, 800, 1600):
+        made.clear()
+        kept = jaccard.one_of_each(texts(n)).count()
+        totals.append(sum(made))
+        assert kept == 1
+    assert totals[1] < 2.3 * totals[0] and totals[2] < 2.3 * totals[1]
+
+
+def test_recall_on_documents(spark):
+    """Of all pairs of the documents that brute force links, at least 0.9 (the target: 0.9999) are in one group."""
+    own = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    links, roots = brute_links(list(own.values()))
+    got = {r["doc_id"]: r for r in queries.op4_jaccard_join(spark, "/root/testdata/sf0.01").collect()}
+    assert len(got) == len(own) and {r["levels"] for r in got.values()} <= {5, 6, 7, 8}
+    found = sum(min(got[i]["n_links"], n) for i, n in zip(own, links))
+    assert sum(links) > 100 and found >= 0.9 * sum(links) and all(got[i]["n_links"] <= n for i, n in zip(own, links))
+    ids = list(own)
+    together = [got[i]["class_id"] == got[ids[r]]["class_id"] for i, r in zip(ids, roots) if i != ids[r]]
+    assert sum(together) >= 0.9 * len(together)
 
 
 def test_jaccard_cases(spark, odd, none):
