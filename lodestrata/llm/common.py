@@ -69,6 +69,13 @@ def kept(name: str) -> dict:
     return KEPT.setdefault(name, {})
 
 
+def drawn(df: DataFrame, most: int, n: int) -> DataFrame:
+    """About `most` of the n rows of df at most, the same ones each time: those whose hash is under a threshold."""
+    if n <= most:
+        return df
+    return df.where(F.pmod(F.xxhash64(*df.columns), F.lit(1_000_003)) < F.lit(1_000_003 * most // n))
+
+
 def key_crc(column: str | Column) -> Column:
     """crc32 of a key as decimal text, the remainder of which splits rows into folds; null for a null key."""
     return F.crc32(F.col(column).cast("string").cast("binary")) if isinstance(column, str) else F.crc32(column.cast("string").cast("binary"))

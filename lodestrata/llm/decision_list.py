@@ -6,11 +6,11 @@ covers (the condition with the best information gain is added while false alarms
 dropping final conditions, and kept only while it is precise enough there.  The list comes out as one ordered Spark
 conditional expression, so applying it needs no Python.
 
-The rules are learned from at most MAX_LABELLED labelled rows (those whose hashed key is smallest); the statistics and the
-verdicts cover every row.
+Bound: the rules are learned from about MAX_LABELLED labelled rows at most, drawn by hashed keys, so only these reach the
+driver; the statistics and the verdicts cover every row.
 
 Cases: a null text has no words, and so fails the base rules, as an empty one does; without labels of both kinds there are
-no learned rules and the base rules alone decide; rows that repeat get the same verdict.
+no learned rules and the base rules alone decide; rows that repeat get the same verdict, and are learned from once.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, pick, written
+from .common import drawn, forget, kept, pick, written
 
 MAX_LABELLED, WINDOW, MIN_WORDS, LONG_WORDS = 20_000, 8, 20, 200_000
 SYMBOLS, BLANKS = b"#*$%&|<>", b" \t\n\x0b\x0c\r"
@@ -194,26 +194,27 @@ def expression(rules: list[list[Condition]], columns: dict[str, Column] | None =
     return F.lit(0) if out is None else out.otherwise(F.lit(0))
 
 
-def learn_from(stats: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> list[list[Condition]]:
-    """Rules for the rows that labels (doc_id, quality) marks 0, from at most `most` labelled rows of stats."""
-    marked = pick(labels, "doc_id", "quality").where("quality is not null and doc_id is not null")
+def learn_from(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> list[list[Condition]]:
+    """Rules for the documents that labels (doc_id, quality) marks 0, from about `most` labelled rows at most."""
+    marked = pick(labels, "doc_id", "quality").where("quality is not null and doc_id is not null").distinct()
+    marked = drawn(marked, most, marked.count())
+    # about `most` narrow rows; only their documents are read into words
+    own = pick(docs, "doc_id", "text").join(F.broadcast(marked), "doc_id").select("doc_id", "quality", statistics_column(F.col("text")).alias("s"))
+    found = written(own.select("doc_id", "quality", "s.*").distinct())
     columns = ratios()
-    rows = (
-        stats.select("doc_id", *STATS).join(marked, "doc_id").select("doc_id", "quality", *(c.alias(k) for k, c in columns.items()))
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "quality", *columns).limit(most)
-    ).collect()
-    if not rows:
-        return []
-    bad = np.array([r["quality"] == 0 for r in rows])
+    rows = drawn(found, most, found.count()).select(F.col("quality").alias("_quality"), *(c.alias(k) for k, c in columns.items())).collect()
+    forget(found)
+    rows.sort()  # the order in which rows arrive must not matter
+    bad = np.array([r["_quality"] == 0 for r in rows], bool)
     return learn({k: np.array([r[k] for r in rows], float) for k in columns}, bad)
 
 
-def base_failed() -> Column:
-    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+def base_failed(of=F.col) -> Column:
+    return (of("n_words") < MIN_WORDS) | (100 * of("n_repeat_words") > 30 * of("n_words"))
 
 
 def judge(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> DataFrame:
     """doc_id, the statistics, base_failed, kept and rule (0: none): one row for each document."""
-    stats = written(pick(docs, "doc_id", "text").select("doc_id", statistics_column(F.col("text")).alias("s")).select("doc_id", "s.*"))
-    rule = expression(learn_from(stats, labels, most))
+    rule = expression(learn_from(docs, labels, most))
+    stats = pick(docs, "doc_id", "text").select("doc_id", statistics_column(F.col("text")).alias("s")).select("doc_id", "s.*")
     return stats.withColumn("base_failed", base_failed()).withColumn("rule", rule.cast("int")).withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
