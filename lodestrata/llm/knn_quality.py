@@ -6,11 +6,11 @@ space; the sample's own latent vectors and labels, a fixed number at most, go to
 blocks with the vectors of all documents: exact cosines, no index.  The NEIGHBOURS most similar ones vote with weights that
 grow with similarity.
 
-Bound: at most PER_LABEL labelled rows of each label, those with the smallest hashed keys, are sampled; each has at most
-BUCKETS numbers.  Only rows for which `learn` holds give labels.
+Bound: about PER_LABEL labelled rows of each label at most, drawn by hashed keys, are sampled; each has at most BUCKETS
+numbers.  Only rows for which `learn` holds give labels.
 
 Cases: null and empty texts, which are similar to nothing, get the share of label 1 among the labels; without labels every
-score is 0.5; equal texts get equal scores.
+score is 0.5; equal texts get equal scores; of rows that repeat a doc_id one is learned from.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import key_crc, pick
+from .common import drawn, key_crc, pick
 from .counts import hashed_counts, inverse_frequency, rows_with, weighted
 
 BUCKETS, ORDERS, PER_LABEL, DIMENSIONS, NEIGHBOURS, POWER, BLOCK = 4096, range(1, 4), 1500, 64, 25, 8, 128
@@ -72,12 +72,12 @@ def gather(docs: DataFrame, labels: DataFrame, learn: Column, per_label: int) ->
     totals = {r["quality"]: r["n"] for r in marked.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     rows = None
     for q in sorted(totals):
-        own = marked.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label)
+        own = drawn(marked.where(F.col("quality") == q), per_label, totals[q])
         rows = own if rows is None else rows.unionByName(own)
     if rows is None:
         return [], {}
-    # at most 2 * per_label narrow rows
-    chosen = docs.join(F.broadcast(rows), "doc_id").select("quality", "text")
+    # about 2 * per_label narrow rows
+    chosen = docs.join(F.broadcast(rows), "doc_id").groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("quality", "text")
 
     def run(batches):
         for batch in batches:
@@ -90,7 +90,9 @@ def gather(docs: DataFrame, labels: DataFrame, learn: Column, per_label: int) ->
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int32(), pa.binary(), pa.binary()))], ["q", "at", "n"])
 
     got = chosen.mapInArrow(run, "q int, at binary, n binary").collect()
-    return [(r["q"], np.frombuffer(bytes(r["at"]), np.uint16), np.frombuffer(bytes(r["n"]), np.uint32)) for r in got], totals
+    # the order in which rows arrive must not matter
+    got = sorted((r["q"], bytes(r["at"]), bytes(r["n"])) for r in got)
+    return [(q, np.frombuffer(at, np.uint16), np.frombuffer(n, np.uint32)) for q, at, n in got], totals
 
 
 def score(docs: DataFrame, labels: DataFrame, learn: Column | None = None, per_label: int = PER_LABEL) -> DataFrame:

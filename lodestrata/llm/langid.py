@@ -6,7 +6,8 @@ for every coordinate and an elastic net (L1 gives exact zeros, L2 shrinks the re
 that were not trained on, calibrates the scores.
 
 Bound: about SAMPLE rows in all, the same share of it for each language, drawn by hashed keys and texts; each has at most
-BUCKETS numbers.  Only rows with a key, a text and a lang for which `learn` holds give anything to the model.
+BUCKETS numbers.  With more than SAMPLE languages only the SAMPLE most frequent ones are learned; rows that repeat are drawn
+once.  Only rows with a key, a text and a lang for which `learn` holds give anything to the model.
 
 Cases: null texts and those without a letter are `und` with score 0; without training rows everything is; with a single
 language that language is predicted with score 1.
@@ -105,7 +106,7 @@ def gather(train_docs: DataFrame, sample: int, count=count_grams) -> tuple[list[
     rates = train_docs.sparkSession.createDataFrame([(r["lang"], min(1.0, share / r["n"]), names.index(r["lang"])) for r in totals], "lang string, rate double, label int")
     # at most `sample` languages
     drawn = train_docs.join(F.broadcast(rates), "lang").where((F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_003)) / 1_000_003.0) < F.col("rate"))
-    chosen = drawn.select("label", "text", (F.pmod(F.xxhash64("doc_id", "text", F.lit(1)), F.lit(5)) == 0).alias("held"))
+    chosen = drawn.dropDuplicates(["label", "doc_id", "text"]).select("label", "text", (F.pmod(F.xxhash64("doc_id", "text", F.lit(1)), F.lit(5)) == 0).alias("held"))
 
     def run(batches):
         for batch in batches:
