@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import contextlib
 import json
 import sys
 import time
@@ -16,6 +17,7 @@ from .plans import reports
 from .plans.scan import Scan, scan
 from .sources import state, tree
 from .sources.config import Config, ConfigError
+from .streaming import debounce
 
 FOLDER, STATE, CONFIG = ".lodestrata", "state.json", "config.yaml"
 
@@ -30,8 +32,7 @@ def session() -> SparkSession:
 def _scan(spark: SparkSession, repo: tree.Repository, config: Config) -> tuple[Scan, dict]:
     document = state.load(Path(repo.root, FOLDER, STATE))
     old = state.files_of(spark, document)
-    done = scan(spark, repo.root, old, config.ast_parsing.enabled, config.ast_parsing.strict, config.dependency_graph.ordered)
-    return done, document
+    return scan(spark, repo.root, old, config), document
 
 
 def _save(done: Scan, repo: tree.Repository) -> dict:
@@ -41,12 +42,9 @@ def _save(done: Scan, repo: tree.Repository) -> dict:
 
 
 def _readme(spark: SparkSession, root: str, document: dict, config: Config) -> str:
-    from .operators import graph
-
-    files = state.files_of(spark, document).cache()
-    edges = graph.edges_of(graph.resolve(files.select("path", "imports", "language"), config.dependency_graph.ordered)).cache()
+    files, edges = state.files_of(spark, document).cache(), state.graph_of(spark, document)[1].cache()
     name = document["repo"].get("name", "Project")
-    made = reports.sections(files, edges, name, wanted=config.readme_sections or None, detect_cycles=config.dependency_graph.detect_cycles)
+    made = reports.sections(files, edges, name, wanted=config.sections(), detect_cycles=config.dependency_analysis.detect_cycles)
     at = Path(root, "README.md")
     return reports.merged(at.read_text(encoding="utf-8"), made) if at.exists() else reports.readme(made, name)
 
@@ -68,13 +66,13 @@ def scan_command(args, config: Config) -> int:
     done, _ = _scan(session(), repo, config)
     n = done.summary.first()
     print(", ".join(f"{n[k]} {k}" for k in ("added", "modified", "deleted", "unchanged")))
-    if args.verbose:
+    if args.verbose or config.verbose:
         first = done.changes.where("change_type = 'added'").orderBy(F.split("path", "/")).limit(5).collect()
         for r in first:
             print(f"  + {r['path']}")
         if n["added"] > 5:
             print(f"  ... and {n['added'] - 5} more")
-    if not args.dry_run:
+    if not (args.dry_run or config.dry_run):
         _save(done, repo)
     return 0
 
@@ -82,7 +80,11 @@ def scan_command(args, config: Config) -> int:
 def readme_command(args, config: Config) -> int:
     repo = tree.Repository.at(args.root)
     text = _readme(session(), repo.root, state.load(Path(repo.root, FOLDER, STATE)), config)
-    if args.dry_run:
+    if args.verbose or config.verbose:
+        for line in text.splitlines():
+            if line.startswith("## "):
+                print(line.removeprefix("## "))
+    if args.dry_run or config.dry_run:
         print(text)
     else:
         Path(args.output or Path(repo.root, "README.md")).write_text(text, encoding="utf-8")
@@ -107,27 +109,46 @@ def resume_command(args, config: Config) -> int:
     return 0
 
 
-def watch_command(args, config: Config) -> int:
-    """Scan again whenever the tree has been quiet after changes; names and times are polled, so nothing is lost."""
-    repo, spark, c = tree.Repository.at(args.root), session(), config.watch
+def seen(root: str) -> dict[str, int]:
+    """When each file of a working tree was changed; files that go while this looks are left out."""
+    out = {}
+    for p in tree.names(root):
+        with contextlib.suppress(OSError):
+            out[p] = Path(root, p).stat().st_mtime_ns
+    return out
 
-    def seen() -> dict:
-        return {p: Path(repo.root, p).stat().st_mtime_ns for p in tree.names(repo.root) if Path(repo.root, p).exists()}
 
-    last, changed_at = seen(), None
-    while True:
-        time.sleep(args.interval or c.interval)
-        now = seen()
-        if now != last:
-            last, changed_at = now, time.monotonic()
-        elif changed_at and time.monotonic() - changed_at >= (args.debounce or c.debounce):
+def watch_command(args, config: Config, stop=lambda: False) -> int:
+    """Scan again whenever the tree has been quiet after changes; a scan that fails is tried again after another pause."""
+    repo, spark, c = tree.Repository.at(args.root), session(), config.watch
+    verbose = args.verbose or config.verbose
+    pending = debounce.Pending(c.debounce if args.debounce is None else args.debounce, config.include_patterns, config.exclude_patterns)
+    last = seen(repo.root)
+    while not stop():
+        time.sleep(c.interval if args.interval is None else args.interval)
+        now = seen(repo.root)
+        changed = {p for p in last.keys() | now.keys() if last.get(p) != now.get(p)}
+        last = now
+        pending.changed(changed, time.monotonic())
+        if verbose:
+            for p in sorted(filter(pending.is_wanted, changed)):
+                print(f"changed: {p}")
+        batch = pending.due(time.monotonic())
+        if not batch:
+            continue
+        try:
             done, _ = _scan(spark, repo, config)
-            if done.summary.first()["has_changes"]:
-                document = _save(done, repo)
-                if not args.no_readme:
-                    Path(repo.root, "README.md").write_text(_readme(spark, repo.root, document, config), encoding="utf-8")
-                last = seen()
-            changed_at = None
+            document, n = _save(done, repo), done.summary.first()
+            print(", ".join(f"{n[k]} {k}" for k in ("added", "modified", "deleted")))
+            if n["has_changes"] and not args.no_readme:
+                at = Path(repo.root, "README.md")
+                at.write_text(_readme(spark, repo.root, document, config), encoding="utf-8")
+                last["README.md"] = at.stat().st_mtime_ns  # our own change is none
+            pending.done(batch)
+        except Exception as e:  # whatever it is, the next try may do
+            print(f"error: {e}", file=sys.stderr)
+            pending.again(time.monotonic())
+    return 0
 
 
 def main(argv: list[str] | None = None) -> int:

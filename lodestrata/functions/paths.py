@@ -60,6 +60,11 @@ def parser_language(suffix_: Column) -> Column:
     return _looked_up(F.lower(suffix_), PARSER_LANGUAGES)
 
 
+def is_parsed(language_: Column) -> Column:
+    """Whether there is a parser for a language."""
+    return F.coalesce(F.lower(language_).isin(*set(PARSER_LANGUAGES.values())), F.lit(False))
+
+
 def is_ignored(path: Column) -> Column:
     """Whether any component, the name included, is a folder that is never scanned."""
     own = parts(path)
@@ -94,10 +99,16 @@ def normalised(components: Column) -> Column:
     return F.array_join(F.aggregate(components, empty, step), "/")
 
 
+def glob(pattern: str) -> str:
+    """A regular expression for a glob that matches from the right; `*` and `**` stand for one component's worth of
+    characters."""
+    rule = "".join("[^/]*" if c == "*" else "[^/]" if c == "?" else "\\" + c if c in r".^$+{}[]|()\\" else c for c in pattern.replace("**", "*"))
+    return f"(^|/){rule}$"
+
+
 def matches(path: Column, patterns: list[str]) -> Column:
-    """Whether any glob matches from the right; `*` and `**` stand for one component's worth of characters."""
+    """Whether any glob matches."""
     out = F.lit(False)
     for p in patterns:
-        rule = "".join("[^/]*" if c == "*" else "[^/]" if c == "?" else "\\" + c if c in r".^$+{}[]|()\\" else c for c in p.replace("**", "*"))
-        out = out | path.rlike(f"(^|/){rule}$")
+        out = out | path.rlike(glob(p))
     return out

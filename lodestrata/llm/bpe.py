@@ -1,12 +1,17 @@
 """BPE encoding and decoding by tree concatenation.
 
-ASCII white space splits a text into runs that the vocabulary never merges across; the ids of short runs are kept in a
-bounded table.  A run without white space that is longer than ``leaf`` is "long unsplit text": its letter, digit and
-symbol pieces are found first, and a piece that is still longer than ``leaf`` is cut into leaves.  All leaves are encoded
-side by side (``encode_batch`` uses every thread it is given), then neighbours are concatenated pairwise up a tree.  At
-each join the last k tokens on the left and the first k on the right are encoded anew as one window, with k doubling until
-the window begins with the left side's own token and ends with the right side's own token.  A token sequence is the one
-that the merges give exactly if every adjacent pair in it occurs in some such sequence, so the joined ids are exact.
+A text of more than `half` bytes is cut into halves of halves, wherever the cuts fall: mostly inside a word.  All leaves of a
+group of texts are encoded side by side, each as a text of its own, and then neighbours are concatenated pairwise up a tree.
+At each join the last k runs without white space on the left and the first k on the right are encoded anew as one window,
+with k doubling until the window begins with the ids of the left side's own run and ends with those of the right side's.
+White space ends a token whatever stands beside it, so such a window is exact, and with it the joined ids.
+
+A single run that is longer than `leaf` is "long unsplit text": no cut is made inside it at first.  Its letter, digit and
+symbol pieces are found, and a piece that is still longer is cut into leaves of its own, which are joined by windows of
+tokens in the same way (`encode_batch` uses every thread it is given).  A token sequence is the one that the merges give
+exactly if every adjacent pair in it occurs in some such sequence.
+
+The ids of short runs are kept in a bounded table, without those that only cuts have made.
 
 Cases: null text gives no ids and decodes to ""; empty text likewise.  Special tokens spelled out in a text give their ids,
 as the library does.  Ids outside the vocabulary are skipped on decoding.
@@ -29,8 +34,11 @@ from .common import kept
 
 #: Characters in a leaf, and entries and bytes a worker keeps for short runs.
 LEAF, CACHE_ENTRIES, CACHE_KEY_BYTES = 256, 400_000, 40
+#: Bytes of a text above which it is cut into halves; 0: never.
+HALF = 512
 #: Texts that are encoded together.
 GROUP = 128
+_BLANK = re.compile(rb"[ \t\n\x0b\x0c\r]")
 #: ASCII and Latin-1 letters: one piece; before ASCII symbols: two pieces.
 _LETTERS = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 _BEFORE_SYMBOLS = re.compile(rb"(" + _LETTERS.pattern + rb")([!-/:-@\[-`]+)")
@@ -48,8 +56,8 @@ class _Runs(dict):
         super().__init__()
         self.encoder, self.entries = encoder, entries
 
-    def learn(self, runs: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of runs that are not known; all short pieces are encoded in one call."""
+    def learn(self, runs: list[bytes], passing=()) -> dict[bytes, bytes]:
+        """Ids of runs that are not known; all short pieces are encoded in one call.  Those in `passing` are not kept."""
         _threads(False)  # a task has one core; only leaves of long text are worth more
         leaf = self.encoder.leaf
         cut, pieces, others = {}, set(), []
@@ -71,12 +79,12 @@ class _Runs(dict):
         for run, (letters, symbols) in cut.items():
             new[run] = (new.get(letters) or self[letters]) + (new.get(symbols) or self[symbols])
         if (room := self.entries - len(self)) > 0:
-            self.update([kv for kv in new.items() if len(kv[0]) <= CACHE_KEY_BYTES][:room])
+            self.update([kv for kv in new.items() if len(kv[0]) <= CACHE_KEY_BYTES and kv[0] not in passing][:room])
         return new
 
 
 class TreeEncoder:
-    def __init__(self, path: str, leaf: int = LEAF, cache_entries: int = CACHE_ENTRIES):
+    def __init__(self, path: str, leaf: int = LEAF, cache_entries: int = CACHE_ENTRIES, half: int = HALF):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -94,7 +102,9 @@ class TreeEncoder:
         self.names = [self.tokenizer.id_to_token(i) or "" for i in range(n)]
         self.plain = [x.removesuffix(self.suffix) if self.suffix else x for x in self.names]
         self.is_end = np.array([bool(self.suffix) and x.endswith(self.suffix) for x in self.names])
-        self.leaf = max(2, leaf)
+        self.leaf, self.half = max(2, leaf), half
+        #: Joins of halves so far, and those of them that had to look further than the first window.
+        self.joins, self.wider = 0, 0
         self.runs = _Runs(self, cache_entries)
 
     @staticmethod
@@ -106,13 +116,27 @@ class TreeEncoder:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     @staticmethod
-    def split(text: str | bytes | None) -> list[bytes]:
-        """Runs without ASCII white space."""
+    def prepared(text: str | bytes | None) -> bytes:
         raw = text if isinstance(text, bytes) else (text or "").encode("utf-8", "replace")
         # ASCII capitals may be lowered before composing, unless a combining mark or a special token could be changed
-        if b"\xcc" not in raw and b"\xcd" not in raw and b"<|" not in raw:
-            raw = raw.lower()
-        return raw.split()
+        return raw if b"\xcc" in raw or b"\xcd" in raw or b"<|" in raw else raw.lower()
+
+    def leaves(self, raw: bytes) -> list[tuple[list[bytes], bool, bool]]:
+        """Runs of each leaf of a text, and whether the leaf begins and ends with white space."""
+        if not self.half or len(raw) <= self.half:
+            return [(raw.split(), True, True)]
+        n, cuts = 1 << (-(-len(raw) // self.half) - 1).bit_length(), [0]
+        for i in range(1, n):
+            c = max(cuts[-1], len(raw) * i // n)
+            if not (_BLANK.search(raw, c, c + self.leaf) and _BLANK.search(raw, max(0, c - self.leaf), c)):
+                found = _BLANK.search(raw, c)  # inside long unsplit text, or near its end: cut behind it
+                c = found.start() if found else len(raw)
+            while c < len(raw) and raw[c] & 0xC0 == 0x80:
+                c += 1
+            cuts.append(c)
+        cuts.append(len(raw))
+        parts = [raw[a:b] for a, b in zip(cuts, cuts[1:]) if a < b]
+        return [(x.split(), x[:1].isspace(), x[-1:].isspace()) for x in parts]
 
     def encode_many(self, texts) -> Iterator[bytes]:
         """Ids of whole texts (a list or an Arrow array) as little-endian unsigned 32-bit numbers, one text after another.
@@ -122,13 +146,42 @@ class TreeEncoder:
         known = self.runs
         for at in range(0, len(texts), GROUP):
             some = texts[at : at + GROUP]
-            runs = [self.split(t) for t in (some.to_pylist() if isinstance(some, pa.Array) else some)]
-            distinct = set().union(*runs)
+            trees = [self.leaves(self.prepared(t)) for t in (some.to_pylist() if isinstance(some, pa.Array) else some)]
+            distinct, passing, whole = set(), set(), set()
+            for tree in trees:
+                distinct.update(*(leaf[0] for leaf in tree))
+                for (left, _, blank), (right, follows, _) in zip(tree, tree[1:]):
+                    if not (blank or follows):
+                        passing |= {left[-1], right[0]}
+                        whole.add(left[-1] + right[0])
+            distinct |= whole
             own = dict(zip(distinct, map(known.get, distinct)))
             if new := [x for x, ids in own.items() if ids is None]:
-                own |= known.learn(new)
-            for r in runs:
-                yield b"".join(map(own.__getitem__, r))
+                own |= known.learn(new, passing - whole)
+            for tree in trees:
+                level = [(runs, list(map(own.__getitem__, runs)), begins, ends) for runs, begins, ends in tree]
+                while len(level) > 1:
+                    level = [self.joined(*level[i : i + 2], own) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
+                yield b"".join(level[0][1])
+
+    def joined(self, left: tuple, right: tuple, own: dict[bytes, bytes]) -> tuple:
+        """Two neighbours (runs, ids of each, begins and ends with white space) as one, by a window that both agree with."""
+        (a_runs, a_ids, begins, blank), (b_runs, b_ids, follows, ends) = left, right
+        between, k = b" " if blank or follows else b"", 1
+        self.joins += 1
+        while True:
+            a, b = min(k, len(a_runs)), min(k, len(b_runs))
+            runs = (b" ".join(a_runs[len(a_runs) - a :]) + between + b" ".join(b_runs[:b])).split()
+            ids = [own.get(x) or self.run_ids(x) for x in runs]
+            if (a == len(a_runs) or ids[0] == a_ids[-a]) and (b == len(b_runs) or ids[-1] == b_ids[b - 1]):
+                return a_runs[: len(a_runs) - a] + runs + b_runs[b:], a_ids[: len(a_ids) - a] + ids + b_ids[b:], begins, ends
+            self.wider += k == 1
+            k *= 2
+
+    def run_ids(self, run: bytes) -> bytes:
+        """Ids of one run without white space."""
+        found = self.runs.get(run)
+        return self.runs.learn([run])[run] if found is None else found
 
     def encode_pieces(self, pieces: list[bytes]) -> dict[bytes, bytes]:
         """Ids of short pieces that the library does not split, each of which ends with an end-of-word token."""
@@ -194,9 +247,9 @@ class TreeEncoder:
             k *= 2
 
 
-def encoder(path: str, leaf: int = LEAF, cache_entries: int = CACHE_ENTRIES) -> TreeEncoder:
+def encoder(path: str, leaf: int = LEAF, cache_entries: int = CACHE_ENTRIES, half: int = HALF) -> TreeEncoder:
     """One encoder for each Python worker."""
-    own, key = kept("bpe"), (path, leaf, cache_entries)
+    own, key = kept("bpe"), (path, leaf, cache_entries, half)
     if key not in own:
         own[key] = TreeEncoder(*key)
     return own[key]

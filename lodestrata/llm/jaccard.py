@@ -337,20 +337,20 @@ class Search:
         return out
 
     def _stars(self) -> tuple[DataFrame, int]:
-        """Links (node, centre) found level by level, and the level reached."""
-        forest, own = self.forest, self.sets.select("node", "own")
+        """Links (node, centre) found level by level, and the level reached; classes that have a link try no further centre."""
+        forest = self.forest
         tried, links = None, None
         for level in range(forest.depth, forest.shortest - 1, -1):
             at = self.members.withColumn("tail", F.shiftrightunsigned("tail", forest.shift(level)))
             centres = at.groupBy("tree", "key", "tail").agg(F.max(F.struct("score", "node")).alias("c"), F.count("*").alias("n")).where("n > 1")
+            if links is not None:
+                at = at.join(links.select("node").union(links.select("centre")).distinct(), "node", "left_anti")
             # of the centres of a class's trie nodes, the one that meets most
             best = at.join(centres, ["tree", "key", "tail"]).where("node <> c.node").groupBy("node").agg(F.max("c").alias("c"))
             new = best.select("node", F.col("c.node").alias("centre"))
             if tried is not None:
                 new = new.join(tried.select("node", "centre"), ["node", "centre"], "left_anti")
-            both = new.join(own, "node").join(own.toDF("centre", "centres"), "centre")
-            inside = F.size(F.array_intersect("own", "centres"))
-            compared = written(both.select("node", "centre", (inside / (F.size("own") + F.size("centres") - inside)).alias("similarity")))
+            compared = written(self._compared(written(new)))
             tried = compared if tried is None else tried.unionByName(compared)
             links = tried.where(F.col("similarity") >= forest.threshold - 1e-9)
             n, weight = links.agg(F.count("*"), F.coalesce(F.sum(1 / forest.meets(F.col("similarity"), level)), F.lit(0.0))).first()
@@ -358,6 +358,15 @@ class Search:
                 break
         return links, level
 
+    def _compared(self, pairs: DataFrame) -> DataFrame:
+        """node, centre and their similarity; only the sets of classes that pairs name are moved, each to its pair."""
+        if pairs.count() <= BROADCAST_ROWS:
+            pairs = F.broadcast(pairs)
+        own = self.sets.select("node", "own")
+        both = own.toDF("node", "a").join(pairs, "node").join(own.toDF("centre", "b").join(pairs, "centre"), ["node", "centre"])
+        inside = F.size(F.array_intersect("a", "b"))
+        return both.select("node", "centre", (inside / (F.size("a") + F.size("b") - inside)).alias("similarity"))
+
     def _searched(self, labels: DataFrame) -> DataFrame:
         """node, root: labels, joined further by the links in trie nodes that still hold several groups."""
         place = ["tree", "key", "tail"]

@@ -1,7 +1,7 @@
 """License scans by canonical digest.
 
-A text is lowered, its copyright statements are dropped, spellings that the licence community treats as equal are unified, and
-everything but letters and digits becomes one blank; the SHA-256 of what is left is looked up among the digests of known
+A text is lowered, its copyright statements are dropped, everything but letters and digits becomes one blank, and whole words
+that the licence community treats as equal are unified; the SHA-256 of what is left is looked up among the digests of known
 licence texts.  The known side is a fixed list, in this file and in licences/, and at most MOST_KNOWN texts that a caller
 adds, so its broadcast does not grow with the data.  Only built-in functions are used.  Whole texts meet: a notice inside a
 longer text is not found.
@@ -63,23 +63,21 @@ KNOWN = [
     ("BSD-3-Clause", f"BSD 3-Clause License\n\n{BSD_HEAD}{BSD_THIRD}{BSD_TAIL}"),
     ("Zlib", ZLIB),
     ("Zlib", f"zlib License\n\n{ZLIB}"),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("MIT", "Released under the MIT License."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("GPL-3.0-only", "This work is licensed under the GNU General Public License, version 3."),
 ]
 #: Whole texts of longer licences, named by license_id, and what ends the terms of those that append how to apply them.
 FOLDER, TERMS_END = Path(__file__).resolve().parent / "licences", "END OF TERMS AND CONDITIONS"
 #: So many texts may be added to the fixed ones.
 MOST_KNOWN = 10_000
-# Spellings that count as equal, in the order of replacement.
+# Words that count as equal, other spelling first.
 SPELLINGS = [
-    ("©", "(c)"), ("https://", "http://"), ("licence", "license"), ("acknowledgement", "acknowledgment"), ("analogue", "analog"),
-    ("authorisation", "authorization"), ("authorised", "authorized"), ("calibre", "caliber"), ("cancelled", "canceled"), ("centre", "center"),
-    ("emphasise", "emphasize"), ("favour", "favor"), ("favourite", "favorite"), ("fulfil ", "fulfill "), ("initialise", "initialize"),
-    ("judgement", "judgment"), ("labelling", "labeling"), ("merchantability", "merchantability"), ("non-infringement", "noninfringement"),
-    ("organisation", "organization"), ("practise", "practice"), ("programme", "program"), ("realise", "realize"), ("recognise", "recognize"),
-    ("signalling", "signaling"), ("utilisation", "utilization"), ("whilst", "while"), ("wilful", "willful"), ("per cent", "percent"), ("copyright owner", "copyright holder"),
+    ("acknowledgement", "acknowledgment"), ("analogue", "analog"), ("analyse", "analyze"), ("artefact", "artifact"), ("authorisation", "authorization"), ("authorised", "authorized"),
+    ("calibre", "caliber"), ("cancelled", "canceled"), ("capitalisations", "capitalizations"), ("catalogue", "catalog"), ("categorise", "categorize"), ("centre", "center"),
+    ("emphasised", "emphasized"), ("favour", "favor"), ("favourite", "favorite"), ("fulfil", "fulfill"), ("fulfilment", "fulfillment"), ("initialise", "initialize"),
+    ("judgement", "judgment"), ("labelling", "labeling"), ("labour", "labor"), ("licence", "license"), ("licences", "licenses"), ("maximise", "maximize"), ("modelled", "modeled"),
+    ("modelling", "modeling"), ("non commercial", "noncommercial"), ("non infringement", "noninfringement"), ("offence", "offense"), ("optimise", "optimize"),
+    ("organisation", "organization"), ("organise", "organize"), ("per cent", "percent"), ("practise", "practice"), ("programme", "program"), ("realise", "realize"),
+    ("recognise", "recognize"), ("signalling", "signaling"), ("sub license", "sublicense"), ("sublicence", "sublicense"), ("utilisation", "utilization"), ("whilst", "while"),
+    ("wilful", "willful"), ("copyright owner", "copyright holder"), ("https", "http"),
 ]
 #: A line that starts with a copyright statement (only the SQL drops it whole), and below one that only reserves rights.
 COPYRIGHT_LINE = r"(?m)^[^\n\p{L}\p{N}(©]*(?:copyright[ \t]*(?:\(c\)|©|[0-9]{4}|<|\[)|\(c\)[ \t]*(?:copyright|[0-9]{4})|©)[^\n]*$"
@@ -94,18 +92,26 @@ INLINE_STATEMENT = rf"{STATEMENT}[^\n]{{0,300}}?(?=(?:{OPENINGS}))"
 #: A line that starts with a statement: all of it if it is short, else up to its first sentence end, else only its start.
 STATEMENT_LINE = rf"(?m)^[^\n\p{{L}}\p{{N}}(©]*{STATEMENT}(?:[^\n]{{0,300}}$|[^\n]*?[.!?](?=[ \t])|)"
 RIGHTS_LINE = r"(?m)^[ \t]*all rights reserved\.?[ \t\r]*$"
+#: A short line that names a holder without a year or a sign; words after which it is none.
+NO_HOLDERS = "notices?|holders?|owners?|licen[cs]es?|laws?|statements?|and|or|is|in|to|of|for|on|this|that|which|material|protection|claims?|interest|grant|treaty|treaties|the|act|permission|work|works"
+NAMELESS_LINE = rf"(?m)^[^\n\p{{L}}\p{{N}}]*copyright[ \t]+(?:by[ \t]+|the[ \t]+(?=[^\n]*[ \t](?:authors?|developers?|contributors?|project|team)[ \t.\r]*$)|(?!(?:{NO_HOLDERS})\b))[^\n]{{1,80}}$"
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
 
 def canonical(text: Column) -> Column:
     """The text in the form whose digest is looked up."""
-    out = F.regexp_replace(F.lower(text), INLINE_STATEMENT, "")
-    out = F.regexp_replace(out, STATEMENT_LINE, "")
-    out = F.regexp_replace(out, RIGHTS_LINE, "")
+    out = F.lower(text)
+    for statement in (INLINE_STATEMENT, STATEMENT_LINE, NAMELESS_LINE, RIGHTS_LINE):
+        out = F.regexp_replace(out, statement, "")
+    # two blanks between words: each word of a row of equal ones has its own to be found by
+    out = F.concat(F.lit(" "), F.regexp_replace(out, NOT_WORD, "  "), F.lit(" "))
     for old, new in SPELLINGS:
-        if old != new:
-            out = F.replace(out, F.lit(old), F.lit(new))
-    return F.trim(F.regexp_replace(out, NOT_WORD, " "))
+        out = F.replace(out, F.lit(_between(old)), F.lit(_between(new)))
+    return F.trim(F.replace(out, F.lit("  "), F.lit(" ")))
+
+
+def _between(words: str) -> str:
+    return f" {words.replace(' ', '  ')} "
 
 
 def whole_texts() -> list[tuple[str, str]]:
@@ -137,17 +143,41 @@ def scan(docs: DataFrame, more: DataFrame | None = None) -> DataFrame:
     return own.join(F.broadcast(known(docs.sparkSession, more)), "digest", "left").select("doc_id", "digest", "license_id")
 
 
+def variants(docs: DataFrame) -> DataFrame:
+    """doc_id, text: for each document a known licence, chosen and rewritten by its doc_id: in capitals, under a copyright
+    line, on lines of one word, with other spellings, or with a word more."""
+    spark = docs.sparkSession
+    every = KNOWN + whole_texts()
+    texts = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(every)], "i int, licence string")
+    own = pick(docs, "doc_id", "source").join(F.broadcast(texts), F.expr(f"doc_id % {len(every)} = i"))
+    t = F.col("licence")
+    other = F.replace(F.replace(F.replace(t, F.lit("license"), F.lit("licence")), F.lit("organization"), F.lit("organisation")), F.lit("noncommercial"), F.lit("non-commercial"))
+    way = F.expr(f"doc_id div {len(every)} % 6")
+    text = (
+        F.when(way == 0, F.upper(t)).when(way == 1, F.concat(F.lit("Copyright (c) 2020 "), "source", F.lit("\nAll rights reserved.\n\n"), t)).when(way == 2, F.regexp_replace(t, "[ \n]+", "\n * "))
+        .when(way == 3, other).when(way == 4, F.concat(F.lit("Copyright by "), "source", F.lit("\n"), t)).otherwise(F.concat(t, F.lit(" but")))
+    )
+    return own.select("doc_id", text.alias("text"))
+
+
+def variants_oracle() -> str:
+    """The licences of variants()."""
+    every = KNOWN + whole_texts()
+    rows = ", ".join(f"({i}, '{name}')" for i, (name, _) in enumerate(every))
+    return f"select doc_id, case when doc_id // {len(every)} % 6 < 5 then name end as license_id from documents join (values {rows}) v(i, name) on doc_id % {len(every)} = i"
+
+
 def oracle() -> str:
-    """The same in DuckDB's SQL, over the table documents, none of which is one of the longer licences or states a
-    copyright with more on its line."""
+    """The same in DuckDB's SQL, over the table documents, none of which is one of the longer licences, states a copyright
+    with more on its line, or names a holder without a year."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     form = "lower({})"
     form = f"regexp_replace({form}, {quote(COPYRIGHT_LINE)}, '', 'g')"
     form = f"regexp_replace({form}, {quote(RIGHTS_LINE)}, '', 'g')"
+    form = f"' ' || regexp_replace({form}, {quote(NOT_WORD)}, '  ', 'g') || ' '"
     for old, new in SPELLINGS:
-        if old != new:
-            form = f"replace({form}, {quote(old)}, {quote(new)})"
-    form = f"sha256(trim(regexp_replace({form}, {quote(NOT_WORD)}, ' ', 'g')))"
+        form = f"replace({form}, {quote(_between(old))}, {quote(_between(new))})"
+    form = f"sha256(trim(replace({form}, '  ', ' ')))"
     values = ", ".join(f"({quote(i)}, {quote(t)})" for i, t in KNOWN)
     return (
         f"with known as (select distinct {form.replace('{}', 't')} as digest, i as license_id from (values {values}) k(i, t)), "

@@ -93,7 +93,7 @@ def tokenised(docs: DataFrame, path: str, capacity: int = CAPACITY, closing_id:
     closing, step = closing_id.to_bytes(4, "little"), 4 * capacity
 
     def run(batches):
-        e, part, full, ranks = encoder(path), TaskContext.get().partitionId(), 0, {}
+        e, part, full, ranks = encoder(path, half=0), TaskContext.get().partitionId(), 0, {}
         for batch in batches:
             rows = []
             for packed in e.encode_many(batch.column(1)):

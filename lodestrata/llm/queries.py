@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, decision_list, jaccard, knn_quality, langid, license_scan, media_ts, packing, sharding, warc
-from .common import pick, written
+from .common import pick
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -74,10 +74,15 @@ def op10_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def license_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the licence scan finds in rewritten licences, one for each document."""
+    return license_scan.scan(license_scan.variants(table(spark, sf_dir, "documents"))).select("doc_id", "license_id")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_warc, op2_bpe, op3_decision_list, op4_jaccard_join, op5_packing, op6_quality_knn, op7_transport_stream, op8_byte_shards, op9_language_id, op10_license_digests,
+        op1_warc, op2_bpe, op3_decision_list, op4_jaccard_join, op5_packing, op6_quality_knn, op7_transport_stream, op8_byte_shards, op9_language_id, op10_license_digests, license_variants,
     )
 }
 
@@ -92,4 +97,5 @@ ORACLE_SQL = {
         "from p join t on p.h = t.h"
     ),
     "op10_license_digests": license_scan.oracle(),
+    "license_variants": license_scan.variants_oracle(),
 }

@@ -6,6 +6,9 @@ rows, so neither writer nor reader ever builds a whole oversized record: the rea
 in chunk order and carries one SHA-1 state and one byte count from row to row.  Its own result is again a chunk table in
 which every row has the digest and length of the payload up to its end; the row marked `last` describes the record.
 
+Payloads stay where they are: only repeated digests travel, to every task while they are few, and beyond that pages meet them
+by digest, those of digests with very many copies by broadcast.  A revisit is verified against the response it names.
+
 Cases: a null payload is an empty one.  Of equal payloads the record with the largest page_id is a response and the
 others are revisits of it; rows that repeat that page_id are responses as well; a null page_id is below every other, and
 where all are null each is a response.  An empty table gives an archive without records.
@@ -32,12 +35,25 @@ def base32_sha1(digest: bytes) -> str:
     return base64.b32encode(digest).decode()
 
 
+#: Repeated digests that may be sent to every task, and the copies of one from which it is never a key of a shuffle.
+BROADCAST_ROWS, HOT_COPIES = 300_000, 10_000
+
+
 def with_revisits(pages: DataFrame) -> DataFrame:
     """page_id, url, html and refers_to: the page that an equal payload's response has, null for responses."""
     pages = pick(pages, "page_id", "url", "html").withColumn("html", F.coalesce("html", F.lit(""))).withColumn("_sha", F.sha1(F.col("html").cast("binary")))
-    repeated = pages.groupBy("_sha").agg(F.max("page_id").alias("_top"), F.count("*").alias("_n")).where("_n > 1 and _top is not null").drop("_n")
-    top = F.when(~F.col("page_id").eqNullSafe(F.col("_top")), F.col("_top"))
-    return pages.join(repeated, "_sha", "left").select("page_id", "url", "html", top.alias("refers_to"))
+    repeated = written(pages.groupBy("_sha").agg(F.max("page_id").alias("_top"), F.count("*").alias("_n")).where("_n > 1 and _top is not null"))
+    own = F.when(~F.col("page_id").eqNullSafe(F.col("_top")), F.col("_top"))
+    if repeated.count() <= BROADCAST_ROWS:
+        met = pages.join(F.broadcast(repeated), "_sha", "left")
+    else:
+        hot = repeated.where(F.col("_n") >= HOT_COPIES).select("_sha", F.col("_top").alias("_hot"))
+        if hot.count() <= BROADCAST_ROWS:
+            hot = F.broadcast(hot)
+        # pages of hot digests are spread by their own ids
+        key = F.when(F.col("_hot").isNull(), F.col("_sha")).otherwise(F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string")))
+        met = pages.join(hot, "_sha", "left").withColumn("_sha", key).join(repeated.drop("_n"), "_sha", "left").withColumn("_top", F.coalesce("_hot", "_top"))
+    return met.select("page_id", "url", "html", own.alias("refers_to"))
 
 
 def record_head(page_id, url, digest: str, size: int, refers_to) -> bytes:
@@ -144,5 +160,18 @@ def read_chunks(archive: DataFrame) -> DataFrame:
 
 
 def records(chunks: DataFrame) -> DataFrame:
-    """A row for each record, taken from its last chunk, which carries the digest of all."""
-    return chunks.where("last").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "digest_ok", "target_uri")
+    """A row for each record, taken from its last chunk, which carries the digest of all.
+
+    digest_ok: for a response whether its payload is what its header says; for a revisit whether the page it names has such a
+    response, with the digest that the revisit gives.
+    """
+    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "digest_ok", "target_uri"]
+    last = written(chunks.where("last").select(*names))
+    named = last.where("refers_to is not null").select("refers_to", "payload_digest", "payload_bytes").distinct()
+    responses = last.where("record_type = 'response' and digest_ok").select(F.col("page_id").alias("refers_to"), "payload_digest", "payload_bytes").distinct()
+    found = named.join(responses, ["refers_to", "payload_digest", "payload_bytes"]).withColumn("_found", F.lit(True))
+    found = written(found)
+    if found.count() <= BROADCAST_ROWS:
+        found = F.broadcast(found)
+    ok = F.when(F.col("record_type") == "revisit", F.coalesce("_found", F.lit(False))).otherwise(F.col("digest_ok"))
+    return last.join(found, ["refers_to", "payload_digest", "payload_bytes"], "left").withColumn("digest_ok", ok).select(*names)

@@ -58,11 +58,11 @@ def changes(files: DataFrame) -> DataFrame:
     )
 
 
-def classify(files: DataFrame) -> DataFrame:
+def classify(files: DataFrame, signatures: bool = True) -> DataFrame:
     """path, category, has_breaking, has_additions, has_removals, description of changed files.
 
     files: path, old_exists, new_exists, old_ast_hash, new_ast_hash, old_definitions, new_definitions.  Only files that
-    exist on both sides and whose structure changed are exploded.
+    exist on both sides and whose structure changed are exploded.  signatures: whether changed signatures can break.
     """
     same = F.coalesce((F.col("old_ast_hash") == F.col("new_ast_hash")) & (F.col("old_ast_hash") != ""), F.lit(False))
     kind = (
@@ -72,7 +72,7 @@ def classify(files: DataFrame) -> DataFrame:
     files = files.withColumn("kind", kind)
     flag = lambda t: (F.col("change_type") == t) & F.col("is_public")
     counts = changes(files.where("kind = 'modified'")).groupBy("path").agg(
-        F.count_if(flag("removed")).alias("removed"), F.count_if(F.col("is_breaking_signature")).alias("broken"), F.count_if(flag("added")).alias("added"),
+        F.count_if(flag("removed")).alias("removed"), F.count_if(F.col("is_breaking_signature") & F.lit(signatures)).alias("broken"), F.count_if(flag("added")).alias("added"),
         F.count_if(flag("modified")).alias("modified"), F.count_if(~F.col("is_public")).alias("private"),
     )
     n = lambda c: F.coalesce(F.col(c), F.lit(0))
@@ -125,6 +125,11 @@ def summarise(classified: DataFrame, changed: DataFrame) -> DataFrame:
     return files.crossJoin(defs)  # one row each
 
 
+def listed(classified: DataFrame) -> DataFrame:
+    """category, path of the breaking and the additive files, as rows: there may be many."""
+    return classified.where(F.col("category").isin("breaking", "additive")).select("category", "path")
+
+
 def import_impact(classified: DataFrame, edges: DataFrame) -> DataFrame:
     """changed, dependent, impact: what a changed file means for those that import it."""
     at, told = F.col("path"), F.col("description")

@@ -6,19 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths
+from ..sources import scratch
 
-DEFAULT_CHECKPOINTS = "/tmp/lodestrata-checkpoints"
 # Suffixes that a script import may leave out, in the order of trial.
 SCRIPT_SUFFIXES = [".js", ".jsx", ".ts", ".tsx", ".mjs", ".cjs"]
 SCRIPTS = "javascript", "typescript", "jsx", "tsx"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df without its lineage, kept in the shared checkpoint folder."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or DEFAULT_CHECKPOINTS)
-    return df.checkpoint()
+#: Rounds after which a table that grows by a part each round is written anew.
+ROUNDS = 16
+cut = scratch.written
 
 
 def candidates(nodes: DataFrame) -> DataFrame:
@@ -112,38 +109,65 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("src").alias("path")).agg(F.array_sort(F.collect_set("dst")).alias("dependencies"))
 
 
+def size(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: files and edges."""
+    return nodes.agg(F.countDistinct("path").alias("files")).crossJoin(edges.distinct().agg(F.count("*").alias("edges")))  # one row each
+
+
+def node(nodes: DataFrame, path: str) -> DataFrame:
+    """The row of a file, none if the graph does not have it."""
+    return nodes.where(F.col("path") == path)
+
+
+def has_file(nodes: DataFrame, path: str) -> bool:
+    return not node(nodes, path).isEmpty()
+
+
 def closure(edges: DataFrame, seeds: DataFrame, reverse: bool = False) -> DataFrame:
-    """seed, path: all that each seed (seed) reaches along edges, itself left out."""
+    """seed, path: all that each seed (seed) reaches along edges, itself left out.
+
+    A round writes what is new only; what was seen is the union of the rounds.
+    """
     a, b = ("dst", "src") if reverse else ("src", "dst")
     step = cut(edges.select(F.col(a).alias("at"), F.col(b).alias("path")).where("at <> path").distinct())
     front = cut(seeds.select("seed", F.col("seed").alias("path")).distinct())
-    seen = front
-    while not front.isEmpty():
+    seen, rounds = front, 0
+    while True:
         new = front.withColumnRenamed("path", "at").join(step, "at").select("seed", "path").distinct()
         front = cut(new.join(seen, ["seed", "path"], "left_anti"))
-        seen = cut(seen.unionByName(front))
+        if front.isEmpty():
+            break
+        seen, rounds = seen.unionByName(front), rounds + 1
+        if rounds % ROUNDS == 0:
+            seen = cut(seen)
+    scratch.forget(step, front)
     return seen.where("seed <> path")
 
 
 def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """path, level: 0 for files without dependencies, else one more than the highest of them; null on a cycle or above one.
 
-    Each round peels the files all of whose dependencies are peeled.
+    Round i leaves the files from which a way of i imports begins; each is left by the next round at its level, but for those
+    on cycles and above them, of which ever the same stay.
     """
-    left = cut(nodes.select("path").distinct())
-    rest = cut(edges.select("src", "dst").distinct())
-    out, level = None, 0
+    step = cut(edges.select("src", "dst").distinct())
+    all_ = nodes.select("path").distinct()
+    here, out, level, n = cut(all_), None, 0, -1
     while True:
-        ready = cut(left.join(rest.select(F.col("src").alias("path")).distinct(), "path", "left_anti"))
-        if ready.isEmpty():
+        before, n = n, here.count()
+        if n in (0, before):
             break
-        own = ready.withColumn("level", F.lit(level))
+        own = here.select("path", F.lit(level).alias("level"))
         out = own if out is None else out.unionByName(own)
-        left = cut(left.join(ready, "path", "left_anti"))
-        rest = cut(rest.join(ready.withColumnRenamed("path", "dst"), "dst", "left_anti"))
+        here = cut(step.join(here.select(F.col("path").alias("dst")), "dst", "left_semi").select(F.col("src").alias("path")).distinct())
         level += 1
-    stuck = left.withColumn("level", F.lit(None).cast("int"))
-    return stuck if out is None else out.unionByName(stuck)
+        if level % ROUNDS == 0:
+            out = cut(out.groupBy("path").agg(F.max("level").alias("level")))
+    if out is None:
+        return all_.select("path", F.lit(None).cast("int").alias("level"))
+    stuck = here.select("path", F.lit(True).alias("stuck"))
+    highest = out.groupBy("path").agg(F.max("level").alias("level"))
+    return highest.join(stuck, "path", "left").select("path", F.when(F.col("stuck").isNull(), F.col("level")).alias("level"))
 
 
 def order(levelled: DataFrame) -> DataFrame:
@@ -153,11 +177,13 @@ def order(levelled: DataFrame) -> DataFrame:
 
 def _trimmed(edges: DataFrame) -> DataFrame:
     """edges between files that have both an importer and an import among them."""
+    n = edges.count()
     while True:
-        n = edges.count()
         heads, tails = edges.select(F.col("dst").alias("src")).distinct(), edges.select(F.col("src").alias("dst")).distinct()
-        edges = cut(edges.join(heads, "src", "left_semi").join(tails, "dst", "left_semi").select("src", "dst"))
-        if edges.count() == n:
+        left = cut(edges.join(heads, "src", "left_semi").join(tails, "dst", "left_semi").select("src", "dst"))
+        scratch.forget(edges)
+        before, n, edges = n, left.count(), left
+        if n == before:
             return edges
 
 
@@ -175,22 +201,31 @@ def components(edges: DataFrame) -> DataFrame:
             came = rest.join(colour.withColumnRenamed("path", "src"), "src").groupBy(F.col("dst").alias("path")).agg(F.min("c").alias("m"))
             new = cut(colour.join(came, "path", "left").select("path", F.least("c", F.coalesce("m", "c")).alias("n"), "c"))
             done = new.where("n <> c").isEmpty()
+            scratch.forget(colour)
             colour = new.select("path", F.col("n").alias("c"))
+            colour._shared_path = new._shared_path
             if done:
                 break
         inside = rest.join(colour.select(F.col("path").alias("src"), F.col("c").alias("a")), "src").join(colour.select(F.col("path").alias("dst"), F.col("c").alias("b")), "dst").where("a = b")
         inside = cut(inside.select("src", "dst", F.col("a").alias("scc")))
         front = cut(colour.where("path = c").select("path", F.col("c").alias("scc")))
-        found = front
-        while not front.isEmpty():
+        scratch.forget(colour)
+        found, rounds = front, 0
+        while True:
             back = inside.join(front.select(F.col("path").alias("dst"), "scc"), ["dst", "scc"]).select(F.col("src").alias("path"), "scc").distinct()
             front = cut(back.join(found, ["path", "scc"], "left_anti"))
-            found = cut(found.unionByName(front))
+            if front.isEmpty():
+                break
+            found, rounds = found.unionByName(front), rounds + 1
+            if rounds % ROUNDS == 0:
+                found = cut(found)
         sizes = found.groupBy("scc").agg(F.count("*").alias("n")).where("n > 1")
         own = cut(found.join(sizes, "scc", "left_semi").select("path", "scc"))
         out = own if out is None else out.unionByName(own)
         gone = found.select("path")
-        rest = _trimmed(cut(rest.join(gone.withColumnRenamed("path", "src"), "src", "left_anti").join(gone.withColumnRenamed("path", "dst"), "dst", "left_anti")))
+        left = cut(rest.join(gone.withColumnRenamed("path", "src"), "src", "left_anti").join(gone.withColumnRenamed("path", "dst"), "dst", "left_anti"))
+        scratch.forget(rest, inside)
+        rest = _trimmed(left)
     return out if out is not None else edges.select(F.col("src").alias("path"), F.col("src").alias("scc")).limit(0)
 
 
@@ -199,7 +234,7 @@ def cycles(edges: DataFrame) -> DataFrame:
     it, of equal lengths the least."""
     own = cut(components(edges))
     inside = edges.join(own.withColumnRenamed("path", "src"), "src").join(own.select(F.col("path").alias("dst"), F.col("scc").alias("s")), "dst").where("scc = s and src <> dst")
-    inside = cut(inside.select("scc", "src", "dst"))
+    inside = cut(inside.select("scc", "src", "dst").distinct())
     front = cut(own.select("scc").distinct().select("scc", F.col("scc").alias("path"), F.array("scc").alias("way")))
     seen = front.select("scc", "path")
     out = edges.where("src = dst").select(F.col("src").alias("scc"), F.array("src", "dst").alias("cycle")).distinct()
@@ -209,5 +244,6 @@ def cycles(edges: DataFrame) -> DataFrame:
         out = out.unionByName(closed)
         new = step.where("path <> scc").groupBy("scc", "path").agg(F.min("way").alias("way"))
         front = cut(new.join(seen, ["scc", "path"], "left_anti").join(closed, "scc", "left_anti"))
-        seen = cut(seen.unionByName(front.select("scc", "path")))
+        scratch.forget(step)
+        seen = seen.unionByName(front.select("scc", "path"))
     return out

@@ -93,6 +93,27 @@ def roles(files: DataFrame, edges: DataFrame) -> DataFrame:
     return own.select("path", role.alias("role"))
 
 
+def profile(files: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row about a project (path, language, imports, definitions): language, frameworks, package_manager, has_tests,
+    license_file, entry_points, imports, core_files, roles (how many files have each) and public_files.
+
+    Numbers stand for lists that grow with the project; entry_points(), graph.core(), roles() and public_api() have them.
+    """
+    from . import graph
+
+    language = primary_language(files)
+    name = language.first()[0]
+    count = lambda df, name: df.agg(F.count("*").alias(name))
+    by_role = roles(files, edges).groupBy("role").agg(F.count("*").alias("n"))
+    out = language
+    for one in (
+        frameworks(files, name).agg(F.array_sort(F.collect_set("framework")).alias("frameworks")), package_manager(files), has_tests(files), license_file(files), count(entry_points(files), "entry_points"),
+        count(edges.distinct(), "imports"), count(graph.core(edges), "core_files"), by_role.agg(F.array_sort(F.collect_list(F.struct("role", "n"))).alias("roles")), count(public_api(files), "public_files"),
+    ):
+        out = out.crossJoin(one)  # one row each
+    return out
+
+
 def public_api(files: DataFrame) -> DataFrame:
     """path, definitions: those whose names do not begin with an underscore; files without any are left out."""
     own = F.filter("definitions", lambda d: ~F.startswith(d["name"], F.lit("_")))

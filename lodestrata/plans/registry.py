@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import parse, paths, text
 from ..operators import definitions, graph, history, profile, snapshot
 from ..streaming import debounce
+from . import reports, scan
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -140,6 +141,15 @@ def watch_filter(spark, sf_dir):
     return debounce.wanted(events, ["**/*.py", "*.js"], ["**/test_*.py"]).select("path")
 
 
+@query(f"""with f as ({FILES}) select path, case when k in (0, 1, 6, 8) then 'python' when k = 2 then 'javascript' when k = 3 then 'tsx' end as parser_language, coalesce(language in ('python', 'javascript', 'typescript'), false) as parsed,
+ '/src/' || path as absolute, path as relative, case k when 0 then 'py' when 4 then 'one and two' else 'a, b, and c' end as said from f""")
+def path_lookups(spark, sf_dir):
+    p = F.col("path")
+    items = F.when(paths.name(p) == "README.md", F.split(F.lit("one two"), " ")).when(paths.name(p).startswith("test_"), F.array(F.lit("py"))).otherwise(F.split(F.lit("a b c"), " "))
+    own = files(spark, sf_dir).withColumn("absolute", paths.absolute(F.lit("/src"), p))
+    return own.select("path", paths.parser_language(paths.suffix(p)).alias("parser_language"), paths.is_parsed(F.col("language")).alias("parsed"), "absolute", paths.below(F.lit("/src"), F.col("absolute")).alias("relative"), text.phrase(items).alias("said"))
+
+
 @query(f"with f as ({FILES}) select language from f where language is not null group by 1 order by count(*) desc, min(string_split(path, '/')) limit 1")
 def primary_language(spark, sf_dir):
     return profile.primary_language(files(spark, sf_dir))
@@ -172,6 +182,73 @@ def has_tests(spark, sf_dir):
     return profile.has_tests(files(spark, sf_dir))
 
 
+_FRAMEWORKS = """select distinct case doc_id % 50 when 3 then 'Django' when 4 then 'Flask' when 5 then 'NumPy' end as framework from documents where doc_id % 50 in (3, 4, 5)
+ union select 'Pandas' from documents where doc_id % 50 = 5"""
+_ROLES = f"""o as (select distinct src as path from e), rl as (select f.path, case when k in (4, 9) then 'docs' when k in (6, 7, 11) then 'config' when k = 0 then 'tests' when i.dependents >= 3 then 'core'
+ when i.path is null and o.path is not null then 'entry_points' else 'other' end as role from f left join i on f.path = i.path left join o on f.path = o.path)"""
+_CORE = "core as (select * from i where dependents >= 3 and not regexp_matches(lower(path), 'test|spec'))"
+
+
+def described_files(spark, sf_dir):
+    """files() with two definitions each, one of them private, and with what a scan found."""
+    own = table(spark, sf_dir, "documents").select("doc_id", "source", "lang").selectExpr(
+        "doc_id", f"{PATH} as path", f"{IMPORTS} as imports", "case doc_id % 3 when 0 then 'added' when 1 then 'modified' else 'unchanged' end as change_type",
+        "case doc_id % 5 when 0 then 'breaking' when 1 then 'additive' when 2 then 'internal' end as semantic_category",
+        "case when doc_id % 4 = 3 then array() else array(named_struct('name', concat('f', doc_id), 'type', if(doc_id % 2 = 0, 'class', 'function')), named_struct('name', '_p', 'type', 'function')) end as definitions",
+    )
+    return own.withColumn("language", paths.language(F.col("path")))
+
+
+@query(f"""with f as ({FILES}), {_EDGES}, {_ROLES}, {_CORE}, fw as ({_FRAMEWORKS})
+ select (select language from f where language is not null group by 1 order by count(*) desc, min(string_split(path, '/')) limit 1) as language, (select string_agg(framework, ',' order by framework) from fw) as frameworks,
+ (select case when count_if(k = 11) > 0 then 'pip/poetry' when count_if(k in (6, 7)) > 0 then 'pip' end from f) as package_manager, (select count_if(k = 0) > 0 from f) as has_tests,
+ (select path from f where k = 9 order by string_split(path, '/') limit 1) as license_file, (select count_if(k = 8) from f) as entry_points, (select count(*) from (select distinct src, dst from e)) as imports,
+ (select count(*) from core) as core_files, (select string_agg(role || '=' || n, ',' order by role) from (select role, count(*) as n from rl group by 1)) as roles, (select count_if(doc_id % 4 <> 3) from f) as public_files""")
+def project_profile(spark, sf_dir):
+    own = profile.profile(described_files(spark, sf_dir), file_edges(spark, sf_dir))
+    roles = F.array_join(F.transform("roles", lambda r: F.concat(r["role"], F.lit("="), r["n"].cast("string"))), ",")
+    return own.withColumn("frameworks", F.array_join("frameworks", ",")).withColumn("roles", roles)
+
+
+_NL, _LINES = "chr(10)", "string_agg({}, chr(10) order by {})"
+_TREE = f"""t as (select f.path, core.path is not null as is_core, case when f.path like '%/%' then string_split(f.path, '/')[1] else '_root' end as top from f left join core on f.path = core.path),
+ r as (select *, row_number() over (partition by top order by path) as place, count(*) over (partition by top) as total from t), tc as (select top, count_if(is_core) as n, count(*) as total from t group by 1),
+ folders as (select r.top, '├── ' || r.top || '/' || case when any_value(n) > 0 then ' (' || any_value(n) || ' core files)' else '' end || {_NL} || string_agg('│   ├── ' || substr(path, length(r.top) + 2) || case when is_core then ' (core)' else '' end, {_NL} order by place)
+  || case when any_value(tc.total) > 3 then {_NL} || '│   └── ... (' || (any_value(tc.total) - 3) || ' more files)' else '' end as text from r join tc on r.top = tc.top where place <= 3 and r.top <> '_root' group by r.top),
+ keys as (select string_agg('- **' || case role when 'core' then 'Core files' when 'entry_points' then 'Entry points' else 'Tests' end || '**: ' || n || case role when 'core' then ' central modules' when 'entry_points' then ' executable files' else ' test files' end, {_NL}
+  order by case role when 'core' then 0 when 'entry_points' then 1 else 2 end) as text from (select role, count(*) as n from rl where role in ('core', 'entry_points', 'tests') group by 1))"""
+_API = f"""a as (select f.path, top, is_core, case when doc_id % 2 = 0 then 'Classes:' else 'Functions:' end as title, 'f' || doc_id as def, row_number() over (partition by top order by is_core desc, f.path) as place, count(*) over (partition by top) as total
+  from f join t on f.path = t.path where doc_id % 4 <> 3), modules as (select top, case when top = '_root' then '### Root Level' else '### ' || top end || {_NL} || {_NL} || string_agg('**`' || path || '`**' || {_NL} || case when is_core then '*(core module)*' || {_NL} else '' end
+  || {_NL} || title || {_NL} || '- `' || def || '`' || {_NL}, {_NL} order by place) || case when any_value(total) > 5 then {_NL} || '*...and ' || (any_value(total) - 5) || ' more files*' || {_NL} else '' end as text from a where place <= 5 group by top)"""
+_CHANGED_FILES = f"""rc as (select path, case doc_id % 5 when 0 then 'breaking' when 1 then 'additive' else 'internal' end as kind from f where doc_id % 3 < 2 and doc_id % 5 < 3),
+ rk as (select *, row_number() over (partition by kind order by string_split(path, '/')) as place from rc), rs as (select string_agg(text, {_NL} order by kind) as text from (
+  select 0 as kind, '### Breaking Changes' || {_NL} || {_NL} || 'The following files contain breaking API changes:' || {_NL} || {_NL} || string_agg('- `' || path || '`', {_NL} order by place) || {_NL} as text from rk where kind = 'breaking' and place <= 10 having count(*) > 0
+  union all select 1, '### New Features' || {_NL} || {_NL} || 'The following files contain new functionality:' || {_NL} || {_NL} || string_agg('- `' || path || '`', {_NL} order by place) || {_NL} from rk where kind = 'additive' and place <= 10 having count(*) > 0
+  union all select 2, '### Internal Changes' || {_NL} || {_NL} || count(*) || ' files have internal implementation changes without API modifications.' || {_NL} from rc where kind = 'internal' having count(*) > 0))"""
+
+
+@query(f"""with f as ({FILES}), {_EDGES}, {_ROLES}, {_CORE}, fw as ({_FRAMEWORKS}), fws as (select list(framework order by framework) as l from fw), {_TREE}, {_API}, {_CHANGED_FILES},
+ c10 as (select string_agg('- `' || path || '` (imported by ' || dependents || ' files)', {_NL} order by dependents desc, path) as text from (select * from core order by dependents desc, path limit 10)),
+ ep as (select string_agg('- `' || path || '`', {_NL} order by string_split(path, '/')) as text from (select path from rl where role = 'entry_points' order by string_split(path, '/') limit 5)),
+ alone as (select count(*) as n from f where path not in (select src from e) and path not in (select dst from e))
+ select * from (select 0 as ord, 'overview' as name, 'Overview' as title, 'A ' || (select language from f where language is not null group by 1 order by count(*) desc, min(string_split(path, '/')) limit 1) || ' project built with '
+   || case len(l) when 1 then l[1] when 2 then l[1] || ' and ' || l[2] else array_to_string(l[1:-2], ', ') || ', and ' || l[-1] end || '.' as content from fws
+ union all select 1, 'installation', 'Installation', '```bash' || {_NL} || '# Clone the repository' || {_NL} || 'git clone https://github.com/username/demo.git' || {_NL} || 'cd demo' || {_NL} || {_NL} || '# Install dependencies' || {_NL} || 'pip install -e .' || {_NL} || '```'
+ union all select 2, 'usage', 'Usage', '```bash' || {_NL} || 'python ' || (select path from f where k = 8 order by string_split(path, '/') limit 1) || {_NL} || '```'
+ union all select 3, 'structure', 'Project Structure', '```' || {_NL} || (select string_agg('├── ' || path || case when is_core then ' (core)' else '' end || {_NL}, '' order by place) from r where top = '_root' and place <= 5)
+   || (select string_agg(text, {_NL} order by top) from folders) || {_NL} || '```' || {_NL} || {_NL} || '**Key Components:**' || {_NL} || {_NL} || (select text from keys)
+ union all select 4, 'architecture', 'Architecture', 'This section provides insights into the codebase architecture based on dependency analysis.' || {_NL} || {_NL}
+   || coalesce((select '### Core Modules' || {_NL} || {_NL} || 'These modules are central to the codebase (imported by many files):' || {_NL} || {_NL} || text || {_NL} || {_NL} from c10), '')
+   || coalesce((select '### Entry Points' || {_NL} || {_NL} || 'These files serve as entry points (not imported by other files):' || {_NL} || {_NL} || text || {_NL} || {_NL} from ep), '')
+   || (select '### Isolated Files' || {_NL} || {_NL} || n || ' file(s) have no dependencies and are not imported by other files.' || {_NL} from alone)
+ union all select 5, 'api', 'API Reference', 'This section provides an overview of the public API based on code analysis.' || {_NL} || {_NL} || (select string_agg(text, {_NL} order by top) from modules)
+ union all select 6, 'recent_changes', 'Recent Changes', (select text from rs)
+ union all select 7, 'license', 'License', (select 'This project is licensed under the terms specified in [`' || path || '`](' || path || ').' from f where k = 9 order by string_split(path, '/') limit 1))""")
+def readme_sections(spark, sf_dir):
+    made = reports.sections(described_files(spark, sf_dir), file_edges(spark, sf_dir), "demo")
+    return spark.createDataFrame([(i, s.name, s.title, s.content) for i, s in enumerate(made)], "ord int, name string, title string, content string")
+
+
 @query("""select distinct case doc_id % 50 when 3 then 'Django' when 4 then 'Flask' when 5 then 'NumPy' end as framework from documents where doc_id % 50 in (3, 4, 5)
  union select 'Pandas' from documents where doc_id % 50 = 5""")
 def framework_detect(spark, sf_dir):
@@ -289,18 +366,35 @@ def bullet_format(spark, sf_dir):
     return history.formatted(_bullets(spark, sf_dir), "concise", 5).select(F.col("gen_ord").cast("bigint").alias("gen_ord"), "text")
 
 
+_TOP5 = "t5 as (select * from b order by impact_score desc, gen_ord limit 5)"
+
+
+@query(f"""{_BULLETS}, {_TOP5} select cast(gen_ord as bigint) as gen_ord, 'standard' as style, '• ' || text as text from t5 union all
+ select gen_ord, 'detailed', '• ' || text || chr(10) || '  Category: ' || category || ' | Impact: ' || format('{{:.1f}}', impact_score) || '/10' || chr(10) || '  Evidence: ' || replace(evidence, ';', ', ') || chr(10) from t5""")
+def bullet_styles(spark, sf_dir):
+    ranked = _bullets(spark, sf_dir)
+    own = [history.formatted(ranked, style, 5).select(F.col("gen_ord").cast("bigint").alias("gen_ord"), F.lit(style).alias("style"), "text") for style in ("standard", "detailed", "none")]
+    return own[0].unionByName(own[1]).unionByName(own[2])
+
+
+@query(f"""{_BULLETS} select '{{"bullets":[' || string_agg('{{"text":' || cast(to_json(text) as string) || ',"impact_score":' || format('{{:.1f}}', impact_score) || ',"category":"' || category || '","evidence":["' || replace(evidence, ';', '","') || '"]}}', ',' order by impact_score desc, gen_ord)
+ || '],"total_bullets":' || count(*) || ',"categories":["' || (select string_agg(distinct category, '","' order by category) from b) || '"]}}' as json from b""")
+def bullets_json(spark, sf_dir):
+    return history.exported(_bullets(spark, sf_dir))
+
+
 @query(f"{_BULLETS} select category, count(*) as n from b group by 1")
 def bullet_categories(spark, sf_dir):
     return history.categories(_bullets(spark, sf_dir))
 
 
-@query(f"{_HISTORY} select ord % 16 as repo, hash, author, date, message, insertions, deletions, n_files from c")
+@query(f"{_HISTORY} select ord // 64 as repo, hash, author, date, message, insertions, deletions, n_files from c")
 def gitlog_parse(spark, sf_dir):
     stats = commit_files(spark, sf_dir).groupBy("ord").agg(F.array_sort(F.collect_list(F.struct("deletions", "p_partkey", "l_suppkey", F.concat_ws("\t", "insertions", "deletions", "path").alias("line")))).alias("s"))
     orders = commits(spark, sf_dir).select("ord", "hash", "author", "date", "message").join(stats, "ord", "left")
     head = F.concat_ws("|", "hash", "author", F.unix_seconds(F.col("date").cast("timestamp")).cast("string"), "message")
     block = F.concat_ws("\n", head, F.array_join(F.transform(F.coalesce("s", F.array()), lambda x: x["line"]), "\n"))
-    logs = orders.select((F.col("ord") % 16).alias("repo"), "ord", F.concat(block, F.lit("\n")).alias("block")).groupBy("repo").agg(F.array_sort(F.collect_list(F.struct("ord", "block"))).alias("b"))
+    logs = orders.select(F.expr("ord div 64 as repo"), "ord", F.concat(block, F.lit("\n")).alias("block")).groupBy("repo").agg(F.array_sort(F.collect_list(F.struct("ord", "block"))).alias("b"))
     logs = logs.select("repo", F.array_join(F.transform("b", lambda x: x["block"]), "\n").alias("text"))
     found, own = history.parse_log(logs)
     n = own.groupBy("repo", "ord").agg(F.count("*").alias("n_files"))
@@ -309,14 +403,14 @@ def gitlog_parse(spark, sf_dir):
 
 # --- an import graph made from line items
 
-_RAW = """select distinct prev as a, l_partkey as b from (select l_partkey, lag(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as prev from lineitem where l_quantity >= 46)
+_RAW = """select distinct prev as a, l_partkey as b from (select l_partkey, lag(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as prev from lineitem)
  where prev is not null and prev <> l_partkey"""
 _GRAPH = f"""raw as ({_RAW}), p as (select p_partkey as k, {_PART} as path, 'pkg' || cast(p_size as string) || '.m' || cast(p_partkey as string) as module from part),
  e as (select x.path as src, y.path as dst, y.module as import from raw join p x on a = x.k join p y on b = y.k)"""
 
 
 def module_nodes(spark, sf_dir):
-    raw = table(spark, sf_dir, "lineitem").where("l_quantity >= 46").selectExpr("l_partkey as b", "lag(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as a")
+    raw = table(spark, sf_dir, "lineitem").selectExpr("l_partkey as b", "lag(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as a")
     raw = raw.where("a is not null and a <> b").distinct()
     p = table(spark, sf_dir, "part").selectExpr("p_partkey as k", f"{_PART} as path", "'pkg' || cast(p_size as string) || '.m' || cast(p_partkey as string) as module")
     wanted = raw.join(p.select(F.col("k").alias("b"), "module"), "b").groupBy("a").agg(F.collect_set("module").alias("imports"))
@@ -390,29 +484,99 @@ def transitive_dependents(spark, sf_dir):
     return graph.closure(edges, _seed(edges, "dst"), reverse=True)
 
 
-_DAG = "raw as (select distinct greatest(a, b) as s, least(a, b) as d from (" + _RAW + "))"
+# packages of sixteen orders: their files import each other as the lines of an order follow each other
+_FILE = "'p' || cast(l_orderkey // 16 as string) || '/m' || cast({} % 24 as string)"
+_PACKAGES = f"""pairs as (select l_orderkey, l_partkey, lag(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as prev from lineitem),
+ files as (select distinct {_FILE.format("l_partkey")} as path from pairs)"""
+_PACKAGE_EDGES = f"{_PACKAGES}, e as (select distinct {_FILE.format('prev')} as src, {_FILE.format('l_partkey')} as dst from pairs where prev is not null)"
+
+
+def package_files(spark, sf_dir):
+    """Pairs of files (src, dst) that follow each other in an order, and all files (path)."""
+    file = lambda c: f"concat('p', l_orderkey div 16, '/m', {c} % 24)"
+    own = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_partkey", "lag(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as prev")
+    pairs = own.where("prev is not null").selectExpr(f"{file('prev')} as src", f"{file('l_partkey')} as dst")
+    return pairs.distinct(), own.selectExpr(f"{file('l_partkey')} as path").distinct()
 
 
-@query(f"""with recursive {_DAG}, r(k, level) as (select p_partkey, 0 from part union select raw.s, r.level + 1 from r join raw on raw.d = r.k)
- select 'm' || cast(k as string) as path, cast(max(level) as bigint) as level from r group by k""")
+@query(f"""with recursive {_PACKAGES}, e as (select distinct {_FILE.format("greatest(prev % 24, l_partkey % 24)")} as src, {_FILE.format("least(prev % 24, l_partkey % 24)")} as dst from pairs
+ where prev % 24 <> l_partkey % 24), r(path, level) as (select path, 0 from files union select e.src, r.level + 1 from r join e on e.dst = r.path)
+ select path, cast(max(level) as bigint) as level from r group by path""")
 def topo_levels(spark, sf_dir):
-    nodes = table(spark, sf_dir, "part").selectExpr("'m' || cast(p_partkey as string) as path")
-    raw = table(spark, sf_dir, "lineitem").where("l_quantity >= 46").selectExpr("l_partkey as b", "lag(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as a")
-    edges = raw.where("a is not null and a <> b").selectExpr("'m' || cast(greatest(a, b) as string) as src", "'m' || cast(least(a, b) as string) as dst")
+    pairs, nodes = package_files(spark, sf_dir)
+    number = lambda c: F.substring_index(c, "/m", -1).cast("int")
+    up = number("src") > number("dst")
+    edges = pairs.where("src <> dst").select(F.when(up, F.col("src")).otherwise(F.col("dst")).alias("src"), F.when(up, F.col("dst")).otherwise(F.col("src")).alias("dst"))
     return graph.levels(nodes, edges).withColumn("level", F.col("level").cast("bigint"))
 
 
-@query(f"""with recursive {_GRAPH}, r(a, b) as (select src, dst from e union select r.a, e.dst from r join e on e.src = r.b)
- select x.a as path, min(x.b) as scc from r x join r y on x.a = y.b and x.b = y.a group by x.a having count(distinct x.b) > 1""")
+_SCC = f"""{_PACKAGE_EDGES}, r(a, b) as (select src, dst from e union select r.a, e.dst from r join e on e.src = r.b),
+ s as (select x.a as path, min(x.b) as scc from r x join r y on x.a = y.b and x.b = y.a group by x.a having count(distinct x.b) > 1)"""
+
+
+@query(f"with recursive {_SCC} select path, scc from s")
 def cycles_scc(spark, sf_dir):
-    return graph.components(module_edges(spark, sf_dir))
+    return graph.components(package_files(spark, sf_dir)[0])
+
+
+@query(f"""with recursive {_SCC}, own as (select distinct x.scc, src, dst from e join s x on x.path = e.src join s y on y.path = e.dst where x.scc = y.scc and src <> dst),
+ d(scc, path, n) as (select distinct scc, scc, 0 from own union select own.scc, own.src, d.n + 1 from d join own on own.scc = d.scc and own.dst = d.path where d.n < 24),
+ near as (select scc, path, min(n) as n from d where path <> scc group by all), turn as (select own.scc, min(near.n) as n from own join near on near.scc = own.scc and near.path = own.dst where own.src = own.scc group by 1),
+ nxt as (select own.scc, own.src, min(own.dst) as dst from own join near a on a.scc = own.scc and a.path = own.src join (select * from near union all select distinct scc, scc, 0 from own) b on b.scc = own.scc and b.path = own.dst where b.n = a.n - 1 group by all
+  union all select own.scc, own.src, min(own.dst) from own join turn on turn.scc = own.scc join near on near.scc = own.scc and near.path = own.dst and near.n = turn.n where own.src = own.scc group by all),
+ w(scc, path, way, k) as (select distinct scc, scc, scc, 0 from own union all select w.scc, nxt.dst, w.way || ',' || nxt.dst, w.k + 1 from w join nxt on nxt.scc = w.scc and nxt.src = w.path where w.k = 0 or w.path <> w.scc)
+ select scc, way as cycle from w where k > 0 and path = scc union all select src, src || ',' || dst from e where src = dst""")
+def cycles(spark, sf_dir):
+    return graph.cycles(package_files(spark, sf_dir)[0]).withColumn("cycle", F.array_join("cycle", ","))
+
+
+@query(f"with {_GRAPH} select (select count(*) from p) as files, (select count(*) from e) as edges")
+def graph_size(spark, sf_dir):
+    return graph.size(module_nodes(spark, sf_dir), module_edges(spark, sf_dir))
+
+
+@query(f"with {_GRAPH}, f as (select max(path) as path from p) select f.path, (select count(*) from e where src = f.path) as dependencies, (select count(*) from e where dst = f.path) as dependents from f")
+def graph_lookup(spark, sf_dir):
+    nodes, edges = module_nodes(spark, sf_dir), module_edges(spark, sf_dir)
+    path = nodes.agg(F.max("path")).first()[0]
+    counts = (f(edges, path).agg(F.count("*").alias(n)) for f, n in ((graph.dependencies, "dependencies"), (graph.dependents, "dependents")))
+    own = graph.node(nodes, path).select("path")
+    for one in counts:
+        own = own.crossJoin(one)  # one row each
+    return own
+
+
+_WEB = "'web/d' || cast({0} % 10 as string) || '/m' || cast({0} as string) || case {0} % 3 when 0 then '.js' when 1 then '.ts' else '/index.js' end"
+_UP = "case when p_partkey % 3 = 2 then '../' else './' end"
+_NEXT = f"{_UP} || 'm' || cast(p_partkey + 10 as string)"
+_SIDE = "case when p_partkey % 3 = 2 then '../../' else '../' end || 'd' || cast((p_partkey + 1) % 10 as string) || '/m' || cast(p_partkey + 1 as string)"
+
+
+@query(f"""select {_WEB.format("p_partkey")} as src, {_NEXT} as import, {_WEB.format("(p_partkey + 10)")} as dst from part where p_partkey + 10 in (select p_partkey from part)
+ union all select {_WEB.format("p_partkey")}, {_SIDE}, {_WEB.format("(p_partkey + 1)")} from part where p_partkey + 1 in (select p_partkey from part)""")
+def script_imports(spark, sf_dir):
+    own = table(spark, sf_dir, "part").selectExpr(f"{_WEB.format('p_partkey')} as path", f"array({_NEXT}, {_SIDE}, 'react', './none') as imports", "'javascript' as language")
+    return graph.resolve(own)
+
+
+_SUB = "'pkg' || cast(p_partkey % 10 as string) || '/sub/m' || cast({} as string)"
+
+
+@query(f"""select {_SUB.format("p_partkey")} || '.py' as src, '.m' || cast(p_partkey + 10 as string) as import, {_SUB.format("p_partkey + 10")} || '.py' as dst from part where p_partkey + 10 in (select p_partkey from part)
+ union all select {_SUB.format("p_partkey")} || '.py', '..sub.m' || cast(p_partkey + 20 as string), {_SUB.format("p_partkey + 20")} || '.py' from part where p_partkey + 20 in (select p_partkey from part)
+ union all select {_SUB.format("p_partkey")} || '.py', '.', 'pkg' || cast(p_partkey % 10 as string) || '/sub/__init__.py' from part""")
+def relative_imports(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    own = part.selectExpr(f"{_SUB.format('p_partkey')} || '.py' as path", "array('.m' || cast(p_partkey + 10 as string), '..sub.m' || cast(p_partkey + 20 as string), '.', '...none') as imports")
+    packages = part.selectExpr("'pkg' || cast(p_partkey % 10 as string) || '/sub/__init__.py' as path").distinct().withColumn("imports", F.array().cast("array<string>"))
+    return graph.resolve(own.unionByName(packages).withColumn("language", F.lit("python")))
 
 
 # --- definitions made from parts
 
-_DEFS = """select p_partkey % 400 as g, p_partkey as k, case when p_partkey % 7 = 0 then '_f' else 'f' end || cast(p_partkey as string) as name,
- case when p_partkey % 4 = 0 then 'class' else 'function' end as type, p_partkey % 7 <> 0 as is_public, p_partkey % 11 <> 0 and (p_partkey % 400) % 17 <> 0 as in_old,
- p_partkey % 13 <> 0 and (p_partkey % 400) % 19 <> 0 as in_new from part"""
+_DEFS = """select p_partkey // 5 as g, p_partkey as k, case when p_partkey % 7 = 0 then '_f' else 'f' end || cast(p_partkey as string) as name,
+ case when p_partkey % 4 = 0 then 'class' else 'function' end as type, p_partkey % 7 <> 0 as is_public, p_partkey % 11 <> 0 and (p_partkey // 5) % 17 <> 0 as in_old,
+ p_partkey % 13 <> 0 and (p_partkey // 5) % 19 <> 0 as in_new from part"""
 _CHANGED = f"""d as ({_DEFS}), j as (select *, not (type = 'class') and (k % 5 <> 4 or k % 10 = 3) as differs, type = 'function' and (k % 5 in (0, 1, 3) or k % 10 = 3) as breaks from d),
  ch as (select 'pkg' || cast(g as string) as path, g, name, type as definition_type, case when not in_new then 'removed' when not in_old then 'added' else 'modified' end as change_type,
  case when in_old then k % 100 end as old_line, case when in_new then k % 100 + 1 end as new_line, is_public, in_old and in_new and is_public and breaks as is_breaking_signature
@@ -436,7 +600,7 @@ _CLASSIFIED = f"""{_CHANGED}, g as (select g, 'pkg' || cast(g as string) as path
 def definition_files(spark, sf_dir):
     """Files whose definitions come from parts: parameters, types and returns differ between old and new by rule."""
     k = F.col("p_partkey")
-    d = table(spark, sf_dir, "part").select("p_partkey", (k % 400).alias("g"))
+    d = table(spark, sf_dir, "part").select("p_partkey", F.expr("p_partkey div 5 as g"))
 
     def struct(new: bool):
         old_params = F.lit("x,y: int")
@@ -462,9 +626,9 @@ def definition_files(spark, sf_dir):
 
 
 def package_edges(spark, sf_dir):
-    g = table(spark, sf_dir, "part").select((F.col("p_partkey") % 400).alias("g")).distinct()
+    g = table(spark, sf_dir, "part").select(F.expr("p_partkey div 5 as g")).distinct()
     name = lambda x: F.concat(F.lit("pkg"), x.cast("string"))
-    return g.select(name((F.col("g") + 1) % 400).alias("src"), name(F.col("g")).alias("dst"))
+    return g.select(name(F.col("g") + 1).alias("src"), name(F.col("g")).alias("dst"))
 
 
 @query(f"with {_CHANGED} select path, name, definition_type, change_type, cast(old_line as int) as old_line, cast(new_line as int) as new_line, is_public, is_breaking_signature from ch")
@@ -495,7 +659,18 @@ def change_summary(spark, sf_dir):
     return definitions.summarise(definitions.classify(own), definitions.changes(own))
 
 
-@query(f"""with {_CLASSIFIED} select path as changed, 'pkg' || cast((g + 1) % 400 as string) as dependent, case category when 'breaking' then 'May be broken by changes in ' || path || ': ' || description
+@query(f"with {_CLASSIFIED} select category, path from cl where category in ('breaking', 'additive')")
+def change_files(spark, sf_dir):
+    return definitions.listed(definitions.classify(definition_files(spark, sf_dir)))
+
+
+@query(f"""with {_CLASSIFIED.replace("rem + brk > 0", "rem > 0").replace("when brk > 0", "when false").replace("when md > brk then 'Modified ' || (md - brk)", "when md > 0 then 'Modified ' || md")}
+ select path, category, has_breaking, has_additions, has_removals, description from cl""")
+def classify_by_names(spark, sf_dir):
+    return definitions.classify(definition_files(spark, sf_dir), signatures=False)
+
+
+@query(f"""with {_CLASSIFIED} select path as changed, 'pkg' || cast(g + 1 as string) as dependent, case category when 'breaking' then 'May be broken by changes in ' || path || ': ' || description
  when 'additive' then 'New APIs available from ' || path || ': ' || description when 'internal' then 'Internal changes in ' || path || ' (no API impact expected)'
  else 'Documentation updated in ' || path || ' (no code impact)' end as impact from cl where category <> 'unknown'""")
 def import_impact(spark, sf_dir):
@@ -553,6 +728,47 @@ def imports_extract(spark, sf_dir):
     return both.select("p_partkey", F.explode("imports").alias("import"))
 
 
+# what is done to a file, the file before and after, and whether its structure is the same afterwards
+_EDITS = [
+    ("comment", "x = 1  # a", "x = 1  # b", True), ("blank lines", "x = 1", "\n\nx = 1\n", True), ("number", "x = 1", "x = 2", True), ("name", "x = 1", "y = 1", False), ("text", "x = 'a'", "x = 'b'", False),
+    ("operator", "x = a + b", "x = a - b", False), ("statement", "x = 1", "x = 1\ny = 2", False), ("docstring", "def f():\n    'a'", "def f():\n    'b'", False), ("indent", "if a:\n  b()", "if a:\n      b()", True),
+]
+_SCRIPT_EDITS = [
+    ("script comment", "let x = 1 // a", "let x = 1 /* b */", True), ("script number", "let x = 1", "let x = 2", True), ("script method", "class A { m() {} }", "class A { n() {} }", True),
+    ("script name", "let x = 1", "let y = 1", False), ("script text", "let x = 'a'", "let x = 'b'", False), ("script operator", "f(a + b)", "f(a - b)", False),
+]
+
+
+@query("select p_partkey, edit, same from part join (values " + ", ".join(f"({i}, '{name}', {same})" for i, (name, _, _, same) in enumerate(_EDITS + _SCRIPT_EDITS)) + f") v(i, edit, same) on p_partkey % {len(_EDITS + _SCRIPT_EDITS)} = i")
+def structural_hashes(spark, sf_dir):
+    every = [(i, name, "python" if i < len(_EDITS) else "javascript", old, new) for i, (name, old, new, _) in enumerate(_EDITS + _SCRIPT_EDITS)]
+    edits = spark.createDataFrame(every, "i int, edit string, language string, old string, new string")
+    # the same end for both sides of a part
+    last = F.concat(F.lit("\n"), F.when(F.col("language") == "python", "z").otherwise("let z"), F.col("p_partkey").cast("string"), F.lit(" = 0\n"))
+    own = table(spark, sf_dir, "part").select("p_partkey").join(F.broadcast(edits), F.expr(f"p_partkey % {len(every)} = i"))
+    side = lambda c: parse.parsed(own.select("p_partkey", "edit", "language", F.concat(c, last).alias("content"))).select("p_partkey", "edit", F.col("ast_hash").alias(f"{c}_hash"))
+    return side("old").join(side("new"), ["p_partkey", "edit"]).select("p_partkey", "edit", (F.col("old_hash") == F.col("new_hash")).alias("same"))
+
+
+_MODULE = "'def f' || cast(p_partkey as string) || '(a, b):' || chr(10) || '    return a' || chr(10)"
+_EDITED = f"""case when p_partkey % 7 = 0 then '# note' || chr(10) || {_MODULE} when p_partkey % 5 = 0 then replace({_MODULE}, '(a, b)', '(a)') when p_partkey % 3 = 0 then {_MODULE} || 'def g(): pass' || chr(10)
+ when p_partkey % 17 = 0 then replace({_MODULE}, 'def f', 'def _f') || {_MODULE} else {_MODULE} end"""
+
+
+@query(f"""select {_PART} as path, case when k = 'new' then 'added' when k = 'gone' then 'deleted' when k = 'same' then 'unchanged' else 'modified' end as change_type,
+ case k when 'new' then 'additive' when 'gone' then 'breaking' when 'docs' then 'docs-only' when 'cut' then 'breaking' when 'more' then 'additive' when 'own' then 'internal' end as semantic_category,
+ case k when 'new' then 'New file with ' || n || ' definition(s) (' || p || ' public)' when 'gone' then 'File deleted with 1 definition(s) (1 public - BREAKING)' when 'docs' then 'Documentation-only changes (comments, docstrings, whitespace)'
+ when 'cut' then 'Breaking signature changes in 1 function(s)' when 'more' then 'Added 1 public API(s)' when 'own' then '1 internal change(s)' end as description, case when k = 'gone' then 0 else n end as n_definitions
+ from (select *, case when p_partkey % 7 = 0 or p_partkey % 5 = 0 then 1 when p_partkey % 3 = 0 or p_partkey % 17 = 0 then 2 else 1 end as n, case when p_partkey % 7 = 0 or p_partkey % 5 = 0 then 1 when p_partkey % 3 = 0 then 2 else 1 end as p,
+ case when p_partkey % 11 = 0 then 'new' when p_partkey % 13 = 0 then 'gone' when p_partkey % 7 = 0 then 'docs' when p_partkey % 5 = 0 then 'cut' when p_partkey % 3 = 0 then 'more' when p_partkey % 17 = 0 then 'own' else 'same' end as k from part) where p_partkey % 143 <> 0""")
+def scan_changes(spark, sf_dir):
+    part = table(spark, sf_dir, "part").where("p_partkey % 143 <> 0")
+    tree = lambda df, sql: df.selectExpr(f"{_PART} as path", f"cast({sql} as binary) as content")
+    old = scan.scan_files(tree(part.where("p_partkey % 11 <> 0"), _MODULE))
+    new = scan.scan_files(tree(part.where("p_partkey % 13 <> 0"), _EDITED), old.files)
+    return new.changes.select("path", "change_type", "semantic_category", "description", F.when(F.col("change_type") == "deleted", 0).otherwise(F.size("definitions")).alias("n_definitions"))
+
+
 _README = """'pre ' || cast(doc_id as string) || chr(10) || '## Alpha' || chr(10) || 'x' || cast(doc_id as string) || chr(10) || '## Beta' || chr(10) || lang || chr(10) || case when doc_id % 5 = 0 then '## Alpha' || chr(10) || 'again' else '' end"""
 
 

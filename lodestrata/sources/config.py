@@ -1,10 +1,41 @@
-"""Settings, read from and written as YAML.  Defaults leave results as they are; what is set explicitly is honoured."""
+"""Settings, read from and written as YAML.  Defaults leave results as they are; what is set otherwise is honoured."""
 
 from __future__ import annotations
 
 from dataclasses import asdict, dataclass, field
 from pathlib import Path
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from ..functions import paths
+
+# The default settings.
+LANGUAGES = ["python", "javascript", "typescript", "rust", "go"]
+SKIPPED = ["*.min.js", "*_pb2.py", "*.generated.*"]
+INCLUDED = [
+    "*.py", "*.js", "*.ts", "*.tsx", "*.jsx", "*.java", "*.go", "*.rs", "*.rb", "*.php", "*.c", "*.cpp", "*.h", "*.hpp", "*.cs", "*.swift", "*.kt", "*.scala", "*.sh", "*.bash", "*.zsh",
+    "README.*", "CHANGELOG.*", "CONTRIBUTING.*", "LICENSE*", "pyproject.toml", "package.json", "Cargo.toml", "go.mod", "requirements.txt", "setup.py", "setup.cfg",
+]
+EXCLUDED = [
+    ".git/**", ".lodestrata/**", ".venv/**", "venv/**", "env/**", ".env/**", "node_modules/**", "__pycache__/**", ".pytest_cache/**", ".mypy_cache/**", ".tox/**", "dist/**", "build/**", ".eggs/**",
+    "*.egg-info/**",
+]
+SECTIONS = ["title", "description", "features", "installation", "usage", "structure", "contributing", "license"]
+#: What the names of sections in the settings mean.
+SECTION_NAMES = {"title": "overview", "description": "overview"}
+#: What a comment says about each key.
+COMMENTS = {
+    "include_patterns": "Globs of the files that a watch is about; other than the default ones, a scan is about them too",
+    "exclude_patterns": "Globs of the files that it leaves out",
+    "readme_sections": "Sections of the README; the default list stands for all of them",
+    "ast_parsing": "Parsing; the default lists of languages and skipped files leave nothing out",
+    "dependency_analysis": "The import graph; ordered: as one pass over the files in order would find it",
+    "semantic_analysis": "Categories of changes",
+    "watch": "Seconds of quiet after changes before a scan, and between looks",
+    "verbose": "Defaults of the command line",
+}
+
 
 class ConfigError(Exception):
     """The file is no mapping or can't be read as YAML."""
@@ -12,46 +43,59 @@ class ConfigError(Exception):
 
 @dataclass
 class Watch:
-    enabled: bool = True
     debounce: float = 2.0
     interval: float = 1.0
-    include_patterns: list[str] = field(default_factory=lambda: ["**/*.py", "**/*.js", "**/*.ts", "**/*.jsx", "**/*.tsx"])
-    exclude_patterns: list[str] = field(default_factory=lambda: ["**/node_modules/*", "**/.venv/*", "**/__pycache__/*"])
 
 
 @dataclass
 class Parsing:
     enabled: bool = True
-    languages: list[str] = field(default_factory=lambda: ["python", "javascript", "typescript", "jsx", "tsx"])
-    skip_patterns: list[str] = field(default_factory=list)
+    languages: list[str] = field(default_factory=lambda: list(LANGUAGES))
+    skip_patterns: list[str] = field(default_factory=lambda: list(SKIPPED))
     strict: bool = False
 
 
 @dataclass
-class Graph:
+class Dependencies:
     enabled: bool = True
     detect_cycles: bool = True
-    #: True: edges as one pass over the files in order would find them.
     ordered: bool = False
 
 
+@dataclass
+class Semantics:
+    enabled: bool = True
+    classify_changes: bool = True
+
+
 @dataclass
 class Config:
+    include_patterns: list[str] = field(default_factory=lambda: list(INCLUDED))
+    exclude_patterns: list[str] = field(default_factory=lambda: list(EXCLUDED))
+    readme_sections: list[str] = field(default_factory=lambda: list(SECTIONS))
     ast_parsing: Parsing = field(default_factory=Parsing)
-    dependency_graph: Graph = field(default_factory=Graph)
+    dependency_analysis: Dependencies = field(default_factory=Dependencies)
+    semantic_analysis: Semantics = field(default_factory=Semantics)
     watch: Watch = field(default_factory=Watch)
-    readme_sections: list[str] = field(default_factory=list)
+    verbose: bool = False
+    dry_run: bool = False
 
     @classmethod
     def of(cls, values: dict) -> Config:
-        parts = {"ast_parsing": Parsing, "dependency_graph": Graph, "watch": Watch}
-        own = {}
-        for k, kind in parts.items():
-            given = values.get(k) or {}
-            if not isinstance(given, dict):
-                raise ConfigError(f"{k} must be a mapping")
-            own[k] = kind(**{n: v for n, v in given.items() if n in kind.__dataclass_fields__})
-        return cls(**own, readme_sections=list(values.get("readme_sections") or []))
+        """Settings from a mapping; keys that are missing or null have their defaults, unknown ones are left out."""
+        out = cls()
+        for name, kind in cls.__dataclass_fields__.items():
+            given, own = values.get(name), getattr(out, name)
+            if given is None:
+                continue
+            if kind.type in ("Parsing", "Dependencies", "Semantics", "Watch"):
+                if not isinstance(given, dict):
+                    raise ConfigError(f"{name} must be a mapping")
+                given = type(own)(**{k: v for k, v in given.items() if k in own.__dataclass_fields__ and v is not None})
+            elif isinstance(own, list):
+                given = [str(x) for x in given] if isinstance(given, list) else [str(given)]
+            setattr(out, name, given)
+        return out
 
     @classmethod
     def load(cls, path: str | Path) -> Config:
@@ -69,11 +113,30 @@ class Config:
             raise ConfigError("the settings must be a mapping")
         return cls.of(values)
 
+    def parsed(self, path: Column, language: Column) -> Column:
+        """Whether a file is parsed."""
+        own = self.ast_parsing
+        out = F.lit(own.enabled)
+        if own.languages != LANGUAGES:
+            out = out & F.coalesce(language.isin(*own.languages), F.lit(False))
+        return out & ~paths.matches(path, own.skip_patterns) if own.skip_patterns != SKIPPED else out
+
+    def scanned(self, path: Column) -> Column:
+        """Whether a file that is there is scanned."""
+        out = F.lit(True)
+        if self.include_patterns != INCLUDED:
+            out = out & paths.matches(path, self.include_patterns)
+        return out & ~paths.matches(path, self.exclude_patterns) if self.exclude_patterns != EXCLUDED else out
+
+    def sections(self) -> list[str] | None:
+        """Names of the wanted sections, null for all."""
+        return None if self.readme_sections in (SECTIONS, []) else [SECTION_NAMES.get(x, x) for x in self.readme_sections]
+
     def to_dict(self) -> dict:
         return asdict(self)
 
     def to_yaml(self) -> str:
-        """The settings as YAML, without needing a package for it."""
+        """The settings as YAML with comments, without needing a package for it."""
 
         def value(x) -> str:
             if isinstance(x, bool):
@@ -85,6 +148,8 @@ class Config:
         def block(values: dict, indent: str) -> list[str]:
             out = []
             for k, v in values.items():
+                if not indent and k in COMMENTS:
+                    out += ["", f"# {COMMENTS[k]}"]
                 if isinstance(v, dict):
                     out += [f"{indent}{k}:", *block(v, indent + "  ")]
                 elif isinstance(v, list):

@@ -74,6 +74,14 @@ def document_of(snapshot: DataFrame, edges: DataFrame, repo: dict, now: datetime
     return out
 
 
+def graph_of(spark: SparkSession, document: dict) -> tuple[DataFrame, DataFrame]:
+    """nodes (path, imports, language) and edges (src, dst) of the import graph that a document has."""
+    own = document.get("dependency_graph") or {}
+    nodes = [(p, x.get("imports") or [], x.get("language")) for p, x in (own.get("nodes") or {}).items()]
+    edges = [(p, q) for p, to in (own.get("dependencies") or {}).items() for q in to]
+    return spark.createDataFrame(nodes, "path string, imports array<string>, language string"), spark.createDataFrame(edges, "src string, dst string")
+
+
 def append(snapshot: DataFrame, folder: str, scan_id: str) -> None:
     """The snapshot as one partition of a Parquet table, from which readers prune the others."""
     snapshot.write.mode("overwrite").parquet(f"{folder}/scan_id={scan_id}")

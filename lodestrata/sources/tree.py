@@ -18,6 +18,15 @@ from pyspark.sql import functions as F
 from ..functions import paths
 
 
+def _git(folder: str | os.PathLike, *words: str) -> str | None:
+    """What git prints, null if it fails or is not installed."""
+    try:
+        done = subprocess.run(["git", *words], cwd=folder, capture_output=True, text=True, check=False)
+    except OSError:
+        return None
+    return None if done.returncode else done.stdout
+
+
 class RepositoryNotFound(Exception):
     """The folder is no working tree."""
 
@@ -36,10 +45,9 @@ class Repository:
             raise RepositoryNotFound(str(root))
 
         def git(*words: str) -> str:
-            done = subprocess.run(["git", *words], cwd=root, capture_output=True, text=True, check=False)
-            return done.stdout.strip() or "unknown" if not done.returncode else "unknown"
+            return (_git(root, *words) or "").strip() or "unknown"
 
-        return cls(str(root), root.name, git("rev-parse", "--abbrev-ref", "HEAD"), git("rev-parse", "HEAD"))
+        return cls(str(root), root.name, git("rev-parse", "--abbrev-ref", "HEAD"), git("rev-parse", "--short", "HEAD"))
 
     def columns(self) -> dict:
         return {k: F.lit(v) for k, v in vars(self).items()}
@@ -60,6 +68,11 @@ def listing(spark: SparkSession, root: str) -> DataFrame:
     return spark.createDataFrame([(x,) for x in names(root)], "path string")
 
 
+def in_string_order(listed: DataFrame) -> DataFrame:
+    """path of the files that are scanned, in the order of strings, in which `a.py` precedes `a/b.py`."""
+    return source_files(listed).select("path").orderBy("path")
+
+
 def source_files(listed: DataFrame) -> DataFrame:
     """path, path_parts and language of files that are scanned."""
     own = listed.where(paths.is_source(F.col("path")) & ~paths.is_ignored(F.col("path")))
@@ -88,9 +101,8 @@ def contents(listed: DataFrame, root: str) -> DataFrame:
 
 def log_text(root: str, limit: int = 100, since: str | None = None) -> str:
     """The commit log as text, empty without a repository."""
-    words = ["git", "log", f"--max-count={limit}", "--pretty=format:%H|%an|%at|%s", "--numstat"] + ([f"--since={since}"] if since else [])
-    done = subprocess.run(words, cwd=root, capture_output=True, text=True, check=False)
-    return "" if done.returncode else done.stdout.strip()
+    words = ["log", f"--max-count={limit}", "--pretty=format:%H|%an|%at|%s", "--numstat"] + ([f"--since={since}"] if since else [])
+    return (_git(root, *words) or "").strip()
 
 
 def logs(spark: SparkSession, root: str, limit: int = 100, since: str | None = None) -> DataFrame:

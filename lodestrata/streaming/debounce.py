@@ -5,6 +5,7 @@ A batch closes when nothing has happened for `gap`; a gap that is exactly that l
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
@@ -37,6 +38,41 @@ def batches(events: DataFrame, gap_seconds: float, key: str | None = None, item:
     return out.select(*([F.col("_k").alias(key)] if key else []), "batch_start", "batch_end", "n_events", "n_items")
 
 
+class Pending:
+    """Changed paths that wait until nothing has changed for `gap` seconds, for a watch that looks at names and times.
+
+    Paths stay pending until done() is told of them, so a batch whose action fails is due again, and what changes meanwhile
+    is kept for the next batch.
+    """
+
+    def __init__(self, gap: float = DEFAULT_GAP, include: list[str] | None = None, exclude: list[str] | None = None):
+        self.gap, self.paths, self.last = gap, set(), None
+        self.include, self.exclude = ([re.compile(paths.glob(p)) for p in own or []] for own in (include, exclude))
+        self.every = include is None
+
+    def is_wanted(self, path: str) -> bool:
+        if {".git", ".lodestrata"} & set(path.split("/")):
+            return False
+        return not any(p.search(path) for p in self.exclude) and (self.every or any(p.search(path) for p in self.include))
+
+    def changed(self, changed_paths, now: float) -> None:
+        own = {p for p in changed_paths if self.is_wanted(p)}
+        if own:
+            self.paths |= own
+            self.last = now
+
+    def due(self, now: float) -> list[str]:
+        """The paths of the batch that is due, none while changes go on."""
+        return sorted(self.paths) if self.paths and now - self.last >= self.gap else []
+
+    def done(self, done_paths) -> None:
+        self.paths -= set(done_paths)
+
+    def again(self, now: float) -> None:
+        """The batch that was due has failed; it is due after another gap."""
+        self.last = now
+
+
 def stream(events: DataFrame, gap_seconds: float = DEFAULT_GAP, late_seconds: float = 0.0) -> DataFrame:
     """batch_start, paths of a stream of events; a batch comes out once the watermark has passed its end.
 

@@ -70,6 +70,32 @@ def test_warc_round_trip(spark):
     assert data.startswith(b"WARC/1.1\r\n") and data.count(b"WARC/1.1\r\n") == archive.where("archive = 0 and chunk_no = 0").count()
 
 
+def test_warc_many_copies(spark, monkeypatch):
+    """The same records where repeated digests are too many to send, and some have too many copies to be a key; columns clash."""
+    rows = [(i, f"u{i}", f"page {i % 7}" if i % 3 else None) for i in range(200)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    made = lambda df: sorted(map(tuple, warc.records(warc.read_chunks(warc.write(warc.with_revisits(df)))).collect()))
+    want = made(pages)
+    assert sum(r[3] == "response" for r in want) == 8 and all(r[5] for r in want)
+    assert made(pages.selectExpr("*", "'x' as HTML", "1 as Page_id").toDF("page_id", "url", "html", "HTML", "Page_id")) == want
+    for most in (0, 5):
+        monkeypatch.setattr(warc, "BROADCAST_ROWS", most)
+        monkeypatch.setattr(warc, "HOT_COPIES", 30)
+        assert made(pages) == want
+
+
+def test_warc_revisits_are_verified(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(1, "u", "same"), (2, "u", "same"), (3, "u", "other"), (4, "u", "other"), (5, "u", "more"), (6, "u", "more")]
+    pages = warc.with_revisits(spark.createDataFrame(rows, "page_id bigint, url string, html string"))
+    archive = warc.write(pages)
+    lost = archive.where(~F.contains("data", F.lit(b"<urn:page:2>\r\nWARC-Date")) | F.contains("data", F.lit(b"revisit")))
+    changed = lost.withColumn("data", F.when(F.contains("data", F.lit(b"HTTP/1.1")) & F.contains("data", F.lit(b"other")), F.expr("cast(replace(cast(data as string), 'other', 'OTHER') as binary)")).otherwise(F.col("data")))
+    got = {r["page_id"]: r["digest_ok"] for r in warc.records(warc.read_chunks(changed)).collect()}
+    assert got == {1: False, 3: False, 4: False, 5: True, 6: True}
+
+
 def test_warc_empty(spark):
     pages = spark.createDataFrame([], "page_id bigint, url string, html string")
     assert warc.records(warc.read_chunks(warc.write(warc.with_revisits(pages)))).count() == 0
@@ -116,6 +142,20 @@ def test_bpe_tree_concatenation(library, leaf):
         assert e.ids(t) == library.encode(t, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("half", [1, 5, 17, 64, 512])
+def test_bpe_halves(library, docs, half):
+    """Whole texts cut anywhere and joined again; at the size in use most of the tables' texts are, and words are cut."""
+    e = bpe.TreeEncoder(queries.vocabulary_path(), half=half, leaf=64 if half == 17 else bpe.LEAF)
+    rng = random.Random(half)
+    parts = ["a", "Be", "é", "ß", "$", "#!", "'s", "'", "'ll", "1", " ", "\n", "\t ", "\u0301", "<|endoftext|>", "<|", "\u00a0", "ſ", "İ", "字", "word ", "x" * 70, "\x1c"]
+    texts = [*ODD, *docs.values(), *("".join(rng.choices(parts, k=rng.randint(0, 60))) for _ in range(1500))]
+    assert [array("I", x).tolist() for x in e.encode_many(texts)] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    if half == bpe.HALF:
+        long = sum(len(t.encode()) > half for t in docs.values())
+        assert long > 0.5 * len(docs) and e.joins > long and e.wider > 0.5 * e.joins
+        assert not e.runs.keys() & {b"wor", b"wo"}
+
+
 def test_bpe_columns(spark, odd, none, library):
     from pyspark.sql import functions as F
 
@@ -408,6 +448,33 @@ def test_quality_votes(spark):
     assert sum(r["predicted"] == r["quality"] for r in held) / len(held) > 0.95
 
 
+def test_quality_is_brute_force(spark):
+    """Scores of the query from plain loops over the sampled labels' vectors: counts, weights, cosines and votes."""
+    from pyspark.sql import functions as F
+
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    got = {r["doc_id"]: r["score"] for r in queries.op6_quality_knn(spark, SF).collect()}
+    learned, totals = knn_quality.gather(docs.select("doc_id", "text"), labels, ~knn_quality.held_out(), knn_quality.PER_LABEL)
+    marks = {r["doc_id"]: r["quality"] for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5}
+    assert len(learned) == len(marks) == sum(totals.values()) and sum(marks.values()) == totals[1]
+    counts = {i: knn_quality.count_terms(t).astype(float) for i, t in texts.items()}
+    seen = sum((c > 0).astype(int) for c in counts.values())
+    idf = np.log((len(texts) + 1) / (seen + 1)) + 1e-3
+    vector = {i: np.log1p(c) * idf for i, c in counts.items()}
+    vector = {i: v / max(np.linalg.norm(v), 1e-12) for i, v in vector.items()}
+    own = sorted(marks)
+    axes = np.linalg.svd(np.array([vector[i] for i in own]), full_matrices=False)[2][: knn_quality.DIMENSIONS].T
+    place = {i: v @ axes for i, v in vector.items()}
+    far = 0
+    for i in list(texts)[:80]:
+        cosines = [float(place[i] @ place[j] / max(np.linalg.norm(place[i]) * np.linalg.norm(place[j]), 1e-12)) for j in own]
+        top = sorted(range(len(own)), key=lambda j: -cosines[j])[: knn_quality.NEIGHBOURS]
+        w = [max(0.0, cosines[j]) ** knn_quality.POWER for j in top]
+        far = max(far, abs(got[i] - sum(x * marks[own[j]] for x, j in zip(w, top)) / sum(w)))
+    assert far < 0.02
+
+
 def test_vote_is_exact():
     rng = np.random.default_rng(4)
     cos, marks = rng.uniform(-1, 1, (9, 40)), rng.integers(0, 2, 40).astype(float)
@@ -464,6 +531,47 @@ def test_media_columns(spark, odd, none):
     assert none.select(media_ts.media_column(F.col("text"))).count() == 0
 
 
+def plain_demux(data):
+    """Payload and feature of a stream, packet by packet."""
+    counters, units, rap, stamps, payload, errors, tables = {}, 0, [], [], b"", 0, set()
+    for at in range(0, len(data), 188):
+        p = data[at : at + 188]
+        assert p[0] == 0x47
+        pid, counter, kind = (p[1] & 31) << 8 | p[2], p[3] & 15, p[3] >> 4 & 3
+        errors += pid in counters and counter != (counters[pid] + 1) % 16
+        counters[pid] = counter
+        body = p[5 + p[4] :] if kind == 3 else p[4:]
+        if pid != 0x100:
+            tables.add(pid)
+            continue
+        if p[1] & 0x40:
+            assert body[:3] == b"\0\0\1"
+            if kind == 3 and p[4] and p[5] & 0x40:
+                rap.append(units)
+            t = body[9:14]
+            stamps.append(int(f"{t[0] >> 1 & 7:03b}{t[1]:08b}{t[2] >> 1:07b}{t[3]:08b}{t[4] >> 1:07b}", 2))
+            units += 1
+            body = body[14:]
+        payload += body
+    assert tables == {0, 0x1000}
+    shown = f"{stamps[0]}-{stamps[-1]}"
+    return payload, f"programs=1;streams=1;packets={len(data) // 188};units={units};pts={shown};rap={','.join(map(str, rap))};cc={errors};crc=0;sync=0"
+
+
+def test_media_query_is_brute_force(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    stored = {r["doc_id"]: (r["text"], bytes(r["m"])) for r in docs.select("doc_id", "text", media_ts.media_column(F.col("text")).alias("m")).collect()}
+    got = queries.op7_transport_stream(spark, SF).collect()
+    assert len(got) == len(stored)
+    for r in got:
+        text, media = stored[r["doc_id"]]
+        payload, feature = plain_demux(media)
+        assert payload == media_ts.padded(text.encode()) and r["feature"] == feature and r["n_bytes"] == len(text.encode()) and r["payload_bytes"] == len(payload)
+        assert r["media_sha256"] == hashlib.sha256(media).hexdigest() and r["media_bytes"] == len(media) and r["payload_sha256"] == hashlib.sha256(payload).hexdigest()
+
+
 # --- 8
 
 
@@ -507,6 +615,27 @@ def test_language_cases(spark, odd, none):
     assert {r["doc_id"]: (r["lang_pred"], round(r["score"], 3)) for r in langid.identify(one).collect()} == {1: ("en", 1.0), 2: ("und", 0.0)}
 
 
+def test_languages_are_brute_force(spark):
+    """Predictions and scores of the query from plain loops over the learned weights."""
+    import math
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = {r["doc_id"]: r for r in queries.op9_language_id(spark, SF).collect()}
+    names, idf, w, t = langid.model_of(docs, ~langid.held_out())
+    rows = docs.select("doc_id", "text", "lang").collect()
+    taught = [r for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2]
+    seen = sum((langid.count_grams(r["text"]) > 0).astype(int) for r in taught)
+    assert np.allclose(idf, np.log((len(taught) + 1) / (seen + 1)) + 1e-3, atol=1e-4) and names == sorted({r["lang"] for r in taught})
+    for r in rows[:120]:
+        c = langid.count_grams(r["text"])
+        x = [math.log1p(n) * float(idf[i]) for i, n in enumerate(c)]
+        size = math.sqrt(sum(v * v for v in x))
+        scores = [sum(v * float(w[i, k]) for i, v in enumerate(x) if v) / size / t for k in range(len(names))]
+        e = [math.exp(v - max(scores)) for v in scores]
+        best = max(range(len(names)), key=lambda k: scores[k])
+        assert got[r["doc_id"]]["lang_pred"] == names[best] and got[r["doc_id"]]["score"] == pytest.approx(e[best] / sum(e), abs=1e-3)
+
+
 def test_training_is_sparse_and_calibrated():
     rng = np.random.default_rng(0)
     rows = []
@@ -607,6 +736,15 @@ def test_whole_licences(spark):
         license_scan.scan(docs, spark.range(license_scan.MOST_KNOWN + 1).selectExpr("'x' as license_id", "cast(id as string) as text"))
 
 
+def test_licence_words(spark):
+    """Whole words only are unified; lines that name a holder go, sentences about copyright stay."""
+    digest = lambda *t: [r["digest"] for r in sorted(license_scan.scan(spark.createDataFrame(list(enumerate(t)), "doc_id bigint, text string")).collect(), key=lambda r: r["doc_id"])]
+    a, b, c, d = digest("a programmer", "a programr", "licence licence sub-license", "license license sublicense")
+    assert a != b and c == d
+    a, b, c, d, e, f = digest("x", "Copyright The Example Project Developers\nx", "Copyright by Acme\nx", "copyright notice is kept\nx", "Copyright Jane Doe\nx", "copyright law\nx")
+    assert a == b == c == e and len({a, d, f}) == 3
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_same_as_sql(spark, name):
     c = duckdb.connect()
@@ -628,6 +766,74 @@ def test_pick_clashing_names(spark):
         common.pick(df, "lang")
 
 
+@pytest.fixture(scope="module")
+def odd_documents(spark, odd):
+    """Documents with nulls in every column, empty and very long texts, repeated rows, and columns that differ in case only."""
+    own = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    more = odd.selectExpr("doc_id + 100000 as doc_id", "text", "lang", "source", "cast(size as bigint) as n_chars")
+    more = more.unionByName(spark.createDataFrame([(7, "x" * 200_000, "en", "s", None), (None, None, None, None, None)], own.schema))
+    return own.unionByName(own.limit(5)).unionByName(more).selectExpr("*", "'clash' as clash", "'b' as more").toDF("doc_id", "text", "lang", "source", "n_chars", "TEXT", "Doc_Id").repartition(3)
+
+
+def test_pipeline_cases(spark, odd_documents, none):
+    import corpus_pipeline
+
+    names = corpus_pipeline.COLUMNS
+    every = {tuple(r) for r in common.pick(odd_documents, *names).collect()}
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, odd_documents, SF).collect()
+        if name == "packing":
+            assert sum(r["start"] == 0 for r in got) == odd_documents.count()
+        else:
+            assert got and list(got[0].asDict()) == names and {tuple(r) for r in got} <= every
+        left = {r["doc_id"] for r in got}
+        if name == "quality_rules":
+            assert not {100_000, 100_001, None} & left
+        elif name == "language_id":
+            assert not {100_000, 100_001} & left
+        elif name == "near_duplicates":
+            groups = jaccard.join(common.pick(odd_documents, "doc_id", "text")).select("class_id").distinct().count()
+            assert len(got) == groups
+        empty = stage(spark, none, SF)
+        assert empty.count() == 0 and (name == "packing" or empty.columns == names)
+
+
+def test_pipeline_quality_is_brute_force(spark):
+    """What the stage keeps is what the base rules and the learned list keep, worked out in Python."""
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    rules = decision_list.learn_from(docs, labels)
+    assert rules
+    want = set()
+    for r in docs.collect():
+        if not brute_verdict(r["text"], rules)[0]:
+            want.add(r["doc_id"])
+    assert {r["doc_id"] for r in corpus_pipeline.quality_rules(spark, docs, sf).collect()} == want
+    judged = {r["doc_id"]: r for r in queries.op3_decision_list(spark, sf).collect()}
+    assert {i for i, r in judged.items() if r["kept"]} == want and len(judged) == docs.count()
+    for r in docs.limit(200).collect():
+        assert judged[r["doc_id"]]["rule"] == brute_verdict(r["text"], rules)[1]
+
+
+def brute_verdict(text, rules):
+    """Whether a text is rejected, and the number of the first rule that covers it."""
+    n_words, word_chars, n_symbols, n_dup, n_repeat = brute_statistics(text) if len((text or "").split()) < 1500 else decision_list.statistics(text)[:5]
+    words = [w for w in __import__("re").findall(r"[^\x20\x09-\x0D]+", text or "")]
+    n_lines = sum(bool(x.strip(" \t\n\x0b\x0c\r")) for x in (text or "").split("\n"))
+    w, c, lines = max(1, n_words), max(1, word_chars), max(1, n_lines)
+    raw = text or ""
+    values = {
+        "symbols_a_word": n_symbols / w, "chars_a_word": word_chars / w, "dup_lines": n_dup / lines, "repeated_words": n_repeat / w, "distinct_words": len(set(words)) / w,
+        "adjacent_words": sum(a == b for a, b in zip(words, words[1:])) / w, "upper_chars": sum("A" <= x <= "Z" for x in raw) / c, "digit_chars": sum("0" <= x <= "9" for x in raw) / c,
+        "bangs_a_word": raw.count("!") / w, "words_a_line": n_words / lines,
+    }
+    holds = lambda x: values[x.name] > x.threshold if x.above else values[x.name] <= x.threshold
+    first = next((i for i, rule in enumerate(rules, 1) if all(map(holds, rule))), 0)
+    return n_words < 20 or 100 * n_repeat > 30 * n_words or first > 0, first
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

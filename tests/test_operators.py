@@ -204,3 +204,47 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(got) == [["a.py", "b.py"], ["c.py"], ["d.py"]]
+
+
+def test_pending_changes():
+    from lodestrata.streaming.debounce import Pending
+
+    own = Pending(2.0, ["*.py"], ["**/test_*.py"])
+    own.changed(["a.py", "b.txt", ".git/c.py", "t/test_x.py"], 10.0)
+    assert own.due(11.9) == [] and own.due(12.0) == ["a.py"]
+    own.changed(["x/b.py"], 12.5)
+    assert own.due(14.0) == [] and own.due(14.5) == ["a.py", "x/b.py"]
+    own.again(14.5)
+    assert own.due(16.0) == [] and own.due(16.5) == ["a.py", "x/b.py"]
+    own.changed(["c.py"], 17.0)
+    own.done(["a.py", "x/b.py"])
+    assert own.due(19.0) == ["c.py"] and Pending().is_wanted("any") and Pending().due(0) == []
+
+
+def test_scratch_needs_a_shared_folder(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from lodestrata.sources import scratch
+
+    told = lambda master: SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master=master, getConf=lambda: SimpleNamespace(get=lambda _: None)))
+    for master in ("yarn", "spark://h:1", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            scratch.base_folder(told(master))
+    assert scratch.base_folder(told("local[4]"))
+    table = scratch.written(spark.range(3))
+    assert table.count() == 3 and table._shared_path.startswith(scratch.application_folder(spark))
+    scratch.forget(table)
+    with pytest.raises(Exception):  # noqa: B017
+        spark.read.parquet(table._shared_path).count()
+
+
+def test_deep_graphs(spark):
+    """Ways longer than the rounds after which tables are written anew."""
+    from lodestrata.operators import graph
+
+    n = graph.ROUNDS + 4
+    chain = spark.createDataFrame([(f"n{i:03}", f"n{i + 1:03}") for i in range(n)], "src string, dst string")
+    nodes = chain.selectExpr("src as path").union(chain.selectExpr("dst")).distinct()
+    assert {r["path"]: r["level"] for r in graph.levels(nodes, chain).collect()} == {f"n{i:03}": n - i for i in range(n + 1)}
+    seeds = spark.createDataFrame([("n000",)], "seed string")
+    assert graph.closure(chain, seeds).count() == n

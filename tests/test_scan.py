@@ -96,9 +96,69 @@ def test_settings(tmp_path):
     at = tmp_path / "c" / "config.yaml"
     Config().save(at)
     assert Config.load(at) == Config() and Config.load(tmp_path / "none") == Config()
-    at.write_text("watch: {debounce: 5, odd: 1}\nast_parsing:\n  strict: true\n")
-    assert Config.load(at).watch.debounce == 5 and Config.load(at).ast_parsing.strict
+    assert "# The import graph" in at.read_text() and all(f"\n{k}:" in at.read_text() for k in Config.__dataclass_fields__)
+    at.write_text("watch: {debounce: 5, odd: 1}\nast_parsing:\n  strict: true\nreadme_sections: [title, structure]\ninclude_patterns:\nodd: 1\n")
+    own = Config.load(at)
+    assert own.watch.debounce == 5 and own.ast_parsing.strict and own.sections() == ["overview", "structure"] and own.include_patterns == Config().include_patterns
+    assert Config().sections() is None
     for bad in ("[1]", "watch: 3", "a: ["):
         at.write_text(bad)
         with pytest.raises(ConfigError):
             Config.load(at)
+
+
+def test_settings_are_honoured(spark, repo):
+    of = lambda **x: Config.of(x)
+    paths = lambda c: {r["path"]: r for r in scan(spark, str(repo), settings=c).changes.collect()}
+    every = paths(Config())
+    assert set(paths(of(exclude_patterns=["web/*"]))) == {p for p in every if not p.startswith("web/")}
+    assert set(paths(of(include_patterns=["*.js"]))) == {"web/x.js", "web/y.js"}
+    only = paths(of(ast_parsing={"languages": ["javascript"]}))
+    assert only["web/y.js"]["ast_hash"] and not only["a.py"]["ast_hash"] and set(only) == set(every)
+    assert not paths(of(ast_parsing={"skip_patterns": ["a.py"]}))["a.py"]["ast_hash"] and not any(r["ast_hash"] for r in paths(of(ast_parsing={"enabled": False})).values())
+    for key in ("enabled", "classify_changes"):
+        assert not any(r["semantic_category"] for r in paths(of(semantic_analysis={key: False})).values())
+    assert scan(spark, str(repo), settings=of(dependency_analysis={"enabled": False})).edges.isEmpty() and not scan(spark, str(repo)).edges.isEmpty()
+
+
+def test_stored_graph(spark, repo):
+    done = scan(spark, str(repo))
+    document = json.loads(json.dumps(state.document_of(done.files, done.edges, {})))
+    nodes, edges = state.graph_of(spark, document)
+    assert sorted(map(tuple, edges.collect())) == sorted(map(tuple, done.edges.collect())) and {r["path"] for r in nodes.collect()} == {r["path"] for r in done.files.collect()}
+    assert state.graph_of(spark, state.default())[1].isEmpty()
+
+
+def test_without_git(repo, monkeypatch):
+    """Where git is not installed branch and commit are unknown and the log is empty."""
+    commit = tree.Repository.at(repo).commit
+    assert commit != "unknown" and len(commit) < 20
+    monkeypatch.setenv("PATH", "")
+    own = tree.Repository.at(repo)
+    assert own.branch == own.commit == "unknown" and tree.log_text(str(repo)) == ""
+
+
+def test_watch(spark, repo, monkeypatch, capsys):
+    """A change leads to a scan after a pause; a scan that fails is tried again; files that go meanwhile do no harm."""
+    assert cli.main(["--root", str(repo), "init"]) == 0 and cli.main(["--root", str(repo), "scan"]) == 0
+    real, calls, looks = cli._scan, [], []
+
+    def failing(*a):
+        calls.append(1)
+        if len(calls) == 1:
+            raise OSError("disk is away")
+        return real(*a)
+
+    def stop():
+        looks.append(1)
+        if len(looks) == 2:
+            (repo / "a.py").write_text("def one(y): pass\n")
+            (repo / "notes.txt").write_text("not watched")
+        return len(calls) >= 2 or len(looks) > 200
+
+    monkeypatch.setattr(cli, "_scan", failing)
+    args = type("Args", (), {"root": str(repo), "verbose": True, "debounce": 0.0, "interval": 0.01, "no_readme": False})
+    assert cli.watch_command(args, Config(), stop) == 0 and len(calls) == 2
+    said = capsys.readouterr()
+    assert "disk is away" in said.err and "0 added, 1 modified, 0 deleted" in said.out and "changed: a.py" in said.out and "notes.txt" not in said.out
+    assert "## Overview" in (repo / "README.md").read_text()
