@@ -24,7 +24,7 @@ def query(sql: str | None = None):
     def put(f):
         QUERIES[f.__name__] = f
         if sql:
-            ORACLE_SQL[f.__name__] = " ".join(sql.split())
+            ORACLE_SQL[f.__name__] = " ".join(line.strip() for line in sql.splitlines())  # blanks inside literals stay
         return f
 
     return put
