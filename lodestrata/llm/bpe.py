@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,8 +37,8 @@ from .common import kept
 LEAF, CACHE_ENTRIES, CACHE_KEY_BYTES = 256, 400_000, 40
 #: Bytes of a text above which it is cut into halves; 0: never.
 HALF = 512
-#: Texts that are encoded together.
-GROUP = 128
+#: Texts that are encoded together; without halves, bytes of them (a longer text is a group), and runs gathered at a time.
+GROUP, GROUP_BYTES, STEP = 128, 4_000_000, 200_000
 _BLANK = re.compile(rb"[ \t\n\x0b\x0c\r]")
 #: ASCII and Latin-1 letters: one piece; before ASCII symbols: two pieces.
 _LETTERS = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
@@ -143,6 +144,9 @@ class TreeEncoder:
 
         Texts are taken in groups of GROUP; only one group is held at a time.
         """
+        if not self.half:
+            yield from self.encode_flat(texts)
+            return
         known = self.runs
         for at in range(0, len(texts), GROUP):
             some = texts[at : at + GROUP]
@@ -164,6 +168,43 @@ class TreeEncoder:
                     level = [self.joined(*level[i : i + 2], own) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
                 yield b"".join(level[0][1])
 
+    def encode_flat(self, texts) -> Iterator[bytes]:
+        """The same without halves: each distinct run of a group of about GROUP_BYTES is looked up once."""
+        some, size = [], 0
+        for t in texts:
+            if isinstance(t, pa.Scalar):
+                t = b"" if t.as_buffer() is None else t.as_buffer().to_pybytes()
+            raw = self.prepared(t)
+            if some and size + len(raw) > GROUP_BYTES:
+                yield from self._flat_group(some)
+                some, size = [], 0
+            some.append(raw)
+            size += len(raw)
+        if some:
+            yield from self._flat_group(some)
+
+    def _flat_group(self, raws: list[bytes]) -> Iterator[bytes]:
+        ends = np.cumsum([0, *map(len, raws)]).astype(np.int32)
+        split = pc.ascii_split_whitespace(pa.Array.from_buffers(pa.string(), len(raws), [None, pa.py_buffer(ends), pa.py_buffer(b"".join(raws))]))
+        runs = split.values.dictionary_encode()
+        # blanks at the ends of a text leave empty runs
+        distinct = runs.dictionary.cast(pa.binary()).to_pylist()
+        own = [self.runs.get(x) if x else b"" for x in distinct]
+        if new := [x for x, ids in zip(distinct, own) if ids is None]:
+            learnt = self.runs.learn(new)
+            own = [learnt[x] if ids is None else ids for x, ids in zip(distinct, own)]
+        lengths = np.fromiter(map(len, own), np.int64, len(own)) // 4
+        starts, flat, at = np.cumsum(lengths) - lengths, np.frombuffer(b"".join(own), "<u4"), runs.indices.to_numpy()
+        parts = []
+        for a in range(0, len(at), STEP):
+            n = lengths[at[a : a + STEP]]
+            before = np.cumsum(n) - n
+            parts.append(flat[np.repeat(starts[at[a : a + STEP]] - before, n) + np.arange(n.sum())].tobytes())
+        ids = b"".join(parts)
+        cuts = (4 * np.concatenate([[0], np.cumsum(lengths[at])])[split.offsets.to_numpy()]).tolist()
+        for a, b in zip(cuts, cuts[1:]):
+            yield ids[a:b]
+
     def joined(self, left: tuple, right: tuple, own: dict[bytes, bytes]) -> tuple:
         """Two neighbours (runs, ids of each, begins and ends with white space) as one, by a window that both agree with."""
         (a_runs, a_ids, begins, blank), (b_runs, b_ids, follows, ends) = left, right

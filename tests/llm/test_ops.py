@@ -142,7 +142,7 @@ def test_bpe_tree_concatenation(library, leaf):
         assert e.ids(t) == library.encode(t, add_special_tokens=False).ids
 
 
-@pytest.mark.parametrize("half", [1, 5, 17, 64, 512])
+@pytest.mark.parametrize("half", [0, 1, 5, 17, 64, 512])
 def test_bpe_halves(library, docs, half):
     """Whole texts cut anywhere and joined again; at the size in use most of the tables' texts are, and words are cut."""
     e = bpe.TreeEncoder(queries.vocabulary_path(), half=half, leaf=64 if half == 17 else bpe.LEAF)
@@ -156,6 +156,23 @@ def test_bpe_halves(library, docs, half):
         assert not e.runs.keys() & {b"wor", b"wo"}
 
 
+@pytest.mark.parametrize("size, step", [(1, 1), (50, 7), (5000, 1000)])
+def test_bpe_without_halves(library, docs, monkeypatch, size, step):
+    """Groups of any size give the same ids: lists and Arrow arrays, also slices, nulls and nothing at all."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(bpe, "GROUP_BYTES", size)
+    monkeypatch.setattr(bpe, "STEP", step)
+    e = bpe.TreeEncoder(queries.vocabulary_path(), half=0, cache_entries=50)
+    texts = [*ODD, *list(docs.values())[:40], "", None]
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for own in (texts, pa.array(texts)):
+        assert [array("I", x).tolist() for x in e.encode_many(own)] == want
+        assert [array("I", x).tolist() for x in e.encode_many(own[5:9])] == want[5:9]
+    assert list(e.encode_many([])) == [] and list(e.encode_many(pa.array([], pa.string()))) == []
+    assert list(e.encode_many([None, ""])) == [b"", b""]
+
+
 def test_bpe_columns(spark, odd, none, library):
     from pyspark.sql import functions as F
 
