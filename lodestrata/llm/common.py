@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_SHARED = "/tmp/lodestrata-shared"
+from ..sources.scratch import forget, written  # noqa: F401 (the operators take them from here)
 
 
 def pick(df: DataFrame, *names: str) -> DataFrame:
@@ -28,35 +26,6 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return by_position.select(*(F.col(f"_c{at[n]}").alias(n) for n in names))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder under the one that the driver and all executors share (spark.checkpoint.dir)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = DEFAULT_SHARED
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/lodestrata-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, sort_by: list[str] | None = None) -> DataFrame:
-    """df written once as Parquet to the shared folder and read again: no lineage, and it survives lost executors."""
-    spark, path = df.sparkSession, shared_folder(df.sparkSession)
-    if sort_by:
-        df = df.sortWithinPartitions(*sort_by)
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._shared_path = path
-    return out
-
-
-def forget(df: DataFrame) -> None:
-    """Delete the files behind a table from written(), once nothing reads them any more."""
-    path = getattr(df, "_shared_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
-
-
 #: What this Python worker keeps from task to task: name -> table.
 KEPT: dict[str, dict] = {}
 
