@@ -39,6 +39,8 @@ LEAF, CACHE_ENTRIES, CACHE_KEY_BYTES = 256, 400_000, 40
 HALF = 512
 #: Texts that are encoded together; without halves, bytes of them (a longer text is a group), and runs gathered at a time.
 GROUP, GROUP_BYTES, STEP = 128, 4_000_000, 200_000
+#: Runs that the library encodes in one call: what it makes of them is many times their size.
+CALL = 10_000
 _BLANK = re.compile(rb"[ \t\n\x0b\x0c\r]")
 #: ASCII and Latin-1 letters: one piece; before ASCII symbols: two pieces.
 _LETTERS = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
@@ -72,10 +74,13 @@ class _Runs(dict):
                 pieces.update(x for x in m.groups() if x not in self)
             else:
                 others.append(run)
-        new = self.encoder.encode_pieces(list(pieces))
-        short = [x for x in others if len(x) <= leaf]
-        batch = self.encoder.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in short], add_special_tokens=False)
-        new |= {x: self.encoder.packed(e.ids) for x, e in zip(short, batch)}
+        new, pieces, short = {}, list(pieces), [x for x in others if len(x) <= leaf]
+        for a in range(0, len(pieces), CALL):
+            new |= self.encoder.encode_pieces(pieces[a : a + CALL])
+        for a in range(0, len(short), CALL):
+            some = short[a : a + CALL]
+            batch = self.encoder.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in some], add_special_tokens=False)
+            new |= {x: self.encoder.packed(e.ids) for x, e in zip(some, batch)}
         new |= {x: self.encoder.encode_run(x.decode("utf-8", "replace")) for x in others if len(x) > leaf}
         for run, (letters, symbols) in cut.items():
             new[run] = (new.get(letters) or self[letters]) + (new.get(symbols) or self[symbols])

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import ctypes
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.scratch import forget, written  # noqa: F401 (the operators take them from here)
@@ -33,11 +36,40 @@ KEPT: dict[str, dict] = {}
 def kept(name: str) -> dict:
     """A table that this worker keeps under a name; those under other names are let go, so that the tables of several
     operators that run one after another never add up."""
-    for other in [k for k in KEPT if k != name]:
-        KEPT.pop(other).clear()
+    if others := [k for k in KEPT if k != name]:
+        for other in others:
+            KEPT.pop(other).clear()
+        give_back()
     return KEPT.setdefault(name, {})
 
 
+def give_back() -> None:
+    """Return the memory that this worker has freed to the system, which allocators would keep."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # only glibc has it
+
+
+def ending(run):
+    """run, a function of mapInArrow, that gives memory back when its task ends: workers stay while others work."""
+    def whole(batches):
+        yield from run(batches)
+        give_back()
+
+    return whole
+
+
+def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A DataFrame of rows that the driver holds, by Arrow: plain rows would start further Python workers."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    kinds = to_arrow_schema(_parse_datatype_string(schema))
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(kinds)], schema=kinds))
+
+
 def drawn(df: DataFrame, most: int, n: int) -> DataFrame:
     """About `most` of the n rows of df at most, the same ones each time: those whose hash is under a threshold."""
     if n <= most:

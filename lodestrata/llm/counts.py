@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import ending
+
 _MIX = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
 
 
@@ -37,7 +39,7 @@ def rows_with(docs: DataFrame, counts, buckets: int) -> tuple[int, np.ndarray]:
             n += batch.num_rows
         yield pa.RecordBatch.from_arrays([pa.array([[n, *seen.tolist()]], pa.list_(pa.int64()))], ["c"])
 
-    sums = docs.mapInArrow(run, "c array<bigint>").select(F.posexplode("c").alias("i", "n")).groupBy("i").agg(F.sum("n").alias("n")).collect()
+    sums = docs.mapInArrow(ending(run), "c array<bigint>").select(F.posexplode("c").alias("i", "n")).groupBy("i").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(buckets + 1, np.int64)
     for r in sums:  # as many as buckets
         out[r["i"]] = r["n"]

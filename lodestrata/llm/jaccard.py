@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, kept, pick, written
+from .common import ending, forget, kept, pick, written
 
 SHINGLE, THRESHOLD, TREES, DEPTH, TARGET = 5, 0.8, 24, 8, 0.9999
 BLOCK_ROWS, BLOCK_SHINGLES = 600, 600_000
@@ -169,7 +169,7 @@ def signed(docs: DataFrame, forest: Forest) -> DataFrame:
                 arrays = [pa.array(u, pa.int64()), batch.column(0), pa.array(s, pa.binary()), pa.array(d, pa.binary()), pa.array(n, pa.int32()), pa.array(k, paths), pa.array(t, paths)]
                 yield pa.RecordBatch.from_arrays(arrays, ["uid", "doc_id", "sha", "digest", "n_shingles", "keys", "tails"])
 
-    return docs.mapInArrow(run, _SIGNED.format(kind=kind))
+    return docs.mapInArrow(ending(run), _SIGNED.format(kind=kind))
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -273,7 +273,7 @@ def in_groups(df: DataFrame, key: list[str], others: list[str], found, kinds: st
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], out_names)
 
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.select(*names).repartition(n, *key).sortWithinPartitions(*key, "node").mapInArrow(run, kinds)
+    return df.select(*names).repartition(n, *key).sortWithinPartitions(*key, "node").mapInArrow(ending(run), kinds)
 
 
 def lists(column: pa.Array) -> list:
@@ -331,7 +331,7 @@ class Search:
                 yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(own, pa.list_(pa.int64()))], ["node", "own"])
 
         # rows that repeat a doc_id and a text are one class
-        made = found.mapInArrow(run, "node bigint, own array<bigint>").dropDuplicates(["node"])
+        made = found.mapInArrow(ending(run), "node bigint, own array<bigint>").dropDuplicates(["node"])
         out = written(made.join(wanted.select("node", "keys", "tails"), "node"))
         forget(wanted)
         return out

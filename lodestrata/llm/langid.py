@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, key_crc, pick
+from .common import ending, kept, key_crc, local_table, pick
 from .counts import hashed_counts, inverse_frequency, rows_with, weighted
 
 BUCKETS, ORDERS, SAMPLE, EPOCHS = 4096, range(1, 4), 4000, 3
@@ -103,7 +103,7 @@ def gather(train_docs: DataFrame, sample: int, count=count_grams) -> tuple[list[
     if not names:
         return [], []
     share = max(1, sample // len(names))
-    rates = train_docs.sparkSession.createDataFrame([(r["lang"], min(1.0, share / r["n"]), names.index(r["lang"])) for r in totals], "lang string, rate double, label int")
+    rates = local_table(train_docs.sparkSession, [(r["lang"], min(1.0, share / r["n"]), names.index(r["lang"])) for r in totals], "lang string, rate double, label int")
     # at most `sample` languages
     drawn = train_docs.join(F.broadcast(rates), "lang").where((F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_003)) / 1_000_003.0) < F.col("rate"))
     chosen = drawn.dropDuplicates(["label", "doc_id", "text"]).select("label", "text", (F.pmod(F.xxhash64("doc_id", "text", F.lit(1)), F.lit(5)) == 0).alias("held"))
@@ -118,7 +118,7 @@ def gather(train_docs: DataFrame, sample: int, count=count_grams) -> tuple[list[
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int32(), pa.binary(), pa.binary(), pa.bool_()))], ["label", "at", "n", "held"])
 
-    got = chosen.mapInArrow(run, "label int, at binary, n binary, held boolean").collect()
+    got = chosen.mapInArrow(ending(run), "label int, at binary, n binary, held boolean").collect()
     rows = [(r["label"], np.frombuffer(bytes(r["at"]), np.uint16).astype(np.int64), np.frombuffer(bytes(r["n"]), np.uint32), r["held"]) for r in got]
     # the order in which rows arrive must not matter
     return names, sorted(rows, key=lambda r: (r[0], r[1].tobytes(), r[2].tobytes()))

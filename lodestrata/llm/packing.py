@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .common import pick, written
+from .common import ending, local_table, pick, written
 
 CAPACITY, CLOSING_ID = 2048, 1
 _TOKENISED = "doc_id {kind}, part int, full_before bigint, doc_tokens bigint, rest int, rest_rank bigint, crcs array<bigint>"
@@ -110,7 +110,7 @@ def tokenised(docs: DataFrame, path: str, capacity: int = CAPACITY, closing_id:
                 arrays = [batch.column(0), pa.array([part] * len(rows), pa.int32()), *(pa.array(c, k) for c, k in zip(cols, kinds))]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "part", "full_before", "doc_tokens", "rest", "rest_rank", "crcs"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(ending(run), schema)
 
 
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, closing_id: int = CLOSING_ID) -> DataFrame:
@@ -120,7 +120,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, closing_id: int =
     # at most `capacity` lengths come to the driver, however many documents there are
     histogram = {r["rest"]: r["n"] for r in base.where("rest > 0").groupBy("rest").agg(F.count("*").alias("n")).collect()}
     rows, sequences = slots(plan_windows(histogram, capacity))
-    table = spark.createDataFrame(rows, "rest int, low bigint, high bigint, first_sequence bigint, uses bigint, first_offset bigint")
+    table = local_table(spark, rows, "rest int, low bigint, high bigint, first_sequence bigint, uses bigint, first_offset bigint")
     before = Window.partitionBy("rest").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     by_rest = (
         base.where("rest > 0").groupBy("rest", "part").agg(F.count("*").alias("n"))

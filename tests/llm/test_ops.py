@@ -173,6 +173,15 @@ def test_bpe_without_halves(library, docs, monkeypatch, size, step):
     assert list(e.encode_many([None, ""])) == [b"", b""]
 
 
+def test_bpe_calls_are_bounded(library, monkeypatch):
+    """However many runs of a text are new, the library gets few at a time, and the ids are the same."""
+    e = bpe.TreeEncoder(queries.vocabulary_path(), half=0)
+    text, sizes, own = " ".join(f"{chr(97 + i % 26)}x{chr(97 + i // 26 % 26)}{chr(97 + i // 676)} a{i}" for i in range(12_000)), [], e.encode_pieces
+    monkeypatch.setattr(e, "encode_pieces", lambda pieces: sizes.append(len(pieces)) or own(pieces))
+    assert e.ids(text) == library.encode(text, add_special_tokens=False).ids
+    assert len(sizes) > 1 and max(sizes) <= bpe.CALL
+
+
 def test_bpe_columns(spark, odd, none, library):
     from pyspark.sql import functions as F
 
@@ -796,6 +805,20 @@ def test_pick_clashing_names(spark):
         common.pick(df, "lang")
 
 
+def test_workers_give_memory_back(spark, monkeypatch):
+    """When a worker goes on to another operator, and at the end of a task; small tables need no workers of their own."""
+    given = []
+    monkeypatch.setattr(common, "KEPT", {"one": {1: 2}})
+    monkeypatch.setattr(common, "give_back", lambda: given.append(1))
+    assert common.kept("one") and not given
+    assert not common.kept("two") and len(given) == 1
+    assert list(common.ending(iter)([1, 2])) == [1, 2] and len(given) == 2
+    rows = [(1, "a", 0.5), (None, None, None)]
+    df = common.local_table(spark, rows, "x bigint, y string, z double")
+    assert df.collect() == rows and df.dtypes == [("x", "bigint"), ("y", "string"), ("z", "double")]
+    assert common.local_table(spark, [], "x int").count() == 0
+
+
 @pytest.fixture(scope="module")
 def odd_documents(spark, odd):
     """Documents with nulls in every column, empty and very long texts, repeated rows, and columns that differ in case only."""
