@@ -7,7 +7,8 @@ that were not trained on, calibrates the scores.
 
 Bound: about SAMPLE rows in all, the same share of it for each language, drawn by hashed keys and texts; each has at most
 BUCKETS numbers.  With more than SAMPLE languages only the SAMPLE most frequent ones are learned; rows that repeat are drawn
-once.  Only rows with a key, a text and a lang for which `learn` holds give anything to the model.
+once.  Only rows with a key, a text and a lang for which `learn` holds give anything to the model.  What texts are familiar
+is told by all labelled rows of these languages: their gram counts, and the bounds that their scores set, are sums over all.
 
 Cases: null texts and those without a letter are `und` with score 0; without training rows everything is; with a single
 language that language is predicted with score 1.
@@ -32,6 +33,8 @@ _LETTER, _NOT_LETTERS = re.compile(r"[^\W\d_]"), re.compile(r"[\W\d_]+")
 #: Rows from which a language's own bound is read, the share of them under the bound's quantile, and the errors of the
 #: mean that a short text is allowed.
 LEAST_ROWS, TAIL, ERRORS = 20, 0.01, 3.0
+#: Scores are rounded to one over this, so that their numbers can be added up; languages whose sums a task holds at a time.
+STEPS, HELD = 4096, 256
 
 
 def count_grams(text: str | None) -> np.ndarray:
@@ -96,14 +99,19 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray, bool]], classes: int, ep
     return w, temperature(scores, np.array([r[0] for r in held], int))
 
 
-def gather(train_docs: DataFrame, sample: int, count=count_grams) -> tuple[list[str], list]:
-    """Languages, and (language, buckets, counts, calibrates) of the sampled rows."""
+def languages(train_docs: DataFrame, sample: int) -> tuple[list[str], dict[str, int]]:
+    """The languages that are learned, sorted, and their numbers of rows: at most `sample`, the most frequent ones."""
     totals = train_docs.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(sample).collect()
-    names = sorted(r["lang"] for r in totals)
+    return sorted(r["lang"] for r in totals), {r["lang"]: r["n"] for r in totals}
+
+
+def gather(train_docs: DataFrame, sample: int) -> tuple[list[str], list]:
+    """Languages, and (language, buckets, counts, calibrates) of the sampled rows."""
+    names, rows_of = languages(train_docs, sample)
     if not names:
         return [], []
     share = max(1, sample // len(names))
-    rates = local_table(train_docs.sparkSession, [(r["lang"], min(1.0, share / r["n"]), names.index(r["lang"])) for r in totals], "lang string, rate double, label int")
+    rates = local_table(train_docs.sparkSession, [(x, min(1.0, share / rows_of[x]), i) for i, x in enumerate(names)], "lang string, rate double, label int")
     # at most `sample` languages
     drawn = train_docs.join(F.broadcast(rates), "lang").where((F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_003)) / 1_000_003.0) < F.col("rate"))
     chosen = drawn.dropDuplicates(["label", "doc_id", "text"]).select("label", "text", (F.pmod(F.xxhash64("doc_id", "text", F.lit(1)), F.lit(5)) == 0).alias("held"))
@@ -112,7 +120,7 @@ def gather(train_docs: DataFrame, sample: int, count=count_grams) -> tuple[list[
         for batch in batches:
             out = []
             for label, text, held in zip(*(batch.column(i) for i in range(3))):
-                c = count(text.as_py())
+                c = count_grams(text.as_py())
                 at = np.flatnonzero(c)
                 out.append((label.as_py(), at.astype(np.uint16).tobytes(), c[at].astype(np.uint32).tobytes(), held.as_py()))
             if out:
@@ -153,46 +161,128 @@ def likelihoods(totals: np.ndarray) -> np.ndarray:
     return np.log(((totals + 0.5) / (n + 0.5 * totals.shape[1])).mean(axis=0))
 
 
-def bounds_of(scores: np.ndarray, labels: np.ndarray, classes: int) -> np.ndarray:
+def quantile(values: np.ndarray, counts: np.ndarray, q: float) -> float:
+    """The quantile of values of which there are counts each, as of the values repeated so often."""
+    order = np.argsort(values)
+    ends = np.cumsum(counts[order])
+    at = q * (ends[-1] - 1)
+    low, high = (values[order][np.searchsorted(ends, k, "right")] for k in (np.floor(at), np.ceil(at)))
+    return float(low + (high - low) * (at - np.floor(at)))
+
+
+def bounds_of(scores: np.ndarray, labels: np.ndarray, classes: int, counts: np.ndarray | None = None) -> np.ndarray:
     """The least score of each language's texts: as far under a low quantile of its rows as that is under their median.
 
     A language of few rows takes its least row, and the width of all rows together if that is wider; nothing is rejected
-    (-inf) when there are few rows in all.
+    (-inf) when there are few rows in all.  counts: rows of each score, one if not given.
     """
-    if len(scores) < LEAST_ROWS:
+    counts = np.ones(len(scores), np.int64) if counts is None else counts
+    if counts.sum() < LEAST_ROWS:
         return np.full(classes, -np.inf)
-    whole = np.median(scores) - np.quantile(scores, TAIL)
+    whole = quantile(scores, counts, 0.5) - quantile(scores, counts, TAIL)
     out = np.full(classes, -np.inf)
-    for i in range(classes):
-        own = scores[labels == i]
+    order = np.argsort(labels, kind="stable")
+    cuts = np.searchsorted(labels[order], np.arange(classes + 1))
+    for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        own, n = scores[order[a:b]], counts[order[a:b]]
         if len(own):
-            low = np.quantile(own, TAIL) if len(own) >= LEAST_ROWS else own.min()
-            out[i] = low - max(np.median(own) - low, 0.0 if len(own) >= LEAST_ROWS else whole)
+            many = n.sum() >= LEAST_ROWS
+            low = quantile(own, n, TAIL) if many else own.min()
+            out[i] = low - max(quantile(own, n, 0.5) - low, 0.0 if many else whole)
+    return out
+
+
+def gram_totals(rows: DataFrame, classes: int) -> np.ndarray:
+    """How often each language's rows (label, text) have each bucket's letter grams, languages x buckets; every row counts."""
+
+    def summed(triples, most: int):
+        held: dict[int, np.ndarray] = {}
+        for label, c in triples:
+            if label in held:
+                held[label] += c
+                continue
+            if len(held) == most:
+                yield held
+                held = {}
+            held[label] = c.copy()
+        if held:
+            yield held
+
+    def packed(tables):
+        for held in tables:
+            at = [np.flatnonzero(c).astype(np.uint16) for c in held.values()]
+            columns = list(held), [x.tobytes() for x in at], [c[x].tobytes() for x, c in zip(at, held.values())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.binary(), pa.binary()))], ["label", "at", "n"])
+
+    def dense(at: bytes, n: bytes) -> np.ndarray:
+        c = np.zeros(BUCKETS, np.int64)
+        c[np.frombuffer(at, np.uint16)] = np.frombuffer(n, np.int64)
+        return c
+
+    def count(batches):
+        yield from packed(summed(((label.as_py(), count_letter_grams(text.as_py())) for b in batches for label, text in zip(b.column("label"), b.column("text"))), HELD))
+
+    def add(batches):
+        # all rows of a language are in one task, next to each other
+        yield from packed(summed(((label.as_py(), dense(at.as_py(), n.as_py())) for b in batches for label, at, n in zip(*(b.column(x) for x in ("label", "at", "n")))), 1))
+
+    kinds = "label int, at binary, n binary"
+    parts = rows.select("label", "text").mapInArrow(ending(count), kinds)
+    out = np.zeros((classes, BUCKETS), np.int64)
+    for r in parts.repartition("label").sortWithinPartitions("label").mapInArrow(ending(add), kinds).collect():  # as many as languages
+        out[r["label"]] = dense(bytes(r["at"]), bytes(r["n"]))
     return out
 
 
+def score_counts(rows: DataFrame, totals: np.ndarray, variance: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Scores in 1/STEPS with their allowance, labels, and how many of rows (label, text) have both.  Each row is scored by
+    what the others hold, so all of them are held back once."""
+    sizes = totals.sum(axis=1)
+    rates = ((totals + 0.5) / (sizes[:, None] + 0.5 * BUCKETS)).sum(axis=0)
+    shared = rows.sparkSession.sparkContext.broadcast((totals, sizes, rates))
+
+    def run(batches):
+        totals, sizes, rates = shared.value
+        found: dict[tuple[int, int], int] = {}
+        for batch in batches:
+            for label, text in zip(batch.column("label"), batch.column("text")):
+                i, c = label.as_py(), count_letter_grams(text.as_py())
+                at = np.flatnonzero(c)
+                if not len(at):
+                    continue
+                c, n = c[at], c.sum()
+                own = totals[i, at]
+                without = rates[at] - (own + 0.5) / (sizes[i] + 0.5 * BUCKETS) + (own - c + 0.5) / (sizes[i] - n + 0.5 * BUCKETS)
+                score = np.log(without / len(totals)) @ c / n + allowance(n, variance)
+                key = i, int(np.rint(score * STEPS))
+                found[key] = found.get(key, 0) + 1
+        if found:
+            columns = *zip(*found), tuple(found.values())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int32(), pa.int64()))], ["label", "score", "n"])
+
+    # as many rows as languages have different rounded scores
+    got = rows.select("label", "text").mapInArrow(ending(run), "label int, score int, n bigint").groupBy("label", "score").agg(F.sum("n").alias("n")).toArrow()
+    score, label, n = (got.column(x).to_numpy() for x in ("score", "label", "n"))
+    return score / STEPS, label, n
+
+
 def familiar_of(docs: DataFrame, sample: int = SAMPLE):
-    """(log likelihoods of the buckets, their variance, least score of each language) from the labelled rows of docs, None
-    without any.  Each sampled row is scored by what the others hold, so all of them are held back once."""
-    names, rows = gather(labelled(docs), sample, count_letter_grams)
-    rows = [r for r in rows if len(r[1])]
-    if not rows:
+    """(log likelihoods of the buckets, their variance, least score of each language) from all labelled rows of docs, None
+    without any; sample: so many languages at most, as of model_of."""
+    own = labelled(docs)
+    names, _ = languages(own, sample)
+    if not names:
+        return None
+    numbers = local_table(docs.sparkSession, [(x, i) for i, x in enumerate(names)], "lang string, label int")
+    rows = own.join(F.broadcast(numbers), "lang").select("label", "text")
+    totals = gram_totals(rows, len(names))
+    if not totals.any():
         return None
-    totals = np.zeros((len(names), BUCKETS))
-    for label, at, c, _ in rows:
-        totals[label, at] += c
-    scores = np.empty(len(rows))
-    for i, (label, at, c, _) in enumerate(rows):
-        totals[label, at] -= c
-        # only the row's own buckets are asked for
-        n = totals.sum(axis=1, keepdims=True)
-        scores[i] = np.log(((totals[:, at] + 0.5) / (n + 0.5 * BUCKETS)).mean(axis=0)) @ c / c.sum()
-        totals[label, at] += c
     table = likelihoods(totals)
     share = totals.sum(axis=0) / totals.sum()
     variance = float(share @ table**2 - (share @ table) ** 2)
-    n = np.array([r[2].sum() for r in rows])
-    return table.astype(np.float32), variance, bounds_of(scores + allowance(n, variance), np.array([r[0] for r in rows]), len(names))
+    scores, labels, counts = score_counts(rows, totals, variance)
+    return table.astype(np.float32), variance, bounds_of(scores, labels, len(names), counts)
 
 
 def allowance(n, variance: float):

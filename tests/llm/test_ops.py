@@ -707,6 +707,34 @@ def test_language_bounds():
     assert np.isneginf(langid.bounds_of(scores[:5], labels[:5], 2)).all()
 
 
+def test_familiar_is_of_all_rows(spark):
+    """Counts and bounds from plain loops over every labelled row, also when the model's sample is smaller than the table."""
+    docs = [r for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").limit(400).collect()]
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in docs] + [(1_000_000, "zzq qqz " * 50, docs[0]["lang"]), (1_000_001, "", "en"), (1_000_002, "one of few", "rare"), (None, "no id", "en")]
+    table, variance, bounds = langid.familiar_of(spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(5), sample=50)
+    own = [(lang, langid.count_letter_grams(t)) for i, t, lang in rows if i is not None and lang is not None and t is not None]
+    names = sorted({x for x, _ in own})
+    totals = np.array([sum(c for x, c in own if x == name) for name in names])
+    assert np.allclose(table, langid.likelihoods(totals), atol=1e-5)
+    scores, labels = [], []
+    for lang, c in own:
+        if c.any():
+            left = totals.copy()
+            left[names.index(lang)] -= c
+            scores.append(langid.likelihoods(left) @ c / c.sum() + langid.allowance(c.sum(), variance))
+            labels.append(names.index(lang))
+    assert np.allclose(bounds, langid.bounds_of(np.array(scores), np.array(labels), len(names)), atol=2e-3)
+    more = langid.gram_totals(spark.createDataFrame([(i % 700, "ab") for i in range(2100)], "label int, text string").repartition(2), 700)
+    assert (more == 3 * langid.count_letter_grams("ab")).all()
+
+
+def test_weighted_quantiles():
+    rng = np.random.default_rng(1)
+    values, counts = rng.normal(size=40), rng.integers(1, 9, 40)
+    for q in (0, 0.01, 0.37, 0.5, 1):
+        assert langid.quantile(values, counts, q) == pytest.approx(np.quantile(np.repeat(values, counts), q))
+
+
 # --- 10
 
 
