@@ -19,6 +19,7 @@ as the library does.  Ids outside the vocabulary are skipped on decoding.
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import re
@@ -31,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .common import kept
+from .common import give_back, kept
 
 #: Characters in a leaf, and entries and bytes a worker keeps for short runs.
 LEAF, CACHE_ENTRIES, CACHE_KEY_BYTES = 256, 400_000, 40
@@ -39,7 +40,7 @@ LEAF, CACHE_ENTRIES, CACHE_KEY_BYTES = 256, 400_000, 40
 HALF = 512
 #: Texts that are encoded together; without halves, bytes of them (a longer text is a group), and runs gathered at a time.
 GROUP, GROUP_BYTES, STEP = 128, 4_000_000, 200_000
-#: Runs that the library encodes in one call: what it makes of them is many times their size.
+#: Runs that are learned, and that the library encodes, in one call: what it makes of them is many times their size.
 CALL = 10_000
 _BLANK = re.compile(rb"[ \t\n\x0b\x0c\r]")
 #: ASCII and Latin-1 letters: one piece; before ASCII symbols: two pieces.
@@ -100,10 +101,6 @@ class TreeEncoder:
         self.suffix = spec["model"].get("end_of_word_suffix") or ""
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.is_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        # the same merges for text that goes on: no end-of-word mark, nothing split or normalised
-        spec["model"]["end_of_word_suffix"] = None
-        spec |= {"normalizer": None, "pre_tokenizer": None, "post_processor": None, "added_tokens": []}
-        self.inner = Tokenizer.from_str(json.dumps(spec))
         n = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.names = [self.tokenizer.id_to_token(i) or "" for i in range(n)]
         self.plain = [x.removesuffix(self.suffix) if self.suffix else x for x in self.names]
@@ -113,6 +110,16 @@ class TreeEncoder:
         self.joins, self.wider = 0, 0
         self.runs = _Runs(self, cache_entries)
 
+    @functools.cached_property
+    def inner(self):
+        """The same merges for text that goes on: no end-of-word mark, nothing split or normalised.  Only long runs need it."""
+        from tokenizers import Tokenizer
+
+        spec = json.loads(self.tokenizer.to_str())
+        spec["model"]["end_of_word_suffix"] = None
+        spec |= {"normalizer": None, "pre_tokenizer": None, "post_processor": None, "added_tokens": []}
+        return Tokenizer.from_str(json.dumps(spec))
+
     @staticmethod
     def packed(ids: list[int]) -> bytes:
         out = array("I", ids)
@@ -196,8 +203,12 @@ class TreeEncoder:
         distinct = runs.dictionary.cast(pa.binary()).to_pylist()
         own = [self.runs.get(x) if x else b"" for x in distinct]
         if new := [x for x, ids in zip(distinct, own) if ids is None]:
-            learnt = self.runs.learn(new)
+            learnt = {}
+            for a in range(0, len(new), CALL):
+                learnt |= self.runs.learn(new[a : a + CALL])
             own = [learnt[x] if ids is None else ids for x, ids in zip(distinct, own)]
+            del learnt, new
+        del distinct
         lengths = np.fromiter(map(len, own), np.int64, len(own)) // 4
         starts, flat, at = np.cumsum(lengths) - lengths, np.frombuffer(b"".join(own), "<u4"), runs.indices.to_numpy()
         parts = []
@@ -298,6 +309,7 @@ def encoder(path: str, leaf: int = LEAF, cache_entries: int = CACHE_ENTRIES, hal
     own, key = kept("bpe"), (path, leaf, cache_entries, half)
     if key not in own:
         own[key] = TreeEncoder(*key)
+        give_back()
     return own[key]
 
 

@@ -23,6 +23,8 @@ from .bpe import encoder
 from .common import ending, local_table, pick, written
 
 CAPACITY, CLOSING_ID = 2048, 1
+#: Runs of which a worker keeps the ids; others are looked up anew for every few MB of texts.
+KEPT_RUNS = 200_000
 _TOKENISED = "doc_id {kind}, part int, full_before bigint, doc_tokens bigint, rest int, rest_rank bigint, crcs array<bigint>"
 
 
@@ -93,7 +95,7 @@ def tokenised(docs: DataFrame, path: str, capacity: int = CAPACITY, closing_id:
     closing, step = closing_id.to_bytes(4, "little"), 4 * capacity
 
     def run(batches):
-        e, part, full, ranks = encoder(path, half=0), TaskContext.get().partitionId(), 0, {}
+        e, part, full, ranks = encoder(path, cache_entries=KEPT_RUNS, half=0), TaskContext.get().partitionId(), 0, {}
         for batch in batches:
             rows = []
             for packed in e.encode_many(batch.column(1)):
