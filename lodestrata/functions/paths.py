@@ -39,7 +39,7 @@ def suffix(path: Column) -> Column:
 
 def parent(path: Column) -> Column:
     """The folder of a path, empty at the top."""
-    return F.when(F.instr(path, "/") > 0, F.regexp_replace(path, "/[^/]*$", "")).otherwise(F.lit(""))
+    return F.when(F.instr(path, "/") > 0, F.left(path, F.length(path) - F.length(name(path)) - 1)).otherwise(F.lit(""))
 
 
 def top_folder(path: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..sources import scratch
+from . import folders
 
 # Suffixes that a script import may leave out, in the order of trial.
 SCRIPT_SUFFIXES = [".js", ".jsx", ".ts", ".tsx", ".mjs", ".cjs"]
@@ -190,6 +191,16 @@ def _trimmed(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """path, scc: strongly connected components of more than one file, named by their least member.
 
+    Folders that no edge leaves are solved whole, what is left in rounds.
+    """
+    done = cut(folders.solved(edges.select("src", "dst").where("src <> dst"), folders.components, "path string, scc string"))
+    out, left = done.where("path is not null").select("path", "scc"), done.where("src is not null").select("src", "dst")
+    return out if left.isEmpty() else out.unionByName(_components_in_rounds(left))
+
+
+def _components_in_rounds(edges: DataFrame) -> DataFrame:
+    """components() of any graph.
+
     Colours spread forward until every file has the least that reaches it; what reaches a colour's own file backward
     within the colour is one component.  Components are taken off and the rest is coloured again.
     """

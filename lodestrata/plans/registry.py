@@ -492,11 +492,11 @@ _PACKAGE_EDGES = f"{_PACKAGES}, e as (select distinct {_FILE.format('prev')} as
 
 
 def package_files(spark, sf_dir):
-    """Pairs of files (src, dst) that follow each other in an order, and all files (path)."""
+    """Pairs of files (src, dst) that follow each other in an order, and all files (path); rows repeat."""
     file = lambda c: f"concat('p', l_orderkey div 16, '/m', {c} % 24)"
     own = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_partkey", "lag(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as prev")
     pairs = own.where("prev is not null").selectExpr(f"{file('prev')} as src", f"{file('l_partkey')} as dst")
-    return pairs.distinct(), own.selectExpr(f"{file('l_partkey')} as path").distinct()
+    return pairs, own.selectExpr(f"{file('l_partkey')} as path")
 
 
 @query(f"""with recursive {_PACKAGES}, e as (select distinct {_FILE.format("greatest(prev % 24, l_partkey % 24)")} as src, {_FILE.format("least(prev % 24, l_partkey % 24)")} as dst from pairs

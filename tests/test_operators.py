@@ -248,3 +248,44 @@ def test_deep_graphs(spark):
     assert {r["path"]: r["level"] for r in graph.levels(nodes, chain).collect()} == {f"n{i:03}": n - i for i in range(n + 1)}
     seeds = spark.createDataFrame([("n000",)], "seed string")
     assert graph.closure(chain, seeds).count() == n
+
+
+def _any_graph(seed, n_folders, n_edges, across):
+    """Edges in folders, and of the part `across` of them to others."""
+    import random
+
+    r = random.Random(seed)
+    name = lambda f: f"p{f}/m{r.randrange(6)}"
+    edges = [(name(f), name(r.randrange(n_folders) if r.random() < across else f)) for f in (r.randrange(n_folders) for _ in range(n_edges))]
+    return [*edges, *edges[:5], ("top", "top2"), ("top2", "top")]
+
+
+def _ways(edges):
+    """For each file those that it reaches."""
+    out = {a: set() for e in edges for a in e}
+    for a in out:
+        todo = [a]
+        while todo:
+            v = todo.pop()
+            new = {y for x, y in edges if x == v} - out[a]
+            out[a] |= new
+            todo += new
+    return out
+
+
+def _sccs(edges):
+    """The least member of each file's component of more than one file."""
+    ways = _ways(edges)
+    own = {a: [b for b in ways if b == a or b in ways[a] and a in ways[b]] for a in ways}
+    return {a: min(v) for a, v in own.items() if len(v) > 1}
+
+
+def test_folders_components(spark, rows, monkeypatch):
+    """Folders without edges to others need no rounds; the others are solved as before."""
+    near = _any_graph(1, 20, 120, 0.0)
+    odd = spark.createDataFrame([(None, "top"), ("top", None)], "src string, dst string")
+    frame = lambda e: spark.createDataFrame(e, "src string, dst string").union(odd)
+    far = near + [("p1/m1", "p2/m1"), ("p2/m1", "p1/m1")]
+    assert rows(graph.components(frame(far))) == sorted(_sccs(far).items(), key=repr)
+    monkeypatch.setattr(graph, "_components_in_rounds", None)
+    assert rows(graph.components(frame(near))) == sorted(_sccs(near).items(), key=repr)
