@@ -242,8 +242,18 @@ def _components_in_rounds(edges: DataFrame) -> DataFrame:
 
 def cycles(edges: DataFrame) -> DataFrame:
     """scc, cycle: for each component and each file that imports itself, the shortest way from its least member back to
-    it, of equal lengths the least."""
-    own = cut(components(edges))
+    it, of equal lengths the least.
+
+    Folders that no edge leaves are solved whole, what is left in rounds.
+    """
+    done = cut(folders.solved(edges.select("src", "dst").where("src is not null and dst is not null"), folders.cycles, "scc string, cycle array<string>"))
+    out, left = done.where("scc is not null").select("scc", "cycle"), done.where("src is not null").select("src", "dst")
+    return out if left.isEmpty() else out.unionByName(_cycles_in_rounds(left))
+
+
+def _cycles_in_rounds(edges: DataFrame) -> DataFrame:
+    """cycles() of any graph."""
+    own = cut(_components_in_rounds(edges))
     inside = edges.join(own.withColumnRenamed("path", "src"), "src").join(own.select(F.col("path").alias("dst"), F.col("scc").alias("s")), "dst").where("scc = s and src <> dst")
     inside = cut(inside.select("scc", "src", "dst").distinct())
     front = cut(own.select("scc").distinct().select("scc", F.col("scc").alias("path"), F.array("scc").alias("way")))

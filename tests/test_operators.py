@@ -289,3 +289,32 @@ def test_folders_components(spark, rows, monkeypatch):
     assert rows(graph.components(frame(far))) == sorted(_sccs(far).items(), key=repr)
     monkeypatch.setattr(graph, "_components_in_rounds", None)
     assert rows(graph.components(frame(near))) == sorted(_sccs(near).items(), key=repr)
+
+
+def _cycles(edges):
+    own, out = _sccs(edges), {(a, (a, b)) for a, b in edges if a == b}
+    for root in set(own.values()):
+        ways, closed = [(root,)], []
+        while not closed:
+            ways = [(*w, b) for w in ways for a, b in set(edges) if a == w[-1] and a != b and own.get(b) == root and b not in w[1:]]
+            closed = [w for w in ways if w[-1] == root]
+        out.add((root, min(closed)))
+    return sorted(((a, list(w)) for a, w in out), key=repr)
+
+
+def test_folders_cycles(spark, rows, monkeypatch):
+    """Ties by path, files that import themselves, folders beyond the bound of a task, and batches that end anywhere."""
+    near = _any_graph(2, 12, 90, 0.0)
+    frame = lambda e: spark.createDataFrame(e, "src string, dst string")
+    rounds = graph._cycles_in_rounds
+    monkeypatch.setattr(graph, "_cycles_in_rounds", None)
+    assert rows(graph.cycles(frame(near))) == _cycles(near)
+    monkeypatch.setattr(graph, "_cycles_in_rounds", rounds)
+    monkeypatch.setattr(graph.folders, "MOST", 12)
+    monkeypatch.setattr(graph.folders, "BATCH", 5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        large = near + [(f"big/{i:02}", f"big/{(i + 1) % 20:02}") for i in range(20)]
+        assert rows(graph.cycles(frame(large))) == _cycles(large)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
