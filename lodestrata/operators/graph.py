@@ -148,6 +148,21 @@ def closure(edges: DataFrame, seeds: DataFrame, reverse: bool = False) -> DataFr
 def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """path, level: 0 for files without dependencies, else one more than the highest of them; null on a cycle or above one.
 
+    Folders that no edge leaves are solved whole, what is left in rounds.
+    """
+    every = edges.select("src", "dst").where("src is not null and dst is not null").unionByName(nodes.select(F.col("path").alias("src"), F.lit(None).cast("string").alias("dst")).where("src is not null"))
+    done = cut(folders.solved(every, folders.levels, "path string, level int"))
+    nameless = nodes.where("path is null").select("path", F.lit(0).alias("level")).distinct()
+    out = done.where("path is not null").select("path", "level").unionByName(nameless)
+    left = done.where("src is not null")
+    if left.isEmpty():
+        return out
+    return out.unionByName(_levels_in_rounds(left.where("dst is null").select(F.col("src").alias("path")), left.where("dst is not null")))
+
+
+def _levels_in_rounds(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """levels() of any graph.
+
     Round i leaves the files from which a way of i imports begins; each is left by the next round at its level, but for those
     on cycles and above them, of which ever the same stay.
     """

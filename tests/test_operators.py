@@ -318,3 +318,14 @@ def test_folders_cycles(spark, rows, monkeypatch):
         assert rows(graph.cycles(frame(large))) == _cycles(large)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_folders_levels(spark, rows, monkeypatch):
+    """Only files of nodes end a way; levels are null on cycles and above them."""
+    e = [("p/a", "p/b"), ("p/b", "p/c"), ("p/a", "p/c"), ("q/a", "q/a"), ("q/b", "q/a"), ("q/c", "q/x"), ("q/x", "q/y"), ("q/y", "q/x"), ("r/new", "r/a")]
+    n = ["p/a", "p/b", "p/c", "q/a", "q/b", "q/c", "r/a", "r/a", "alone", None]
+    edges, nodes = spark.createDataFrame(e, "src string, dst string"), spark.createDataFrame([(x,) for x in n], "path string")
+    want = rows(graph._levels_in_rounds(nodes, edges))
+    assert ("r/new", 1) in want and ("q/c", 0) in want and ("q/b", None) in want and (None, 0) in want
+    monkeypatch.setattr(graph, "_levels_in_rounds", None)
+    assert rows(graph.levels(nodes, edges)) == want
