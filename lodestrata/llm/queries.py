@@ -76,7 +76,7 @@ def op10_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def license_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the licence scan finds in rewritten licences, one for each document."""
-    return license_scan.scan(license_scan.variants(table(spark, sf_dir, "documents"))).select("doc_id", "license_id")
+    return license_scan.scan_variants(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {

@@ -931,3 +931,18 @@ def test_pipeline(spark):
     assert {r["doc_id"] for r in pieces} == {r["doc_id"] for r in kept.collect()}
     links, _ = brute_links([r["text"] for r in kept.collect()])
     assert not any(links)
+
+
+def test_licence_variants_are_scanned_once(spark, rows):
+    """Rewritings that give the same text are scanned once, with the results of scanning each document."""
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(i, s) for i in range(600) for s in ("a", "b", None)] + [(None, "a"), (3, "a")], "doc_id bigint, source string")
+    own = license_scan.rewritings(docs)
+    keys = own.select(*license_scan.REWRITING).distinct().count()
+    assert keys < own.count()
+    few = docs.where("doc_id is null or doc_id % 7 = 3")
+    assert rows(license_scan.scan_variants(few)) == rows(license_scan.scan(license_scan.variants(few)).select("doc_id", "license_id"))
+    plain = spark.createDataFrame([(1, "no mark in it"), (2, "Copyright 2020 x\ny"), (3, "ALL RIGHTS RESERVED.\nz"), (4, "© 2020\nw"), (5, None)], "i int, text string")
+    got = {r["i"]: r["t"] for r in plain.select("i", license_scan.without_statements(F.lower("text")).alias("t")).collect()}
+    assert got == {1: "no mark in it", 2: "\ny", 3: "\nz", 4: "\nw", 5: None}
