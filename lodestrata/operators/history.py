@@ -13,32 +13,54 @@ NO_FEATURE = r"(?i)\bfix(ed|es)?\b|\brefactor(ed)?\b|\bdocs?\b|\btypo\b|\bupdate
 BULLET = "gen_ord int, text string, impact_score double, category string, evidence array<string>"
 
 
+def _lines(logs: DataFrame) -> DataFrame:
+    """repo, pos, line, head, breaks, at: the lines of logs; at: the place of the last line that ended a block, and whether it
+    began one."""
+    lines = logs.select("repo", F.posexplode(F.split("text", "\n")).alias("pos", "raw")).withColumn("line", F.trim(F.regexp_replace("raw", r"\r$", "")))
+    bar = F.instr("line", "|") > 0
+    lines = lines.withColumn("head", bar & (F.size(F.split("line", r"\|", 4)) == 4)).withColumn("breaks", bar | (F.col("line") == ""))
+    so_far = Window.partitionBy("repo").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    return lines.withColumn("at", F.last(F.when(F.col("breaks"), F.struct("pos", "head")), ignorenulls=True).over(so_far))
+
+
+def _head() -> list[Column]:
+    fields = F.split("line", r"\|", 4)
+    return [F.substr(fields[0], F.lit(1), F.lit(8)).alias("hash"), fields[1].alias("author"), F.timestamp_seconds(fields[2].try_cast("bigint")).alias("date"), fields[3].alias("message")]
+
+
+def _numstat() -> tuple[Column, list[Column]]:
+    """Whether a line is one of numstat, and its insertions and deletions."""
+    cells = F.split("line", "\t")
+    number = lambda i: F.when(cells[i] == "-", F.lit(0).cast("bigint")).otherwise(cells[i].try_cast("bigint"))
+    own = F.col("at.head") & ~F.col("breaks") & (F.size(cells) >= 3)
+    return own, [F.coalesce(number(0), F.lit(0)).alias("insertions"), F.coalesce(F.when(number(0).isNotNull(), number(1)), F.lit(0)).alias("deletions")]
+
+
 def parse_log(logs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """commits (repo, ord, hash, author, date, message, insertions, deletions) and commit_files (repo, ord, hash, pos, path,
     insertions, deletions) from logs (repo, text) of `hash|author|epoch|subject` lines, each with its numstat lines.
 
     A line with a bar ends the block before it; so does a blank one.
     """
-    lines = logs.select("repo", F.posexplode(F.split("text", "\n")).alias("pos", "raw")).withColumn("line", F.trim(F.regexp_replace("raw", r"\r$", "")))
-    fields = F.split("line", r"\|", 4)
-    bar = F.instr("line", "|") > 0
-    lines = lines.withColumn("head", bar & (F.size(fields) == 4)).withColumn("breaks", bar | (F.col("line") == ""))
-    so_far = Window.partitionBy("repo").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    # the place of the last line that ended a block, and whether it began one
-    lines = lines.withColumn("at", F.last(F.when(F.col("breaks"), F.struct("pos", "head")), ignorenulls=True).over(so_far))
-    heads = lines.where("head").select(
-        "repo", F.col("pos").alias("ord"), F.substr(fields[0], F.lit(1), F.lit(8)).alias("hash"), fields[1].alias("author"),
-        F.timestamp_seconds(fields[2].try_cast("bigint")).alias("date"), fields[3].alias("message"),
+    lines = _lines(logs)
+    own, counts = _numstat()
+    stats = lines.where(own).select("repo", F.col("at.pos").alias("ord"), (F.col("pos") - F.col("at.pos") - 1).cast("int").alias("pos"), F.split("line", "\t")[2].alias("path"), *counts)
+    heads = lines.where("head").select("repo", F.col("pos").alias("ord"), *_head())
+    files = stats.join(heads.select("repo", "ord", "hash"), ["repo", "ord"]).select("repo", "ord", "hash", "pos", "path", "insertions", "deletions")
+    return counted_commits(logs).drop("n_files"), files
+
+
+def counted_commits(logs: DataFrame) -> DataFrame:
+    """The commits of parse_log(), with n_files: the lines of a commit are counted where they are read, in one pass."""
+    own, (insertions, deletions) = _numstat()
+    rows = _lines(logs).where(F.col("head") | own).select(
+        "repo", F.col("at.pos").alias("ord"), F.when(F.col("head"), F.struct(*_head())).alias("h"), F.when(own, insertions).alias("i"), F.when(own, deletions).alias("d"),
     )
-    cells = F.split("line", "\t")
-    number = lambda i: F.when(cells[i] == "-", F.lit(0).cast("bigint")).otherwise(cells[i].try_cast("bigint"))
-    stats = lines.where(F.col("at.head") & ~F.col("breaks") & (F.size(cells) >= 3)).select(
-        "repo", F.col("at.pos").alias("ord"), (F.col("pos") - F.col("at.pos") - 1).cast("int").alias("pos"), cells[2].alias("path"),
-        F.coalesce(number(0), F.lit(0)).alias("insertions"), F.coalesce(F.when(number(0).isNotNull(), number(1)), F.lit(0)).alias("deletions"),
+    none = F.lit(0).cast("bigint")
+    sums = rows.groupBy("repo", "ord").agg(
+        F.first("h", ignorenulls=True).alias("h"), F.coalesce(F.sum("i"), none).alias("insertions"), F.coalesce(F.sum("d"), none).alias("deletions"), F.count("i").alias("n_files"),
     )
-    sums = stats.groupBy("repo", "ord").agg(F.sum("insertions").alias("insertions"), F.sum("deletions").alias("deletions"))
-    commits = heads.join(sums, ["repo", "ord"], "left").fillna(0, ["insertions", "deletions"])
-    return commits, stats.join(heads.select("repo", "ord", "hash"), ["repo", "ord"]).select("repo", "ord", "hash", "pos", "path", "insertions", "deletions")
+    return sums.select("repo", "ord", "h.*", "insertions", "deletions", "n_files")
 
 
 def newest(commits: DataFrame, most: int) -> DataFrame:

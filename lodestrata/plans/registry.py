@@ -285,11 +285,14 @@ def commit_files(spark, sf_dir):
     return own.join(part, own.l_partkey == part.p_partkey).select("ord", "path", "insertions", "deletions", "l_suppkey", "p_partkey")
 
 
+def commit_heads(spark, sf_dir):
+    orders, people = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    return orders.join(people, orders.o_custkey == people.c_custkey).selectExpr("o_orderkey as ord", f"{HASH} as hash", "c_name as author", "o_orderdate as date", f"{MESSAGE} as message")
+
+
 def commits(spark, sf_dir):
     sums = commit_files(spark, sf_dir).groupBy("ord").agg(F.sum("insertions").alias("insertions"), F.sum("deletions").alias("deletions"), F.count("*").alias("n_files"))
-    orders, people = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer").select("c_custkey", "c_name")
-    own = orders.join(people, orders.o_custkey == people.c_custkey).selectExpr("o_orderkey as ord", f"{HASH} as hash", "c_name as author", "o_orderdate as date", f"{MESSAGE} as message")
-    return own.join(sums, "ord", "left").fillna(0, ["insertions", "deletions", "n_files"])
+    return commit_heads(spark, sf_dir).join(sums, "ord", "left").fillna(0, ["insertions", "deletions", "n_files"])
 
 
 def part_files(spark, sf_dir):
@@ -396,14 +399,12 @@ def bullet_categories(spark, sf_dir):
 @query(f"{_HISTORY} select ord // 64 as repo, hash, author, date, message, insertions, deletions, n_files from c")
 def gitlog_parse(spark, sf_dir):
     stats = commit_files(spark, sf_dir).groupBy("ord").agg(F.array_sort(F.collect_list(F.struct("deletions", "p_partkey", "l_suppkey", F.concat_ws("\t", "insertions", "deletions", "path").alias("line")))).alias("s"))
-    orders = commits(spark, sf_dir).select("ord", "hash", "author", "date", "message").join(stats, "ord", "left")
+    orders = commit_heads(spark, sf_dir).join(stats, "ord", "left")
     head = F.concat_ws("|", "hash", "author", F.unix_seconds(F.col("date").cast("timestamp")).cast("string"), "message")
     block = F.concat_ws("\n", head, F.array_join(F.transform(F.coalesce("s", F.array()), lambda x: x["line"]), "\n"))
     logs = orders.select(F.expr("ord div 64 as repo"), "ord", F.concat(block, F.lit("\n")).alias("block")).groupBy("repo").agg(F.array_sort(F.collect_list(F.struct("ord", "block"))).alias("b"))
     logs = logs.select("repo", F.array_join(F.transform("b", lambda x: x["block"]), "\n").alias("text"))
-    found, own = history.parse_log(logs)
-    n = own.groupBy("repo", "ord").agg(F.count("*").alias("n_files"))
-    return found.join(n, ["repo", "ord"], "left").fillna(0, ["n_files"]).select("repo", "hash", "author", F.col("date").cast("timestamp_ntz").alias("date"), "message", "insertions", "deletions", "n_files")
+    return history.counted_commits(logs).select("repo", "hash", "author", F.col("date").cast("timestamp_ntz").alias("date"), "message", "insertions", "deletions", "n_files")
 
 
 # --- an import graph made from line items

@@ -329,3 +329,17 @@ def test_folders_levels(spark, rows, monkeypatch):
     assert ("r/new", 1) in want and ("q/c", 0) in want and ("q/b", None) in want and (None, 0) in want
     monkeypatch.setattr(graph, "_levels_in_rounds", None)
     assert rows(graph.levels(nodes, edges)) == want
+
+
+def test_counted_commits(spark, rows):
+    """Commits, their lines and how many these are come from one pass over the lines."""
+    from lodestrata.operators import history
+
+    log = "\n".join(["h1234567890|a|0|one | bar", "1\t2\tx", "-\t-\ty", "z\t1\tw", "", "3\t3\tlost", "a|b", "4\t4\tlost", "h2|b|x|none", "h3|c|60|", "5\t6\tq\tmore", "|||"])
+    logs = spark.createDataFrame([("r", log), ("empty", ""), ("null", None)], "repo string, text string")
+    got = [tuple(r) for r in history.counted_commits(logs).drop("date").orderBy("ord").collect()]
+    assert got == [("r", 0, "h1234567", "a", "one | bar", 1, 2, 3), ("r", 8, "h2", "b", "none", 0, 0, 0), ("r", 9, "h3", "c", "", 5, 6, 1), ("r", 11, "", "", "", 0, 0, 0)]
+    commits, files = history.parse_log(logs)
+    assert commits.columns == ["repo", "ord", "hash", "author", "date", "message", "insertions", "deletions"] and files.count() == 4
+    plan = history.counted_commits(logs)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
