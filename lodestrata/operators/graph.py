@@ -19,37 +19,74 @@ ROUNDS = 16
 cut = scratch.written
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """src, import, pos, dst: the paths that each import could mean, in the order of trial."""
-    rows = nodes.select(F.col("path").alias("src"), "language", F.explode(F.array_distinct("imports")).alias("import"))
-    own, imp = paths.parent(F.col("src")), F.col("import")
-    dots = F.length(F.regexp_extract(imp, r"^\.*", 0))
+#: The columns that an import and a file meet by.
+_MET = ["kind", "key"]
+
+
+def _named(nodes: DataFrame, unique: bool) -> DataFrame:
+    """src, import, kind, key, exact: what each import names, one row each.
+
+    kind, key: the language's kind and the path without what is tried behind it; exact: nothing is tried behind it.
+    """
+    script = F.col("language").isin(*SCRIPTS)
+    own = paths.parent(F.col("src"))
     folders = F.when(own == "", F.array().cast("array<string>")).otherwise(F.split(own, "/"))
-    up = F.slice(folders, F.lit(1), F.greatest(F.size(folders) - F.greatest(dots - 1, F.lit(0)), F.lit(0)))
-    dotted = F.translate(F.substr(imp, dots + 1), ".", "/")
-    module = F.when(dots == 0, F.translate(imp, ".", "/")).otherwise(F.array_join(F.when(dotted == "", up).otherwise(F.concat(up, F.array(dotted))), "/"))
+    imports = F.col("imports") if unique else F.array_distinct("imports")
+    files = nodes.where((F.col("language") == "python") | script).select(F.col("path").alias("src"), script.alias("script"), "imports")
+    rows = files.select("src", "script", folders.alias("folders"), F.explode(imports).alias("import"))
+    imp = F.col("import")
+    dots = F.when(F.startswith(imp, F.lit(".")), F.length(F.regexp_extract(imp, r"^\.*", 0))).otherwise(0)
+    up = F.slice("folders", F.lit(1), F.greatest(F.size("folders") - F.greatest(F.col("dots") - 1, F.lit(0)), F.lit(0)))
+    dotted = F.translate(F.substr(imp, F.col("dots") + 1), ".", "/")
+    module = F.when(F.col("dots") == 0, F.translate(imp, ".", "/")).otherwise(F.array_join(F.when(dotted == "", up).otherwise(F.concat(up, F.array(dotted))), "/"))
+    target = paths.normalised(F.concat("folders", F.split(imp, "/")))
+    rows = rows.where(~F.col("script") | imp.rlike(r"^\.\.?/")).withColumn("dots", dots)
+    rows = rows.select("src", "import", "script", F.when(F.col("script"), target).otherwise(module).alias("key"))
+    exact = F.col("script") & F.col("key").rlike(r"\.(js|jsx|ts|tsx|mjs|cjs)$")
+    return rows.select("src", "import", F.when(F.col("script"), "script").otherwise("python").alias("kind"), "key", exact.alias("exact"))
+
+
+def _names(files: DataFrame) -> DataFrame:
+    """kind, key, tried: the files (dst) that a key could mean, each with its place (pos) in the order of trial."""
+    path = F.col("path")
+    without = lambda c, end: F.left(c, F.length(c) - len(end))
+    name = lambda kind, key, pos: F.struct(F.lit(kind).alias("kind"), key.alias("key"), (F.lit(pos) if isinstance(pos, int) else pos).alias("pos"))
     # the package of the top folder itself has no name to put a suffix on
-    python = F.array(F.when(module == "", F.lit("..py")).otherwise(F.concat(module, F.lit(".py"))), F.when(module == "", F.lit("__init__.py")).otherwise(F.concat(module, F.lit("/__init__.py"))))
-    target = paths.normalised(F.concat(folders, F.split(imp, "/")))
-    bare = ~target.rlike(r"\.(js|jsx|ts|tsx|mjs|cjs)$")
-    more = F.array(*(F.concat(target, F.lit(s)) for s in SCRIPT_SUFFIXES), *(F.concat(target, F.lit(f"/index{s}")) for s in SCRIPT_SUFFIXES))
-    script = F.when(imp.rlike(r"^\.\.?/"), F.when(bare, F.concat(F.array(target), more)).otherwise(F.array(target)))
-    found = F.when(F.col("language") == "python", python).when(F.col("language").isin(*SCRIPTS), script)
-    return rows.select("src", "import", F.posexplode(found).alias("pos", "dst"))
+    python = [
+        F.when(path == "..py", name("python", F.lit(""), 0)), F.when(F.endswith(path, F.lit(".py")) & (path != ".py"), name("python", without(path, ".py"), 0)),
+        F.when(path == "__init__.py", name("python", F.lit(""), 1)), F.when(F.endswith(path, F.lit("/__init__.py")) & (path != "/__init__.py"), name("python", without(path, "/__init__.py"), 1)),
+    ]
+    script = [name("script", path, 0)]
+    for i, s in enumerate(SCRIPT_SUFFIXES, 1):
+        script.append(F.when(F.endswith(path, F.lit(s)), name("script", without(path, s), i)))
+        script.append(F.when(F.endswith(path, F.lit(f"/index{s}")), name("script", without(path, f"/index{s}"), i + len(SCRIPT_SUFFIXES))))
+    rows = files.select("path", F.explode(F.array_compact(F.array(*python, *script))).alias("n"))
+    return rows.groupBy("n.kind", "n.key").agg(F.array_sort(F.collect_set(F.struct("n.pos", F.col("path").alias("dst")))).alias("tried"))
+
+
+def _resolved(nodes: DataFrame, ordered: bool, unique: bool = False) -> DataFrame:
+    """resolve(), with a row again for each row of nodes that repeats; unique: no list of imports has one twice."""
+    own = nodes.where("language = 'python' and size(imports) > 0") if ordered else nodes
+    # files are as many as rows, so never a broadcast table, however small their columns look
+    met = _named(own, unique).join(_names(own.select("path")).hint("merge"), _MET)
+    allowed = lambda x: (~F.col("exact") | (x["pos"] == 0)) & (paths.parts(x["dst"]) <= paths.parts(F.col("src")) if ordered else F.lit(True))
+    return met.select("src", "import", F.get(F.filter("tried", allowed), F.lit(0))["dst"].alias("dst")).where("dst is not null")
 
 
 def resolve(nodes: DataFrame, ordered: bool = False) -> DataFrame:
-    """src, import, dst of the imports (path, imports, language) that mean a file of nodes.
+    """src, import, dst of the imports (path, imports, language) that mean a file of nodes; a path has one language.
 
     ordered: only files with imports are nodes, and only earlier ones (or itself) in scan order can be meant, as a single
     pass over the files would find; there are no script edges then.
+
+    An import is one row, which meets the files by what they are called without what can be left out.
     """
-    own = nodes.where("language = 'python' and size(imports) > 0") if ordered else nodes
-    tried = candidates(own)
-    met = tried.join(own.select(F.col("path").alias("dst")).distinct(), "dst")
-    if ordered:
-        met = met.where(paths.parts(F.col("dst")) <= paths.parts(F.col("src")))
-    return met.groupBy("src", "import").agg(F.min_by("dst", "pos").alias("dst"))
+    return _resolved(nodes, ordered).distinct()
+
+
+def resolved_edges(nodes: DataFrame, ordered: bool = False, unique: bool = False) -> DataFrame:
+    """src, dst: edges_of(resolve()), which shuffles once less."""
+    return edges_of(_resolved(nodes, ordered, unique))
 
 
 def edges_of(resolved: DataFrame) -> DataFrame:

@@ -561,7 +561,7 @@ _SIDE = "case when p_partkey % 3 = 2 then '../../' else '../' end || 'd' || cast
 @query(f"""select {_WEB.format("p_partkey")} as src, {_NEXT} as import, {_WEB.format("(p_partkey + 10)")} as dst from part where p_partkey + 10 in (select p_partkey from part)
  union all select {_WEB.format("p_partkey")}, {_SIDE}, {_WEB.format("(p_partkey + 1)")} from part where p_partkey + 1 in (select p_partkey from part)""")
 def script_imports(spark, sf_dir):
-    own = table(spark, sf_dir, "part").selectExpr(f"{_WEB.format('p_partkey')} as path", f"array({_NEXT}, {_SIDE}, 'react', './none') as imports", "'javascript' as language")
+    own = parts(spark, sf_dir, "p_partkey").selectExpr(f"{_WEB.format('p_partkey')} as path", f"array({_NEXT}, {_SIDE}, 'react', './none') as imports", "'javascript' as language")
     return graph.resolve(own)
 
 
@@ -572,7 +572,7 @@ _SUB = "'pkg' || cast(p_partkey % 10 as string) || '/sub/m' || cast({} as string
  union all select {_SUB.format("p_partkey")} || '.py', '..sub.m' || cast(p_partkey + 20 as string), {_SUB.format("p_partkey + 20")} || '.py' from part where p_partkey + 20 in (select p_partkey from part)
  union all select {_SUB.format("p_partkey")} || '.py', '.', 'pkg' || cast(p_partkey % 10 as string) || '/sub/__init__.py' from part""")
 def relative_imports(spark, sf_dir):
-    part = table(spark, sf_dir, "part")
+    part = parts(spark, sf_dir, "p_partkey")
     own = part.selectExpr(f"{_SUB.format('p_partkey')} || '.py' as path", "array('.m' || cast(p_partkey + 10 as string), '..sub.m' || cast(p_partkey + 20 as string), '.', '...none') as imports")
     packages = part.selectExpr("'pkg' || cast(p_partkey % 10 as string) || '/sub/__init__.py' as path").distinct().withColumn("imports", F.array().cast("array<string>"))
     return graph.resolve(own.unionByName(packages).withColumn("language", F.lit("python")))

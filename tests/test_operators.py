@@ -331,6 +331,51 @@ def test_folders_levels(spark, rows, monkeypatch):
     assert rows(graph.levels(nodes, edges)) == want
 
 
+def _meant(files):
+    """src, import, dst by trying path after path; files: path, imports, language."""
+    import posixpath
+
+    names, out = {f[0] for f in files if f[0] is not None}, set()
+    for src, imports, language in files:
+        folders = (src or "").split("/")[:-1]
+        for imp in {x for x in imports or [] if x is not None}:
+            tried = []
+            if language == "python":
+                dots = len(imp) - len(imp.lstrip("."))
+                rest = imp[dots:].replace(".", "/")
+                module = "/".join(folders[: max(len(folders) - dots + 1, 0)] + [rest] * bool(rest)) if dots else rest
+                tried = [f"{module}.py", f"{module}/__init__.py"] if module else ["..py", "__init__.py"]
+            elif language in graph.SCRIPTS and imp.startswith(("./", "../")):
+                at = posixpath.normpath("/" + "/".join([*folders, imp])).lstrip("/")
+                tried = [at] if at.endswith(tuple(graph.SCRIPT_SUFFIXES)) else [at, *(at + s for s in graph.SCRIPT_SUFFIXES), *(f"{at}/index{s}" for s in graph.SCRIPT_SUFFIXES)]
+            out |= {(src, imp, next(x for x in tried if x in names))} if any(x in names for x in tried) else set()
+    return sorted(out, key=repr)
+
+
+def test_resolve_tries_paths_in_order(spark, rows):
+    """Each import is one row until it meets a file, and means the first of the paths that it could."""
+    files = [
+        ("a/b/m.py", [".", "..", "...", "....", ".x", "..x", "a", "a.b", "a.b.x", "x", "none", None, "...none"], "python"), ("top.py", [".", "..", ".a", "a", "top", ".py"], "python"),
+        ("a/b/x.py", [".m", "a.b.m", "..b"], "python"), ("a/b/x/__init__.py", [], "python"), ("a/x/__init__.py", None, "python"), ("a/b/__init__.py", [".x"], "python"), ("a/__init__.py", ["."], "python"),
+        ("__init__.py", ["."], "python"), ("..py", ["top"], "python"), (".py", [], "python"), ("a.py", ["a"], "python"), ("none.go", ["a"], "go"), ("none", ["./a"], None), (None, ["a"], "python"),
+        ("w/x.js", ["./y", "./y.js", "./y.ts", "../w/y", "react", "./d", "./d/index", "./x.js", "./none", "..", "../", "./", "../../../top", "./e"], "javascript"), ("w/y.ts", ["./x", "./x"], "typescript"), ("w/y", [], None),
+        ("w/y.js.js", ["./y.js", "./y.js.js"], "jsx"), ("w/d/index.tsx", ["..", "../x", "./index"], "tsx"), ("w/d/index.js", [], "javascript"), ("w/e.cjs", [], None), ("w/e/index.js", [], None), ("top.js", ["./w/x"], "javascript"), ("w/index.mjs", [], None),
+    ]
+    nodes = spark.createDataFrame(files + files[:3], "path string, imports array<string>, language string")
+    assert rows(graph.resolve(nodes)) == _meant(files)
+    assert rows(graph.resolved_edges(nodes)) == sorted({(a, c) for a, _, c in _meant(files)}, key=repr)
+    one = spark.createDataFrame([("w/x.js", ["./y", "../z"], "javascript")], nodes.schema)
+    assert graph._named(one, False).count() == 2
+
+
+@pytest.mark.parametrize("name", ["relative_imports", "script_imports", "import_resolve"])
+def test_files_are_never_broadcast(spark, name):
+    from lodestrata.plans import registry
+
+    plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_counted_commits(spark, rows):
     """Commits, their lines and how many these are come from one pass over the lines."""
     from lodestrata.operators import history
