@@ -129,7 +129,8 @@ def roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def isolated(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    return leaves(nodes, edges).join(edges.select(F.col("src").alias("path")), "path", "left_anti")
+    """Files that import nothing and that nothing imports."""
+    return nodes.select("path").join(edges.select(F.explode(F.array("src", "dst")).alias("path")), "path", "left_anti")
 
 
 def replace_node(edges: DataFrame, path: str, new_out: DataFrame) -> DataFrame:
@@ -167,7 +168,8 @@ def closure(edges: DataFrame, seeds: DataFrame, reverse: bool = False) -> DataFr
     A round writes what is new only; what was seen is the union of the rounds.
     """
     a, b = ("dst", "src") if reverse else ("src", "dst")
-    step = cut(edges.select(F.col(a).alias("at"), F.col(b).alias("path")).where("at <> path").distinct())
+    kept = edges if hasattr(edges, "_shared_path") else cut(edges.select("src", "dst"))
+    step = kept.select(F.col(a).alias("at"), F.col(b).alias("path")).where("at <> path")
     front = cut(seeds.select("seed", F.col("seed").alias("path")).distinct())
     seen, rounds = front, 0
     while True:
@@ -178,7 +180,9 @@ def closure(edges: DataFrame, seeds: DataFrame, reverse: bool = False) -> DataFr
         seen, rounds = seen.unionByName(front), rounds + 1
         if rounds % ROUNDS == 0:
             seen = cut(seen)
-    scratch.forget(step, front)
+    scratch.forget(front)
+    if kept is not edges:
+        scratch.forget(kept)
     return seen.where("seed <> path")
 
 

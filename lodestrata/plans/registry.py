@@ -415,16 +415,24 @@ _GRAPH = f"""raw as ({_RAW}), p as (select p_partkey as k, {_PART} as path, 'pkg
  e as (select x.path as src, y.path as dst, y.module as import from raw join p x on a = x.k join p y on b = y.k)"""
 
 
+def module_files(spark, sf_dir):
+    """All files (path) of the graph."""
+    return table(spark, sf_dir, "part").selectExpr(f"{_PART} as path")
+
+
 def module_nodes(spark, sf_dir):
     raw = table(spark, sf_dir, "lineitem").selectExpr("l_partkey as b", "lag(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as a")
-    raw = raw.where("a is not null and a <> b").distinct()
-    p = table(spark, sf_dir, "part").selectExpr("p_partkey as k", f"{_PART} as path", "'pkg' || cast(p_size as string) || '.m' || cast(p_partkey as string) as module")
-    wanted = raw.join(p.select(F.col("k").alias("b"), "module"), "b").groupBy("a").agg(F.collect_set("module").alias("imports"))
-    return p.join(wanted, p.k == wanted.a, "left").select("path", F.coalesce("imports", F.array().cast("array<string>")).alias("imports"), F.lit("python").alias("language"))
+    raw = raw.where("a is not null and a <> b")
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), "p_size")
+    # parts are as many as rows, so never a broadcast table; numbers are shuffled, and named afterwards
+    wanted = raw.join(p.selectExpr("k as b", "p_size as size").hint("merge"), "b").groupBy("a").agg(F.collect_set(F.struct("b", "size")).alias("w"))
+    modules = F.transform("w", lambda x: F.concat(F.lit("pkg"), x["size"].cast("string"), F.lit(".m"), x["b"].cast("string")))
+    own = p.join(wanted.hint("merge"), p.k == wanted.a, "left").selectExpr("k as p_partkey", "p_size", "w")
+    return own.select(F.expr(_PART).alias("path"), F.coalesce(modules, F.array().cast("array<string>")).alias("imports"), F.lit("python").alias("language"))
 
 
 def module_edges(spark, sf_dir):
-    return graph.edges_of(graph.resolve(module_nodes(spark, sf_dir)))
+    return graph.resolved_edges(module_nodes(spark, sf_dir), unique=True)
 
 
 @query(f"with {_GRAPH} select src, import, dst from e")
@@ -454,17 +462,17 @@ def core_top10(spark, sf_dir):
 
 @query(f"with {_GRAPH} select path from p where path not in (select dst from e)")
 def leaf_files(spark, sf_dir):
-    return graph.leaves(module_nodes(spark, sf_dir), module_edges(spark, sf_dir))
+    return graph.leaves(module_files(spark, sf_dir), module_edges(spark, sf_dir))
 
 
 @query(f"with {_GRAPH} select path from p where path not in (select src from e)")
 def root_files(spark, sf_dir):
-    return graph.roots(module_nodes(spark, sf_dir), module_edges(spark, sf_dir))
+    return graph.roots(module_files(spark, sf_dir), module_edges(spark, sf_dir))
 
 
 @query(f"with {_GRAPH} select path from p where path not in (select src from e) and path not in (select dst from e)")
 def isolated_files(spark, sf_dir):
-    return graph.isolated(module_nodes(spark, sf_dir), module_edges(spark, sf_dir))
+    return graph.isolated(module_files(spark, sf_dir), module_edges(spark, sf_dir))
 
 
 @query(f"with {_GRAPH} select src as path, string_agg(dst, ',' order by dst) as dependencies from e group by 1")
@@ -538,12 +546,12 @@ def cycles(spark, sf_dir):
 
 @query(f"with {_GRAPH} select (select count(*) from p) as files, (select count(*) from e) as edges")
 def graph_size(spark, sf_dir):
-    return graph.size(module_nodes(spark, sf_dir), module_edges(spark, sf_dir))
+    return graph.size(module_files(spark, sf_dir), module_edges(spark, sf_dir))
 
 
 @query(f"with {_GRAPH}, f as (select max(path) as path from p) select f.path, (select count(*) from e where src = f.path) as dependencies, (select count(*) from e where dst = f.path) as dependents from f")
 def graph_lookup(spark, sf_dir):
-    nodes, edges = module_nodes(spark, sf_dir), module_edges(spark, sf_dir)
+    nodes, edges = module_files(spark, sf_dir), graph.cut(module_edges(spark, sf_dir))
     path = nodes.agg(F.max("path")).first()[0]
     counts = (f(edges, path).agg(F.count("*").alias(n)) for f, n in ((graph.dependencies, "dependencies"), (graph.dependents, "dependents")))
     own = graph.node(nodes, path).select("path")
